@@ -193,7 +193,7 @@ def neighbour_lists(index: ItemIndex, k: int = 10) -> DataFrame:
             F.transform(
                 "ranked",
                 lambda e: F.struct(
-                    e.name.alias("name"), e.similarity.alias("similarity"), e.family.alias("family")
+                    e["name"].alias("name"), e["similarity"].alias("similarity"), e["family"].alias("family")
                 ),
             ).alias("neighbours"),
         )
@@ -220,20 +220,26 @@ def _lookup(index: ItemIndex, item: str) -> DataFrame:
     )
 
 
-def find_similar(
-    index: ItemIndex, item: str, top_n: int = 5, threshold: float = 0.0
-) -> DataFrame:
-    """Ranked (name, similarity, family) of the items most like one item.
+def _scored(index: ItemIndex, item: str) -> DataFrame:
+    """All other items as (name, family, score) against one item.
 
-    The item's vector enters as a scalar subquery: one pass over the index, no join. An
-    unknown item has no vector and gives no rows.
+    Its name and vector enter as scalar subqueries: one pass over the index, no join. An
+    unknown item has neither and gives no rows.
     """
     target = _lookup(index, item)
-    name = target.select("name").scalar()
-    vector = target.select("vector").scalar()
     return (
-        index.items.filter(F.col("name") != name)
-        .select("name", dot(F.col("vector"), vector).alias("score"), "family")
+        index.items.filter(F.col("name") != target.select("name").scalar())
+        .withColumn("target", target.select("vector").scalar())
+        .select("name", "family", dot(F.col("vector"), F.col("target")).alias("score"))
+    )
+
+
+def find_similar(
+    index: ItemIndex, item: str, top_n: int = 5, threshold: float = 0.0
+) -> DataFrame:
+    """Ranked (name, similarity, family) of the items most like one item."""
+    return (
+        _scored(index, item)
         .filter(F.col("score") >= threshold)
         .orderBy(F.desc(F.round("score", RANK_DECIMALS)), "name")
         .limit(top_n)
@@ -266,7 +272,7 @@ def find_similar_checked(
         F.transform(
             "found",
             lambda e: F.struct(
-                e.name.alias("name"), e.similarity.alias("similarity"), e.family.alias("family")
+                e["name"].alias("name"), e["similarity"].alias("similarity"), e["family"].alias("family")
             ),
         ).alias("similar"),
     )
@@ -274,12 +280,7 @@ def find_similar_checked(
 
 def similar_set(index: ItemIndex, item: str, threshold: float = 0.6) -> DataFrame:
     """Names at or above the threshold, without a cap on their number."""
-    target = _lookup(index, item)
-    name = target.select("name").scalar()
-    vector = target.select("vector").scalar()
-    return index.items.filter(
-        (F.col("name") != name) & (dot(F.col("vector"), vector) >= threshold)
-    ).select("name")
+    return _scored(index, item).filter(F.col("score") >= threshold).select("name")
 
 
 def pair_similarity(pairs: DataFrame, index: ItemIndex, a: str = "a", b: str = "b") -> DataFrame:

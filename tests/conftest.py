@@ -17,7 +17,6 @@ def spark():
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
-            "spark.driver.bindAddress": "127.0.0.1",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
