@@ -53,7 +53,8 @@ def import_csv(
     """CSV with a header line. Give a schema where you can: inference reads the file twice.
 
     ``multiline`` allows line breaks inside quoted values, at the price that one file is
-    read by one task. A value that does not fit the schema stops the job.
+    read by one task. An empty field is NULL; a value that does not fit the schema stops the
+    job.
     """
     reader = (
         spark.read.option("header", True)

@@ -100,7 +100,7 @@ def normalize_catalog(spark, sf_dir):
 
 
 def normalize_pages(spark, sf_dir):
-    """The same through store pages, one page per type of part and brand."""
+    """The same through store pages of 250 product numbers each."""
     page = F.concat(
         F.lit('{"products": ['), F.array_join(F.collect_list("product"), ","), F.lit("]}")
     )
@@ -116,7 +116,7 @@ def normalize_pages(spark, sf_dir):
 
 
 def split_tags(spark, sf_dir):
-    """Supplier and part names as comma text, exploded."""
+    """Part name, brand and type as untidy comma text, one row per tag."""
     tags = F.concat(F.lit(" , "), "p_name", F.lit(" ,,"), "p_brand", F.lit(", "), "p_type")
     return read(spark, sf_dir, "part").select(
         "p_partkey", F.posexplode(c.split_tags(tags)).alias("pos", "tag")
