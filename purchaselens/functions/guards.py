@@ -83,8 +83,15 @@ def _sure(condition: Column) -> Column:
 
 
 def valid_date(col: Column) -> Column:
-    shaped = col.rlike(rf"\A{DATE_PATTERN}\z") & ~col.startswith("0000")
-    return _sure(shaped & F.try_to_date(col, "yyyy-MM-dd").isNotNull())
+    """YYYY-MM-DD and in the calendar.
+
+    Month and day are bounded by the pattern and the day by the length of its month, so a
+    wrong date is found by arithmetic: parsing it would raise and catch an exception per row.
+    """
+    month, day = "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])"
+    shaped = col.rlike(rf"\A[0-9]{{4}}-{month}-{day}\z") & ~col.startswith("0000")
+    first = F.concat(F.substring(col, 1, 7), F.lit("-01")).try_cast("date")
+    return _sure(shaped & (F.substring(col, 9, 2).try_cast("int") <= F.day(F.last_day(first))))
 
 
 def valid_category(col: Column, allowed: Iterable[str] = PRODUCT_TYPES) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -46,6 +46,11 @@ TONE_WORDS = (
 )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _occurrences(text: Column, phrase: str) -> Column:
     """Non-overlapping occurrences of a literal phrase."""
     removed = F.length(text) - F.length(F.replace(text, F.lit(phrase)))
@@ -62,13 +67,21 @@ def vocabulary_score(text: Column, terms: Iterable[str] = SCENT_TERMS) -> Column
     terms = list(terms)
     words = [t for t in terms if " " not in t]
     phrases = [t for t in terms if " " in t]
-    lower = F.lower(text)
-    tokens = F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0))
-    hits = F.size(F.filter(tokens, lambda t: t.isin(words))) if words else F.lit(0)
-    hits = reduce(lambda total, p: total + _occurrences(lower, p), phrases, hits)
-    total = F.size(tokens)
-    score = F.least(F.lit(1.0), hits / total.cast("double"))
-    return F.when(text.isNotNull() & (total > 0), score).otherwise(F.lit(0.0))
+
+    def score(lower: Column, tokens: Column) -> Column:
+        # A long IN list over literals becomes a hash lookup.
+        hits = F.size(F.filter(tokens, lambda t: t.isin(words))) if words else F.lit(0)
+        hits = reduce(lambda total, p: total + _occurrences(lower, p), phrases, hits)
+        share = hits / F.size(tokens).cast("double")
+        return F.when(F.size(tokens) > 0, F.least(F.lit(1.0), share))
+
+    found = _let(
+        F.lower(text),
+        lambda low: _let(
+            F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)), lambda tokens: score(low, tokens)
+        ),
+    )
+    return F.coalesce(found, F.lit(0.0))
 
 
 def fluff_flag(
@@ -78,11 +91,14 @@ def fluff_flag(
     tone_words: Iterable[str] = TONE_WORDS,
 ) -> Column:
     """True for a blank text, or one that is poor in vocabulary and has a tone word in it."""
-    lower = F.lower(text)
-    tone = reduce(
-        lambda seen, w: seen | F.contains(lower, F.lit(w)), list(tone_words), F.lit(False)
+    tone_words = list(tone_words)
+    tone = _let(
+        F.lower(text),
+        lambda low: reduce(
+            lambda seen, w: seen | F.contains(low, F.lit(w)), tone_words, F.lit(False)
+        ),
     )
     blank = text.isNull() | ~text.rlike(r"\S")
-    # The tone test is a plain substring search, so it goes first: most texts fail it and
-    # are never split into words.
+    # The tone test is a plain substring search, so it goes first: a text that fails it is
+    # never split into words.
     return F.when(blank, True).otherwise(tone & (vocabulary_score(text, terms) < threshold))

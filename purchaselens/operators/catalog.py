@@ -68,8 +68,12 @@ def normalize_catalog(
     parsed = products.select(
         F.from_json(F.col(json_col), PRODUCT_JSON, {"mode": mode}).alias("p")
     ).select("p.*")
-    rows = parsed.withColumn("tags", split_tags(F.col("tags"))).withColumn(
-        "v", F.explode("variants")
+    # An inner explode would make the optimizer test the array before it is exploded, that is
+    # parse the JSON once more; the outer one with a filter behind it parses once.
+    rows = (
+        parsed.withColumn("tags", split_tags(F.col("tags")))
+        .withColumn("v", F.explode_outer("variants"))
+        .filter(F.col("v").isNotNull())
     )
     price = F.trim(F.col("v.price"))
     before = F.trim(F.col("v.compare_at_price"))

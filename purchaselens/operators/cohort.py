@@ -57,22 +57,35 @@ def cohort_channel_mix(
     )
 
 
-def _wanted(cohort: DataFrame, pairs: DataFrame, pair_rows: int | None) -> DataFrame:
-    """What would count as a match: the cohort's own fragrance at similarity 1, and each
-    similar one. An item outside the pair table still matches itself."""
-    same = cohort.withColumn("b_fragrance", F.col("a_fragrance")).withColumn(
-        "similarity", F.lit(1.0)
+def _similar_lists(pairs: DataFrame, item: str) -> DataFrame:
+    """Per item its similar items (itself excluded) as one array."""
+    return (
+        pairs.filter(F.col("a") != F.col("b"))
+        .groupBy(F.col("a").alias(item))
+        .agg(F.collect_list(F.struct(F.col("b").alias("item"), "similarity")).alias("similar"))
     )
-    similar = lookup_join(
-        cohort,
-        pairs.filter(F.col("a") != F.col("b")).select(
-            F.col("a").alias("a_fragrance"), F.col("b").alias("b_fragrance"), "similarity"
-        ),
-        ["a_fragrance"],
-        rows=pair_rows,
-        row_bytes=PAIR_BYTES,
+
+
+def _with_similar(df: DataFrame, pairs: DataFrame, pair_rows: int | None) -> DataFrame:
+    """Add ``similar``, an array of (item, similarity), by the column ``fragrance``.
+
+    The lists hold ``pair_rows`` entries in all; that bound decides whether they may be
+    broadcast.
+    """
+    lists = _similar_lists(pairs, "fragrance")
+    if pair_rows is None:
+        pair_rows = pairs.count()
+    return lookup_join(
+        df, lists, ["fragrance"], "left", rows=pair_rows, row_bytes=PAIR_BYTES
     )
-    return same.unionByName(similar)
+
+
+def _or_none(array: Column, condition: Column) -> Column:
+    """The array where the condition holds, else nothing to explode."""
+    return F.coalesce(F.when(condition, array), F.array().cast(MATCHES))
+
+
+MATCHES = "array<struct<item:string,similarity:double>>"
 
 
 def cross_sell_similar(
@@ -91,39 +104,91 @@ def cross_sell_similar(
     (they are counted if it is missing). One row: cohort_size, cross_sell_count,
     conversion_rate in percent.
 
-    Both sides are reduced to distinct (guest, fragrance) before they meet, and that
-    reduction already distributes them by the join key. An empty fragrance counts in the
-    cohort and never matches; writing NULL as '' lets both uses share one shuffle.
+    One scan and no self-join. Lines shrink to one row per guest and fragrance that says
+    whether A and B were bought in it; an A row then asks for each similar fragrance, and a
+    guest is a hit where something is both asked for and bought. Every step is an
+    aggregation that combines before it shuffles, so a guest or fragrance with a large
+    share of all lines is no hot spot. A line without fragrance counts in the cohort and
+    never matches.
     """
-    cohort = (
-        _cohort_lines(transactions, cat_a, start, end)
-        .select("guest_id", F.coalesce("fragrance", F.lit("")).alias("a_fragrance"))
-        .distinct()
-    )
-    bought_b = (
-        transactions.filter((F.col("product_type") == cat_b) & named())
-        .select("guest_id", F.col("fragrance").alias("b_fragrance"))
-        .distinct()
-    )
-    hits = (
-        _wanted(cohort, pairs, pair_rows)
-        .select("guest_id", "b_fragrance")
-        .distinct()
-        .join(bought_b, ["guest_id", "b_fragrance"], "left_semi")
-        .agg(F.countDistinct("guest_id").alias("n"))
-        .scalar()
+    is_a = (F.col("product_type") == cat_a) & in_range(start, end)
+    is_b = F.col("product_type") == cat_b
+    bought = (
+        transactions.filter(F.col("product_type").isin(cat_a, cat_b))
+        .filter(is_a | is_b)
+        .groupBy("guest_id", F.when(named(), F.col("fragrance")).alias("fragrance"))
+        .agg(F.bool_or(is_a).alias("a"), F.bool_or(is_b).alias("b"))
     )
-    return (
-        cohort.agg(F.countDistinct("guest_id").alias("cohort_size"))
-        .withColumn("cross_sell_count", hits)
-        .withColumn("conversion_rate", _percent("cross_sell_count", "cohort_size"))
+    asked = F.transform("similar", lambda e: F.struct(
+        e["item"].alias("item"), F.lit(False).alias("a"), F.lit(True).alias("asked"),
+        F.lit(False).alias("b"),
+    ))
+    own = F.array(F.struct(
+        F.col("fragrance").alias("item"), F.col("a").alias("a"),
+        (F.col("a") & F.col("fragrance").isNotNull()).alias("asked"),
+        (F.col("b") & F.col("fragrance").isNotNull()).alias("b"),
+    ))
+    guests = (
+        _with_similar(bought, pairs, pair_rows)
+        .select(
+            "guest_id",
+            F.explode(F.when(F.col("a") & F.col("similar").isNotNull(), F.concat(own, asked))
+                      .otherwise(own)).alias("e"),
+        )
+        .groupBy("guest_id", "e.item")
+        .agg(*[F.bool_or(F.col("e")[f]).alias(f) for f in ("a", "asked", "b")])
+        .groupBy("guest_id")
+        .agg(
+            F.bool_or("a").alias("in_cohort"),
+            F.bool_or(F.col("asked") & F.col("b")).alias("hit"),
+        )
+        .filter("in_cohort")
     )
+    return guests.agg(
+        F.count("guest_id").alias("cohort_size"),
+        F.count_if(F.col("hit") & F.col("guest_id").isNotNull()).alias("cross_sell_count"),
+    ).withColumn("conversion_rate", _percent("cross_sell_count", "cohort_size"))
 
 
 def _percent(part: str, whole: str) -> Column:
     return round_to(F.col(part) * F.lit(100.0) / F.greatest(F.col(whole), F.lit(1)), 1)
 
 
+def _asked_and_bought(
+    bought: DataFrame, pairs: DataFrame, pair_rows: int | None, asker: list[str], seller: list[str]
+) -> DataFrame:
+    """Pair what guests asked for with what they bought, guest by guest and item by item.
+
+    ``bought`` has one row per guest, fragrance and the columns that tell purchases apart:
+    ``a`` (is it an A purchase), ``b_date`` (first B purchase or NULL). The result has one
+    row per match: guest_id, the asker's columns, a_fragrance, similarity, the seller's
+    columns, b_date, b_fragrance. An item of one guest gathers at most one entry per
+    product type and similar item, whatever the number of lines.
+    """
+    asks = F.struct(
+        *[F.col(c) for c in asker], F.col("fragrance").alias("a_fragrance"),
+        F.col("e.similarity").alias("similarity"),
+    )
+    sells = F.struct(*[F.col(c) for c in seller], "b_date")
+    own = F.array(F.struct(F.col("fragrance").alias("item"), F.lit(1.0).alias("similarity")))
+    return (
+        _with_similar(bought, pairs, pair_rows)
+        .select(
+            "*", F.explode(F.concat(own, _or_none(F.col("similar"), F.col("a")))).alias("e")
+        )
+        .groupBy("guest_id", F.col("e.item").alias("b_fragrance"))
+        .agg(
+            F.collect_list(F.when(F.col("a"), asks)).alias("asks"),
+            F.collect_list(
+                F.when((F.col("e.item") == F.col("fragrance")) & F.col("b_date").isNotNull(), sells)
+            ).alias("sells"),
+        )
+        .select("guest_id", "b_fragrance", F.explode("sells").alias("s"), "asks")
+        .select("guest_id", "b_fragrance", "s.*", F.explode("asks").alias("q"))
+        .select("guest_id", "b_fragrance", *seller, "b_date", "q.*")
+    )
+
+
 def cross_sell_matches(
     transactions: DataFrame,
     pairs: DataFrame,
@@ -138,21 +203,20 @@ def cross_sell_matches(
 
     The first B fragrance in name order decides among purchases of one day.
     """
-    cohort = (
-        _cohort_lines(transactions, cat_a, start, end)
-        .filter(named())
-        .select("guest_id", F.col("fragrance").alias("a_fragrance"))
-        .distinct()
-    )
-    bought_b = (
-        transactions.filter((F.col("product_type") == cat_b) & named())
-        .groupBy("guest_id", F.col("fragrance").alias("b_fragrance"))
-        .agg(F.min("transaction_date").alias("b_date"))
+    is_a = (F.col("product_type") == cat_a) & in_range(start, end)
+    is_b = F.col("product_type") == cat_b
+    bought = (
+        transactions.filter(F.col("product_type").isin(cat_a, cat_b))
+        .filter((is_a | is_b) & named() & F.col("guest_id").isNotNull())
+        .groupBy("guest_id", "fragrance")
+        .agg(
+            F.bool_or(is_a).alias("a"),
+            F.min(F.when(is_b, F.col("transaction_date"))).alias("b_date"),
+        )
     )
     best = F.min(F.struct("b_date", "b_fragrance", "similarity"))
     return (
-        _wanted(cohort, pairs, pair_rows)
-        .join(bought_b, ["guest_id", "b_fragrance"])
+        _asked_and_bought(bought, pairs, pair_rows, [], [])
         .groupBy("guest_id", "a_fragrance")
         .agg(best.alias("best"))
         .select(
@@ -166,6 +230,9 @@ def cross_sell_matches(
     )
 
 
+GUEST_SLICES = 256
+
+
 def cross_sell_recommendations(
     transactions: DataFrame,
     pairs: DataFrame,
@@ -180,68 +247,64 @@ def cross_sell_recommendations(
     One grouped job instead of one query per pair of types. Pairs of types without any
     match are reported too, and refused by the gate.
     """
-    in_cohort = transactions.filter(in_range(start, end))
-    cohort = (
-        in_cohort.filter(named())
-        .select(
-            "guest_id", F.col("product_type").alias("category_a"),
-            F.col("fragrance").alias("a_fragrance"),
-        )
-        .distinct()
-    )
-    bought_b = (
-        transactions.filter(named())
-        .groupBy(
-            "guest_id", F.col("fragrance").alias("b_fragrance"),
-            F.col("product_type").alias("category_b"),
-        )
-        .agg(F.min("transaction_date").alias("b_date"))
+    bought = (
+        transactions.filter(named() & F.col("guest_id").isNotNull())
+        .groupBy("guest_id", "fragrance", "product_type")
+        .agg(F.bool_or(in_range(start, end)).alias("a"), F.min("transaction_date").alias("b_date"))
+        .withColumn("category_a", F.col("product_type"))
+        .withColumn("category_b", F.col("product_type"))
     )
     kinds = ["category_a", "category_b"]
     matches = (
-        _wanted(cohort, pairs, pair_rows)
-        .join(bought_b, ["guest_id", "b_fragrance"])
+        _asked_and_bought(bought, pairs, pair_rows, ["category_a"], ["category_b"])
         .filter(F.col("category_a") != F.col("category_b"))
         .groupBy(*kinds, "guest_id", "a_fragrance")
         .agg(F.min(F.struct("b_date", "b_fragrance")).alias("best"))
     )
-    counts = matches.groupBy(*kinds).agg(F.countDistinct("guest_id").alias("overlap_count"))
-
-    # A rank limit directly above the window lets Spark cut each task's rows to the sample
-    # before they are shuffled, so a pair of types holding most matches is no hot spot.
-    order = Window.partitionBy(*kinds).orderBy("guest_id", "a_fragrance")
-    label_a = F.concat("category_a", F.lit(" ("), "a_fragrance", F.lit(")"))
-    label_b = F.concat("category_b", F.lit(" ("), F.col("best.b_fragrance"), F.lit(")"))
-    samples = (
-        matches.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= sample)
+    # A pair of types may hold most of the matches: its guests are spread over slices, each
+    # slice counts its guests and keeps its first rows, and the slices are put together.
+    in_slice = Window.partitionBy(*kinds, "slice").orderBy("guest_id", "a_fragrance")
+    shown = F.struct(
+        "guest_id", "a_fragrance",
+        F.concat("category_a", F.lit(" ("), "a_fragrance", F.lit(")")).alias("a"),
+        F.concat("category_b", F.lit(" ("), F.col("best.b_fragrance"), F.lit(")")).alias("b"),
+    )
+    counts = (
+        matches.withColumn("slice", F.pmod(F.xxhash64("guest_id"), F.lit(GUEST_SLICES)))
+        .withColumn("guest_no", F.dense_rank().over(in_slice.orderBy("guest_id")))
+        .withColumn("row_no", F.row_number().over(in_slice))
+        .groupBy(*kinds, "slice")
+        .agg(
+            F.max("guest_no").cast("bigint").alias("guests"),
+            F.collect_list(F.when(F.col("row_no") <= sample, shown)).alias("shown"),
+        )
         .groupBy(*kinds)
         .agg(
-            F.array_sort(
-                F.collect_list(F.struct("rank", label_a.alias("a"), label_b.alias("b")))
-            ).alias("ranked")
+            F.sum("guests").alias("overlap_count"),
+            F.slice(F.array_sort(F.flatten(F.collect_list("shown"))), 1, sample).alias("shown"),
         )
         .select(
             *kinds,
-            F.transform("ranked", lambda e: F.struct(e.a.alias("a"), e.b.alias("b"))).alias(
+            "overlap_count",
+            F.transform("shown", lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"))).alias(
                 "fragrance_pairs"
             ),
         )
     )
-    types_a = in_cohort.groupBy(F.col("product_type").alias("category_a")).agg(
-        F.countDistinct("guest_id").alias("cohort_size")
+    # The frame of the report: every ordered pair of type names, from one row per type.
+    types = transactions.groupBy("product_type").agg(
+        F.countDistinct(F.when(in_range(start, end), F.col("guest_id"))).alias("cohort_size")
     )
-    # The frame of the report is every ordered pair of type names, attached as one array.
-    type_names = transactions.agg(
-        F.array_sort(F.collect_set("product_type")).alias("names")
-    ).scalar()
-    frame = types_a.withColumn("category_b", F.explode(type_names)).filter(
-        F.col("category_a") != F.col("category_b")
+    names = F.collect_list("product_type").over(Window.partitionBy(F.lit(0)))
+    frame = (
+        types.withColumn("names", names)
+        .withColumn("category_b", F.explode("names"))
+        .withColumnRenamed("product_type", "category_a")
+        .filter((F.col("category_a") != F.col("category_b")) & (F.col("cohort_size") > 0))
     )
     text = [str(start), str(end), f"thr={threshold}"]
     evidence = (
         frame.join(counts, kinds, "left")
-        .join(samples, kinds, "left")
         .select(
             *kinds,
             "cohort_size",

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.money import money_avg, money_sum, round_to
 from ..schema import named
@@ -70,22 +71,40 @@ def category_affinity(
     """What else the buyers of a category buy.
 
     The category is a case-insensitive part of the type name; its date range limits the
-    buyers, not their other purchases.
+    buyers, not their other purchases. One scan: lines are counted per guest and type, and
+    the few rows of a guest then tell whether it belongs to the cohort.
     """
     is_category = F.col("product_type").ilike(f"%{category}%")
-    cohort = transactions.filter(is_category & in_range(start, end)).select("guest_id").distinct()
-    # One row per guest and type before anything is joined on the guest.
+    guest = Window.partitionBy("guest_id")
     bought = (
-        transactions.filter(~is_category)
-        .groupBy("guest_id", "product_type")
-        .agg(F.count("*").alias("lines"))
+        transactions.groupBy("guest_id", "product_type")
+        .agg(
+            F.count("*").alias("lines"),
+            F.coalesce(F.bool_or(is_category & in_range(start, end)), F.lit(False)).alias("target"),
+        )
+        .withColumn("in_cohort", F.max("target").over(guest))
+        .filter("in_cohort")
+        # One of the cohort rows of each guest stands for the guest.
+        .withColumn("cohort_guest", F.row_number().over(guest.orderBy(F.desc("target"))) == 1)
+    )
+    by_type = bought.groupBy("product_type").agg(
+        F.count("guest_id").alias("unique_guests"),
+        F.sum(F.when(F.col("guest_id").isNotNull(), F.col("lines"))).alias("total_purchases"),
+        F.count_if("cohort_guest").alias("cohort_guests"),
     )
-    size = cohort.agg(F.count("*").alias("n")).scalar()
+    # By now there is one row per product type.
+    size = F.sum("cohort_guests").over(Window.partitionBy(F.lit(0)))
     return (
-        bought.join(cohort, "guest_id", "left_semi")
-        .groupBy("product_type")
-        .agg(F.count("*").alias("unique_guests"), F.sum("lines").alias("total_purchases"))
-        .withColumn("pct_of_target", round_to(F.col("unique_guests") * F.lit(100.0) / size, 1))
+        by_type.withColumn("size", size)
+        .filter(~is_category & (F.col("unique_guests") > 0))
+        .select(
+            "product_type",
+            "unique_guests",
+            "total_purchases",
+            round_to(F.col("unique_guests") * F.lit(100.0) / F.col("size"), 1).alias(
+                "pct_of_target"
+            ),
+        )
         .orderBy(F.desc("unique_guests"), "product_type")
     )
 
@@ -213,34 +232,60 @@ def market_basket(
     """Pairs of product types in one transaction; the top ``n``.
 
     A pair counts once per pair of lines, with the date range applied to the first line
-    only; ``distinct_orders=True`` counts each transaction once instead. Lines are counted
-    per transaction and type before the self-join, so a transaction meets itself with one
-    row per product type however many lines it has, and the pair counts are products.
+    only; ``distinct_orders=True`` counts each transaction once instead.
+
+    One scan, no self-join. Lines are first counted per transaction and type, which leaves a
+    transaction with at most one entry per product type however many lines it has; pair
+    counts are then products of line counts. An entry without a type rides along for each
+    transaction in the range, so that the pair without types counts the orders.
     """
-    counted = transactions.groupBy("transaction_id", "product_type").agg(
-        F.count("*").alias("lines"),
-        F.count_if(in_range(start, end)).alias("lines_in_range"),
-    )
-    a = counted.filter(F.col("lines_in_range") > 0).select(
-        "transaction_id", F.col("product_type").alias("product_a"), "lines_in_range"
+    entry = F.struct("product_type", "lines", "lines_in_range")
+    baskets = (
+        transactions.filter(F.col("transaction_id").isNotNull())
+        .groupBy("transaction_id", "product_type")
+        .agg(
+            F.count("*").alias("lines"),
+            F.count_if(in_range(start, end)).alias("lines_in_range"),
+        )
+        .groupBy("transaction_id")
+        .agg(
+            F.collect_list(F.when(F.col("product_type").isNotNull(), entry)).alias("types"),
+            F.max("lines_in_range").alias("any_in_range"),
+        )
+        .filter(F.col("any_in_range") > 0)
     )
-    b = counted.select(
-        "transaction_id", F.col("product_type").alias("product_b"), "lines"
+    order = F.struct(
+        F.lit(None).cast("string").alias("product_type"),
+        F.lit(1).cast("bigint").alias("lines"),
+        F.lit(1).cast("bigint").alias("lines_in_range"),
     )
-    weight = F.lit(1) if distinct_orders else F.col("lines_in_range") * F.col("lines")
-    orders = (
-        transactions.filter(in_range(start, end))
-        .agg(F.countDistinct("transaction_id").alias("n"))
-        .scalar()
+    a, b = F.col("a.product_type"), F.col("b.product_type")
+    is_order = F.col("product_a").isNull()
+    pairs = (
+        baskets.select(F.explode(F.array_append("types", order)).alias("a"), "types")
+        .filter(F.col("a.lines_in_range") > 0)
+        .select("a", F.explode(F.when(a.isNull(), F.array(order)).otherwise(F.col("types"))).alias("b"))
+        .filter(a.isNull() | (a < b))
+        .groupBy(a.alias("product_a"), b.alias("product_b"))
+        .agg(
+            (F.count("*") if distinct_orders else F.sum(F.col("a.lines_in_range") * F.col("b.lines")))
+            .alias("co_occurrences")
+        )
     )
+    ranked = (F.desc("co_occurrences"), "product_a", "product_b")
+    # The order count sorts first, so n + 1 rows are enough for it and the top pairs.
+    top = pairs.orderBy(F.desc(is_order), *ranked).limit(n + 1)
+    orders = F.max(F.when(is_order, F.col("co_occurrences"))).over(Window.partitionBy(F.lit(0)))
     return (
-        a.join(b, "transaction_id")
-        .filter(F.col("product_a") < F.col("product_b"))
-        .groupBy("product_a", "product_b")
-        .agg(F.sum(weight).alias("co_occurrences"))
-        .withColumn(
-            "pct_of_orders", round_to(F.col("co_occurrences") * F.lit(100.0) / orders, 2)
-        )
-        .orderBy(F.desc("co_occurrences"), "product_a", "product_b")
-        .limit(n)
+        top.withColumn("orders", orders)
+        .filter(~is_order)
+        .select(
+            "product_a",
+            "product_b",
+            "co_occurrences",
+            round_to(F.col("co_occurrences") * F.lit(100.0) / F.col("orders"), 2).alias(
+                "pct_of_orders"
+            ),
+        )
+        .orderBy(*ranked)
     )

@@ -35,18 +35,24 @@ DISCOUNT_CODES = ("WELCOME10", "LOYALTY15", "BOGO20", "SEASONAL25", "VIP20")
 FIRST_DAY, LAST_DAY = "2022-01-01", "2026-05-01"
 PREFERRED_SHARE, CHANNEL_SHARE, DISCOUNT_SHARE = 0.7, 0.8, 0.2
 
-_DIGITS = 6
-_SPAN = 16**_DIGITS
+# A SHA-256 is read as four numbers of 60 bits, each good for three draws of 20 bits or
+# one of 40.
+_SPAN = 1 << 20
 
 
-def _draw(hash_col: str, slot: int) -> Column:
-    """Slot 0..7 of a hash as an integer below 16**6."""
-    return F.conv(F.substring(hash_col, 1 + slot * _DIGITS, _DIGITS), 16, 10).cast("bigint")
+def _number(hash_col: str, at: int) -> Column:
+    return F.conv(F.substring(hash_col, 1 + 15 * at, 15), 16, 10).cast("bigint")
 
 
-def _wide_draw(hash_col: str) -> Column:
-    """The last 12 digits of a hash: room for more guests than six digits can tell apart."""
-    return F.conv(F.substring(hash_col, 53, 12), 16, 10).cast("bigint")
+def _draw(number: str, slot: int) -> Column:
+    """Slot 0, 1 or 2 of a 60-bit number as an integer below 2**20."""
+    shifted = F.shiftright(F.col(number), 40 - 20 * slot) if slot < 2 else F.col(number)
+    return shifted.bitwiseAND(F.lit(_SPAN - 1))
+
+
+def _wide_draw(number: str) -> Column:
+    """The upper 40 bits: room for more guests than 20 bits can tell apart."""
+    return F.shiftright(F.col(number), 20)
 
 
 def _pick(draw: Column, n: Column | int) -> Column:
@@ -91,32 +97,39 @@ def synthetic_lines(
         ids.select(F.col(id_col).alias("line_no"), order_no.alias("order_no"))
         .withColumn("o", _hash(seed, "order", F.col("order_no")))
         .withColumn("l", _hash(seed, "line", F.col("line_no")))
-        .withColumn("guest_no", _pick(_wide_draw("o"), n_guests) + 1)
-        .withColumn("day", _pick(_draw("o", 1), days + 1).cast("int"))
+        .withColumns(
+            {
+                "o0": _number("o", 0), "o1": _number("o", 1),
+                "l0": _number("l", 0), "l1": _number("l", 1), "l2": _number("l", 2),
+            }
+        )
+        .withColumn("guest_no", _pick(_wide_draw("o0"), n_guests) + 1)
+        .withColumn("day", _pick(_draw("o0", 2), days + 1).cast("int"))
         .withColumn("g", _hash(seed, "guest", F.col("guest_no")))
-        .withColumn("kind", _pick(_draw("l", 0), len(PRICES)).cast("int"))
+        .withColumns({"g0": _number("g", 0), "g1": _number("g", 1)})
+        .withColumn("kind", _pick(_draw("l0", 0), len(PRICES)).cast("int"))
     )
     # Preferred fragrances: a first position, and two steps that cannot meet it again.
     n = len(FRAGRANCES)
-    first = _pick(_draw("g", 1), n)
-    second = F.pmod(first + 1 + _pick(_draw("g", 2), n // 2 - 1), F.lit(n))
-    third = F.pmod(first + n // 2 + _pick(_draw("g", 3), n // 2), F.lit(n))
+    first = _pick(_draw("g0", 1), n)
+    second = F.pmod(first + 1 + _pick(_draw("g0", 2), n // 2 - 1), F.lit(n))
+    third = F.pmod(first + n // 2 + _pick(_draw("g1", 0), n // 2), F.lit(n))
     preferred = F.get(
         F.array(first, second, third),
-        _pick(_draw("l", 2), _pick(_draw("g", 0), 3) + 1).cast("int"),
+        _pick(_draw("l0", 2), _pick(_draw("g0", 0), 3) + 1).cast("int"),
     )
-    scent = F.when(_chance(_draw("l", 1), PREFERRED_SHARE), preferred).otherwise(
-        _pick(_draw("l", 3), n)
+    scent = F.when(_chance(_draw("l0", 1), PREFERRED_SHARE), preferred).otherwise(
+        _pick(_draw("l1", 0), n)
     )
     channel = F.when(
-        _chance(_draw("o", 2), CHANNEL_SHARE), _pick(_draw("g", 4), len(CHANNELS))
-    ).otherwise(_pick(_draw("o", 3), len(CHANNELS)))
+        _chance(_draw("o1", 0), CHANNEL_SHARE), _pick(_draw("g1", 1), len(CHANNELS))
+    ).otherwise(_pick(_draw("o1", 1), len(CHANNELS)))
     price = F.floor(
-        (F.get(low, F.col("kind")) + F.get(width, F.col("kind")) * _draw("l", 4) / F.lit(float(_SPAN)))
+        (F.get(low, F.col("kind")) + F.get(width, F.col("kind")) * _draw("l1", 1) / F.lit(float(_SPAN)))
         * 100 + 0.5
     ) / F.lit(100.0)
-    discounted = _chance(_draw("l", 5), DISCOUNT_SHARE)
-    discount = F.floor(F.col("price") * _choose(DISCOUNT_RATES, _draw("l", 6)) * 100 + 0.5) / F.lit(
+    discounted = _chance(_draw("l1", 2), DISCOUNT_SHARE)
+    discount = F.floor(F.col("price") * _choose(DISCOUNT_RATES, _draw("l2", 0)) * 100 + 0.5) / F.lit(
         100.0
     )
     date = F.date_add(F.lit(FIRST_DAY).cast("date"), F.col("day"))
@@ -131,7 +144,7 @@ def synthetic_lines(
         F.get(F.array(*[F.lit(f) for f in FRAGRANCES]), scent.cast("int")).alias("fragrance"),
         "price",
         F.when(discounted, discount).otherwise(0.0).alias("discount_amount"),
-        F.when(discounted, _choose(DISCOUNT_CODES, _draw("l", 7))).otherwise("").alias(
+        F.when(discounted, _choose(DISCOUNT_CODES, _draw("l2", 1))).otherwise("").alias(
             "discount_code"
         ),
         F.get(F.array(*[F.lit(c) for c in CHANNELS]), channel.cast("int")).alias("channel"),

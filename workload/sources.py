@@ -134,30 +134,38 @@ def _sql_list(values):
     return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" for v in values) + "]"
 
 
-def _d(hash_col, slot):
-    return f"CAST('0x' || substr({hash_col}, {1 + 6 * slot}, 6) AS BIGINT)"
+def _n(hash_col, at):
+    return f"CAST('0x' || substr({hash_col}, {1 + 15 * at}, 15) AS BIGINT)"
+
+
+def _d(number, slot):
+    return f"(({number} >> {40 - 20 * slot}) & 1048575)"
 
 
 SYNTHETIC = sql(
     """ids AS (SELECT l_orderkey * 8 + l_linenumber AS id FROM lineitem)""",
-    """drawn AS (
-  SELECT id, id // 8 AS order_no, sha256('7|order|' || (id // 8)) AS o,
-         sha256('7|line|' || id) AS l FROM ids)""",
+    """hashed AS (
+  SELECT id // 8 AS order_no, sha256('7|order|' || (id // 8)) AS o, sha256('7|line|' || id) AS l
+  FROM ids)""",
+    f"""drawn AS (
+  SELECT order_no, {_n('o', 0)} AS o0, {_n('o', 1)} AS o1, {_n('l', 0)} AS l0,
+         {_n('l', 1)} AS l1, {_n('l', 2)} AS l2 FROM hashed)""",
     """guests AS (
-  SELECT *, CAST('0x' || substr(o, 53, 12) AS BIGINT) % (SELECT COUNT(*) FROM customer) + 1
-         AS guest_no FROM drawn)""",
+  SELECT *, (o0 >> 20) % (SELECT COUNT(*) FROM customer) + 1 AS guest_no FROM drawn)""",
     f"""habits AS (
-  SELECT *, sha256('7|guest|' || guest_no) AS g, {_d('l', 0)} % 10 AS kind,
-         DATE '2022-01-01' + CAST({_d('o', 1)} %
-           (DATE '2026-05-01' - DATE '2022-01-01' + 1) AS INTEGER) AS day FROM guests)""",
+  SELECT *, {_d('l0', 0)} % 10 AS kind,
+         DATE '2022-01-01' + CAST({_d('o0', 2)} %
+           (DATE '2026-05-01' - DATE '2022-01-01' + 1) AS INTEGER) AS day,
+         {_n("sha256('7|guest|' || guest_no)", 0)} AS g0,
+         {_n("sha256('7|guest|' || guest_no)", 1)} AS g1 FROM guests)""",
     f"""picked AS (
-  SELECT *, {_d('g', 1)} % 16 AS f1, ({_d('g', 1)} % 16 + 1 + {_d('g', 2)} % 7) % 16 AS f2,
-         ({_d('g', 1)} % 16 + 8 + {_d('g', 3)} % 8) % 16 AS f3,
-         {_d('l', 2)} % ({_d('g', 0)} % 3 + 1) AS which,
+  SELECT *, {_d('g0', 1)} % 16 AS f1, ({_d('g0', 1)} % 16 + 1 + {_d('g0', 2)} % 7) % 16 AS f2,
+         ({_d('g0', 1)} % 16 + 8 + {_d('g1', 0)} % 8) % 16 AS f3,
+         {_d('l0', 2)} % ({_d('g0', 0)} % 3 + 1) AS which,
          FLOOR(({_sql_list([p[0] for p in synth.PRICES.values()])}[kind + 1]
            + {_sql_list([p[1] - p[0] for p in synth.PRICES.values()])}[kind + 1]
-             * {_d('l', 4)} / CAST(16777216 AS DOUBLE)) * 100 + 0.5) / CAST(100 AS DOUBLE) AS price,
-         {_d('l', 5)} < 3355443 AS discounted FROM habits)""",
+             * {_d('l1', 1)} / CAST(1048576 AS DOUBLE)) * 100 + 0.5) / CAST(100 AS DOUBLE) AS price,
+         {_d('l1', 2)} < 209715 AS discounted FROM habits)""",
     select=f"""
 SELECT 'TX-' || strftime(day, '%Y%m%d') || '-' || CASE WHEN length(CAST(order_no AS VARCHAR)) < 6
          THEN lpad(CAST(order_no AS VARCHAR), 6, '0') ELSE CAST(order_no AS VARCHAR) END
@@ -167,15 +175,15 @@ SELECT 'TX-' || strftime(day, '%Y%m%d') || '-' || CASE WHEN length(CAST(order_no
          AS guest_id,
        CAST(day AS VARCHAR) AS transaction_date,
        {_sql_list(synth.PRICES)}[kind + 1] AS product_type,
-       {_sql_list(synth.FRAGRANCES)}[CASE WHEN {_d('l', 1)} < 11744051 THEN [f1, f2, f3][which + 1]
-                                          ELSE {_d('l', 3)} % 16 END + 1] AS fragrance,
+       {_sql_list(synth.FRAGRANCES)}[CASE WHEN {_d('l0', 1)} < 734003 THEN [f1, f2, f3][which + 1]
+                                          ELSE {_d('l1', 0)} % 16 END + 1] AS fragrance,
        price,
-       CASE WHEN discounted THEN FLOOR(price * {_sql_list(synth.DISCOUNT_RATES)}[{_d('l', 6)} % 4 + 1]
+       CASE WHEN discounted THEN FLOOR(price * {_sql_list(synth.DISCOUNT_RATES)}[{_d('l2', 0)} % 4 + 1]
          * 100 + 0.5) / CAST(100 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS discount_amount,
-       CASE WHEN discounted THEN {_sql_list(synth.DISCOUNT_CODES)}[{_d('l', 7)} % 5 + 1]
+       CASE WHEN discounted THEN {_sql_list(synth.DISCOUNT_CODES)}[{_d('l2', 1)} % 5 + 1]
             ELSE '' END AS discount_code,
-       {_sql_list(synth.CHANNELS)}[CASE WHEN {_d('o', 2)} < 13421772 THEN {_d('g', 4)} % 4
-                                        ELSE {_d('o', 3)} % 4 END + 1] AS channel
+       {_sql_list(synth.CHANNELS)}[CASE WHEN {_d('o1', 0)} < 838860 THEN {_d('g1', 1)} % 4
+                                        ELSE {_d('o1', 1)} % 4 END + 1] AS channel
 FROM picked""",
 )
 

@@ -12,7 +12,7 @@ from .tables import TRANSACTIONS, read, sql, transactions
 
 def _orders(spark, sf_dir):
     """Every order with text fields, the damage depending on its status and priority."""
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    day = F.col("o_orderdate").cast("date").cast("string")
     low = F.col("o_orderpriority")
     return read(spark, sf_dir, "orders").select(
         "o_orderkey",
