@@ -34,25 +34,36 @@ def cross_sell_exact(
 ) -> DataFrame:
     """One row per (A line in range, B line at any time) of one guest in one fragrance.
 
-    Result rows carry no line identity, so both sides are first counted per day. That leaves
-    at most one row per calendar day for even the busiest guest and fragrance; the join runs
-    on those and the multiplicity is written out last.
+    One scan, no self-join. Result rows carry no line identity, so lines are counted per day
+    first; that leaves at most one entry per calendar day for even the busiest guest and
+    fragrance. The days are paired, and the multiplicity is written out last.
     """
-    keys = ["guest_id", "fragrance"]
-    a = (
-        transactions.filter((F.col("product_type") == cat_a) & in_range(start, end))
-        .groupBy(*keys, F.col("transaction_date").alias("first_purchase_date"))
-        .agg(F.count("*").alias("a_lines"))
-    )
-    b = (
-        transactions.filter(F.col("product_type") == cat_b)
-        .groupBy(*keys, F.col("transaction_date").alias("cross_sell_date"))
-        .agg(F.count("*").alias("b_lines"))
-    )
+    is_a = (F.col("product_type") == cat_a) & in_range(start, end)
+    is_b = F.col("product_type") == cat_b
 
-    pairs = _repeat(_repeat(a.join(b, keys), "a_lines"), "b_lines")
+    def days(lines: str) -> Column:
+        entry = F.struct(F.col("transaction_date").alias("day"), F.col(lines).alias("lines"))
+        return F.collect_list(F.when(F.col(lines) > 0, entry))
+
+    paired = (
+        transactions.filter(F.col("product_type").isin(cat_a, cat_b))
+        .filter((is_a | is_b) & F.col("guest_id").isNotNull() & F.col("fragrance").isNotNull())
+        .groupBy("guest_id", "fragrance", "transaction_date")
+        .agg(F.count_if(is_a).alias("a_lines"), F.count_if(is_b).alias("b_lines"))
+        .groupBy("guest_id", "fragrance")
+        .agg(days("a_lines").alias("a_days"), days("b_lines").alias("b_days"))
+        .filter((F.size("a_days") > 0) & (F.size("b_days") > 0))
+        .withColumn("a", F.explode("a_days"))
+        .withColumn("b", F.explode("b_days"))
+        .select(
+            "guest_id", "fragrance",
+            F.col("a.day").alias("first_purchase_date"), F.col("a.lines").alias("a_lines"),
+            F.col("b.day").alias("cross_sell_date"), F.col("b.lines").alias("b_lines"),
+        )
+    )
     return (
-        pairs.select(
+        _repeat(_repeat(paired, "a_lines"), "b_lines")
+        .select(
             "guest_id",
             F.lit(cat_a).alias("first_purchase_category"),
             F.col("fragrance").alias("first_fragrance"),

@@ -35,6 +35,16 @@ CASES = {
         AND b.fragrance = a.fragrance
         WHERE a.product_type = 'Body Lotion' AND a.{RANGE}""",
     ),
+    "exact_same_type": (
+        lambda t: r.cross_sell_exact(t, "Candle", "Candle", S, E),
+        f"""SELECT a.guest_id, a.product_type first_purchase_category,
+        a.fragrance first_fragrance, a.transaction_date first_purchase_date,
+        b.product_type cross_sell_category, b.fragrance cross_sell_fragrance,
+        b.transaction_date cross_sell_date
+        FROM t a JOIN t b ON a.guest_id = b.guest_id AND b.product_type = 'Candle'
+        AND b.fragrance = a.fragrance
+        WHERE a.product_type = 'Candle' AND a.{RANGE}""",
+    ),
     "affinity": (
         lambda t: r.category_affinity(t, "body", S, E),
         f"""WITH g AS (SELECT DISTINCT guest_id FROM t WHERE product_type ILIKE '%body%' AND {RANGE})
