@@ -15,6 +15,11 @@ from .gate import recommendation_gate
 from .reports import in_range
 
 PAIR_BYTES = 128
+MATCHES = "array<struct<item:string,similarity:double>>"
+# Later than any date, as a day number.
+NEVER = 10_000_000
+# Parts into which the matches of one pair of product types are split by guest.
+GUEST_SLICES = 256
 
 
 def _cohort_lines(
@@ -80,14 +85,6 @@ def _with_similar(df: DataFrame, pairs: DataFrame, pair_rows: int | None) -> Dat
     )
 
 
-def _or_none(array: Column, condition: Column) -> Column:
-    """The array where the condition holds, else nothing to explode."""
-    return F.coalesce(F.when(condition, array), F.array().cast(MATCHES))
-
-
-MATCHES = "array<struct<item:string,similarity:double>>"
-
-
 def cross_sell_similar(
     transactions: DataFrame,
     pairs: DataFrame,
@@ -155,38 +152,54 @@ def _percent(part: str, whole: str) -> Column:
 
 
 def _asked_and_bought(
-    bought: DataFrame, pairs: DataFrame, pair_rows: int | None, asker: list[str], seller: list[str]
+    lines: DataFrame,
+    pairs: DataFrame,
+    pair_rows: int | None,
+    keys: dict[str, tuple[str, str]],
+    is_a: Column,
+    is_b: Column,
 ) -> DataFrame:
-    """Pair what guests asked for with what they bought, guest by guest and item by item.
+    """Pair what each guest asked for by an A purchase with its B purchases.
+
+    ``keys`` names further columns that tell purchases apart, with their names on the A and
+    the B side. One row per match: guest_id, the A columns, a_fragrance, similarity, the B
+    columns, b_fragrance and b_date, the first day it was bought.
 
-    ``bought`` has one row per guest, fragrance and the columns that tell purchases apart:
-    ``a`` (is it an A purchase), ``b_date`` (first B purchase or NULL). The result has one
-    row per match: guest_id, the asker's columns, a_fragrance, similarity, the seller's
-    columns, b_date, b_fragrance. An item of one guest gathers at most one entry per
-    product type and similar item, whatever the number of lines.
+    Both sides come from one aggregate with one row per guest, fragrance and key. Whether it
+    holds an A purchase and the day of its first B purchase are packed into one number:
+    each side then needs all of the aggregate, its column pruning is the same, and Spark
+    computes and shuffles it once for both.
     """
-    asks = F.struct(
-        *[F.col(c) for c in asker], F.col("fragrance").alias("a_fragrance"),
-        F.col("e.similarity").alias("similarity"),
+    first_b = F.min(F.when(is_b, F.unix_date("transaction_date")))
+    packed = F.coalesce(first_b, F.lit(NEVER)) * 2 + F.coalesce(
+        F.bool_or(is_a), F.lit(False)
+    ).cast("int")
+    bought = (
+        lines.filter((is_a | is_b) & named() & F.col("guest_id").isNotNull())
+        .groupBy("guest_id", "fragrance", *keys)
+        .agg(packed.alias("packed"))
     )
-    sells = F.struct(*[F.col(c) for c in seller], "b_date")
     own = F.array(F.struct(F.col("fragrance").alias("item"), F.lit(1.0).alias("similarity")))
-    return (
-        _with_similar(bought, pairs, pair_rows)
+    asked = bought.filter(F.pmod("packed", F.lit(2)) == 1)
+    asks = (
+        _with_similar(asked, pairs, pair_rows)
+        .withColumn("e", F.explode(F.concat(own, F.coalesce("similar", F.array().cast(MATCHES)))))
         .select(
-            "*", F.explode(F.concat(own, _or_none(F.col("similar"), F.col("a")))).alias("e")
-        )
-        .groupBy("guest_id", F.col("e.item").alias("b_fragrance"))
-        .agg(
-            F.collect_list(F.when(F.col("a"), asks)).alias("asks"),
-            F.collect_list(
-                F.when((F.col("e.item") == F.col("fragrance")) & F.col("b_date").isNotNull(), sells)
-            ).alias("sells"),
+            "guest_id",
+            F.col("e.item").alias("b_fragrance"),
+            *[F.col(k).alias(a) for k, (a, _) in keys.items()],
+            F.col("fragrance").alias("a_fragrance"),
+            F.col("e.similarity").alias("similarity"),
         )
-        .select("guest_id", "b_fragrance", F.explode("sells").alias("s"), "asks")
-        .select("guest_id", "b_fragrance", "s.*", F.explode("asks").alias("q"))
-        .select("guest_id", "b_fragrance", *seller, "b_date", "q.*")
     )
+    day = F.floor(F.col("packed") / 2).cast("int")
+    sells = bought.filter(day < NEVER).select(
+        "guest_id",
+        F.col("fragrance").alias("b_fragrance"),
+        *[F.col(k).alias(b) for k, (_, b) in keys.items()],
+        F.date_from_unix_date(day).alias("b_date"),
+    )
+    return asks.join(sells, ["guest_id", "b_fragrance"])
 
 
 def cross_sell_matches(
@@ -205,18 +218,10 @@ def cross_sell_matches(
     """
     is_a = (F.col("product_type") == cat_a) & in_range(start, end)
     is_b = F.col("product_type") == cat_b
-    bought = (
-        transactions.filter(F.col("product_type").isin(cat_a, cat_b))
-        .filter((is_a | is_b) & named() & F.col("guest_id").isNotNull())
-        .groupBy("guest_id", "fragrance")
-        .agg(
-            F.bool_or(is_a).alias("a"),
-            F.min(F.when(is_b, F.col("transaction_date"))).alias("b_date"),
-        )
-    )
+    lines = transactions.filter(F.col("product_type").isin(cat_a, cat_b))
     best = F.min(F.struct("b_date", "b_fragrance", "similarity"))
     return (
-        _asked_and_bought(bought, pairs, pair_rows, [], [])
+        _asked_and_bought(lines, pairs, pair_rows, {}, is_a, is_b)
         .groupBy("guest_id", "a_fragrance")
         .agg(best.alias("best"))
         .select(
@@ -230,9 +235,6 @@ def cross_sell_matches(
     )
 
 
-GUEST_SLICES = 256
-
-
 def cross_sell_recommendations(
     transactions: DataFrame,
     pairs: DataFrame,
@@ -247,36 +249,31 @@ def cross_sell_recommendations(
     One grouped job instead of one query per pair of types. Pairs of types without any
     match are reported too, and refused by the gate.
     """
-    bought = (
-        transactions.filter(named() & F.col("guest_id").isNotNull())
-        .groupBy("guest_id", "fragrance", "product_type")
-        .agg(F.bool_or(in_range(start, end)).alias("a"), F.min("transaction_date").alias("b_date"))
-        .withColumn("category_a", F.col("product_type"))
-        .withColumn("category_b", F.col("product_type"))
-    )
     kinds = ["category_a", "category_b"]
-    matches = (
-        _asked_and_bought(bought, pairs, pair_rows, ["category_a"], ["category_b"])
-        .filter(F.col("category_a") != F.col("category_b"))
-        .groupBy(*kinds, "guest_id", "a_fragrance")
-        .agg(F.min(F.struct("b_date", "b_fragrance")).alias("best"))
-    )
+    matches = _asked_and_bought(
+        transactions, pairs, pair_rows, {"product_type": tuple(kinds)},
+        in_range(start, end), F.lit(True),
+    ).filter(F.col("category_a") != F.col("category_b"))
     # A pair of types may hold most of the matches: its guests are spread over slices, each
-    # slice counts its guests and keeps its first rows, and the slices are put together.
-    in_slice = Window.partitionBy(*kinds, "slice").orderBy("guest_id", "a_fragrance")
+    # slice counts its guests and keeps its first rows, and the slices are put together. All
+    # ranks read one sort order, longest first.
+    in_slice = Window.partitionBy(*kinds, "slice")
+    match = ("guest_id", "a_fragrance")
+    before = F.lag(F.struct(*match)).over(in_slice.orderBy(*match, "b_date", "b_fragrance"))
     shown = F.struct(
-        "guest_id", "a_fragrance",
+        *match,
         F.concat("category_a", F.lit(" ("), "a_fragrance", F.lit(")")).alias("a"),
-        F.concat("category_b", F.lit(" ("), F.col("best.b_fragrance"), F.lit(")")).alias("b"),
+        F.concat("category_b", F.lit(" ("), "b_fragrance", F.lit(")")).alias("b"),
     )
     counts = (
         matches.withColumn("slice", F.pmod(F.xxhash64("guest_id"), F.lit(GUEST_SLICES)))
+        .withColumn("best", ~before.eqNullSafe(F.struct(*match)))
+        .withColumn("match_no", F.dense_rank().over(in_slice.orderBy(*match)))
         .withColumn("guest_no", F.dense_rank().over(in_slice.orderBy("guest_id")))
-        .withColumn("row_no", F.row_number().over(in_slice))
         .groupBy(*kinds, "slice")
         .agg(
             F.max("guest_no").cast("bigint").alias("guests"),
-            F.collect_list(F.when(F.col("row_no") <= sample, shown)).alias("shown"),
+            F.collect_list(F.when(F.col("best") & (F.col("match_no") <= sample), shown)).alias("shown"),
         )
         .groupBy(*kinds)
         .agg(
