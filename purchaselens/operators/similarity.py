@@ -80,15 +80,12 @@ def _block_pairs(index: ItemIndex) -> DataFrame:
     )
 
 
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(table: pa.Table) -> tuple[pa.ChunkedArray, np.ndarray]:
     """Names in order and their vectors as a matrix."""
     table = table.sort_by("name")
-    names = np.asarray(table.column("name").to_pylist(), dtype=object)
-    flat = table.column("vector").combine_chunks()
-    if isinstance(flat, pa.ChunkedArray):
-        flat = flat.chunk(0) if flat.num_chunks else pa.array([], pa.list_(pa.float64()))
-    values = np.asarray(flat.flatten(), dtype=np.float64)
-    return names, values.reshape(len(names), -1) if len(names) else values.reshape(0, 1)
+    chunks = table.column("vector").chunks
+    values = np.concatenate([np.asarray(c.flatten(), dtype=np.float64) for c in chunks] or [[]])
+    return table.column("name"), values.reshape(table.num_rows, -1 if table.num_rows else 1)
 
 
 def _score_blocks(
@@ -99,30 +96,24 @@ def _score_blocks(
     ``keep(scores, same_block)`` returns the row and column numbers worth emitting.
     """
 
+    def found(a, b, scores: np.ndarray, same: bool) -> pa.Table:
+        i, j = keep(scores, same)
+        names = (a.take(pa.array(i)), b.take(pa.array(j)))
+        return pa.table({"a": names[0], "b": names[1], "similarity": scores[i, j]})
+
     def score(table: pa.Table) -> pa.Table:
         a, b = table.column("block_a")[0].as_py(), table.column("block_b")[0].as_py()
-        ids = np.asarray(table.column("block"))
-        left = _matrix(table.filter(pa.array(ids == a)))
-        right = left if a == b else _matrix(table.filter(pa.array(ids == b)))
-        if not len(left[0]) or not len(right[0]):
-            return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()),
-                             "similarity": pa.array([], pa.float64())})
-        scores = left[1] @ right[1].T
-        parts = [(left[0], right[0], scores)]
-        if a != b:
-            parts.append((right[0], left[0], scores.T))
-        out_a, out_b, out_s = [], [], []
-        for names_a, names_b, s in parts:
-            i, j = keep(s, a == b)
-            out_a.append(names_a[i])
-            out_b.append(names_b[j])
-            out_s.append(s[i, j])
-        return pa.table(
-            {
-                "a": pa.array(np.concatenate(out_a), pa.string()),
-                "b": pa.array(np.concatenate(out_b), pa.string()),
-                "similarity": pa.array(np.concatenate(out_s), pa.float64()),
-            }
+        block = np.asarray(table.column("block"))
+        left_names, left = _matrix(table.filter(pa.array(block == a)))
+        if a == b:
+            return found(left_names, left_names, left @ left.T, True)
+        right_names, right = _matrix(table.filter(pa.array(block == b)))
+        if not len(left) or not len(right):
+            return found(left_names, right_names, np.zeros((len(left), len(right))), False)
+        scores = left @ right.T
+        return pa.concat_tables(
+            [found(left_names, right_names, scores, False),
+             found(right_names, left_names, scores.T, False)]
         )
 
     return (

@@ -240,6 +240,28 @@ def test_names_of_tables(spark):
     spark.sql("DROP TABLE t_saved")
 
 
+def test_lines_by_month(spark):
+    from purchaselens.operators import reports
+    from purchaselens.sources import lines
+
+    df = frame(spark, random_lines(200), 3)
+    path = scratch_path(spark, "lines")
+    lines.save_lines(df, path)
+    back = lines.load_lines(spark, path)
+    assert back.columns == df.columns
+    assert back.exceptAll(df).count() == 0 and back.count() == 200
+    span = ("2025-02-10", "2025-03-01")
+    part = lines.load_lines(spark, path, *span)
+    assert part.exceptAll(df.filter(reports.in_range(*span))).count() == 0
+    assert part.count() == df.filter(reports.in_range(*span)).count()
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(transaction_month" in plan
+    assert reports.channel_performance(part, *span).collect() == reports.channel_performance(
+        df, *span).collect()
+    assert lines.load_lines(spark, path, end="2025-01-31").count() == df.filter(
+        "transaction_date <= '2025-01-31'").count()
+
+
 def test_metadata(spark):
     df = frame(spark, random_lines(20))
     report = meta.import_report(df).orderBy("ordinal").collect()

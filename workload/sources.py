@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from purchaselens.operators import meta, similarity
 from purchaselens.plans.scratch import scratch_path
 from purchaselens.schema import TRANSACTIONS as SCHEMA
-from purchaselens.sources import files, sinks, synth
+from purchaselens.sources import files, lines, sinks, synth
 
 from . import catalog
+from .reports import END, RANGE, START
 from .tables import INDEX, TABLES, TRANSACTIONS, index, read, sql, transactions
 from .similarity import NEAREST
 
@@ -66,6 +67,16 @@ def save_table(spark, sf_dir):
     )
 
 
+def save_lines(spark, sf_dir):
+    """Stored by month, then one range of dates read back."""
+    path = scratch_path(spark, "lines-by-month")
+    lines.save_lines(transactions(spark, sf_dir), path)
+    return _shown(lines.load_lines(spark, path, START, END))
+
+
+SAVE_LINES = sql(TRANSACTIONS, select=f"{ALL} WHERE {RANGE}")
+
+
 def import_report(spark, sf_dir):
     return meta.import_report(files.import_parquet(spark, f"{sf_dir}/lineitem.parquet")).select(
         "row_count", "column_count", "ordinal", "column_name"
@@ -123,11 +134,11 @@ FROM idx i JOIN nearest n ON n.a = i.name GROUP BY i.name, i.family""")
 
 def synthetic_transactions(spark, sf_dir):
     """One synthetic line per order line, among as many guests as there are customers."""
-    lines = read(spark, sf_dir, "lineitem").select(
+    ids = read(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")
     )
     guests = read(spark, sf_dir, "customer").agg(F.count("*")).scalar()
-    return _shown(synth.synthetic_lines(lines, guests, "id", seed=7, lines_per_order=8))
+    return _shown(synth.synthetic_lines(ids, guests, "id", seed=7, lines_per_order=8))
 
 
 def _sql_list(values):
@@ -219,6 +230,7 @@ QUERIES = {
     "import_json": (import_json, sql(TRANSACTIONS, select=ALL)),
     "import_parquet": (import_parquet, sql(TRANSACTIONS, select=ALL)),
     "save_table": (save_table, sql(TRANSACTIONS, select=ALL)),
+    "save_table_by_month": (save_lines, SAVE_LINES),
     "import_report": (import_report, IMPORT_REPORT),
     "export_segment": (export_segment, EXPORT_SEGMENT),
     "load_catalog": (load_catalog, sql(*catalog.RAW, select="SELECT COUNT(*) AS row_count FROM products")),
