@@ -136,25 +136,28 @@ def similarity_pairs(index: ItemIndex, threshold: float = 0.6) -> DataFrame:
 
 
 def nearest_neighbours(index: ItemIndex, k: int = 10) -> DataFrame:
-    """The ``k`` most similar other items of every item, ties by name.
+    """The ``k`` >= 1 most similar other items of every item, ties by name.
 
     A block pair hands on at most ``k`` candidates per item, so what is shuffled for the
     final ranking grows with items x blocks x k and not with the number of pairs.
     """
 
     def keep(scores: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        ranked = np.round(scores, RANK_DECIMALS)
+        cost = -np.round(scores, RANK_DECIMALS)
         if same:
-            ranked = ranked.copy()
-            np.fill_diagonal(ranked, -np.inf)
-        # Columns are in name order, so a stable sort settles ties by name.
-        best = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(scores.shape[0]), best.shape[1])
-        cols = best.ravel()
+            np.fill_diagonal(cost, np.inf)
+        if cost.shape[1] <= k:
+            chosen = np.ones(cost.shape, dtype=bool)
+        else:
+            # All that beat the k-th best, then as many of its equals as are still wanted;
+            # columns are in name order, so the first equals are the first by name.
+            kth = np.partition(cost, k - 1, axis=1)[:, k - 1 : k]
+            better, equal = cost < kth, cost == kth
+            wanted = k - better.sum(axis=1, keepdims=True)
+            chosen = better | (equal & (np.cumsum(equal, axis=1) <= wanted))
         if same:
-            other = rows != cols
-            rows, cols = rows[other], cols[other]
-        return rows, cols
+            np.fill_diagonal(chosen, False)
+        return np.nonzero(chosen)
 
     by_score = Window.partitionBy("a").orderBy(
         F.desc(F.round("similarity", RANK_DECIMALS)), "b"
