@@ -12,11 +12,6 @@ from pyspark.sql import types as T
 from ..functions.text import fluff_flag
 from .similarity import TextEncoder, embed_profiles
 
-# A SHA-256 is cut into 12 words of 5 hex digits and one of 4; sums of 20-bit words stay
-# within 64 bits for more than 8e12 rows.
-_WORDS = [(1 + 5 * i, 5) for i in range(12)] + [(61, 4)]
-
-
 class StaleIndex(RuntimeError):
     """The stored index was not built from this dimension; rebuild it."""
 
@@ -41,17 +36,24 @@ def table_fingerprint(df: DataFrame, component: str = "table") -> DataFrame:
     partitioning, duplicates count, and each task sends on one row: nothing is sorted or
     gathered.
     """
+    # Four numbers of 60 bits and the last 16 bits; the former give three 20-bit words each.
+    # Sums of 20-bit words stay within 64 bits for more than 8e12 rows.
+    numbers = [
+        F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("bigint").alias(f"n{i}")
+        for i in range(5)
+    ]
     words = [
-        F.coalesce(
-            F.sum(F.conv(F.substring("h", at, n), 16, 10).cast("bigint")), F.lit(0)
-        ).cast("string")
-        for at, n in _WORDS
+        F.shiftright(f"n{i}", shift).bitwiseAND(F.lit(0xFFFFF))
+        for i in range(4)
+        for shift in (40, 20, 0)
     ]
+    sums = [F.coalesce(F.sum(w), F.lit(0)).cast("string") for w in [*words, F.col("n4")]]
     return (
         df.select(row_hash(df).alias("h"))
+        .select(*numbers)
         .agg(
             F.count("*").alias("row_count"),
-            F.concat_ws(",", F.count("*").cast("string"), *words).alias("sums"),
+            F.concat_ws(",", F.count("*").cast("string"), *sums).alias("sums"),
         )
         .select(F.lit(component).alias("component"), "row_count", F.sha2("sums", 256).alias("sha256"))
     )

@@ -88,7 +88,7 @@ def synthetic_lines(
     no guest table is joined.
     """
     n_guests = F.lit(n_guests) if isinstance(n_guests, int) else n_guests
-    order_no = F.floor(F.col(id_col) / F.lit(lines_per_order)).cast("bigint")
+    order_no = F.expr(f"`{id_col}` div {int(lines_per_order)}").cast("bigint")
     low = F.array(*[F.lit(p[0]) for p in PRICES.values()])
     width = F.array(*[F.lit(p[1] - p[0]) for p in PRICES.values()])
     days = F.datediff(F.lit(LAST_DAY).cast("date"), F.lit(FIRST_DAY).cast("date"))
