@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.money import money_avg, money_sum, round_to
-from ..plans.joins import lookup_join
+from ..plans.joins import lookup_join, measured_bytes
 from ..schema import named
 from .gate import recommendation_gate
 from .reports import in_range
 
-PAIR_BYTES = 128
+# Two names of at most 100 characters and a score.
+PAIR_BYTES = 1024
 MATCHES = "array<struct<item:string,similarity:double>>"
 # Later than any date, as a day number.
 NEVER = 10_000_000
@@ -74,15 +75,10 @@ def _similar_lists(pairs: DataFrame, item: str) -> DataFrame:
 def _with_similar(df: DataFrame, pairs: DataFrame, pair_rows: int | None) -> DataFrame:
     """Add ``similar``, an array of (item, similarity), by the column ``fragrance``.
 
-    The lists hold ``pair_rows`` entries in all; that bound decides whether they may be
-    broadcast.
+    The lists hold what the pairs hold; its size decides whether they may be broadcast.
     """
-    lists = _similar_lists(pairs, "fragrance")
-    if pair_rows is None:
-        pair_rows = pairs.count()
-    return lookup_join(
-        df, lists, ["fragrance"], "left", rows=pair_rows, row_bytes=PAIR_BYTES
-    )
+    size = measured_bytes(pairs) if pair_rows is None else pair_rows * PAIR_BYTES
+    return lookup_join(df, _similar_lists(pairs, "fragrance"), ["fragrance"], "left", size=size)
 
 
 def cross_sell_similar(
@@ -98,7 +94,7 @@ def cross_sell_similar(
 
     ``pairs`` are the ordered item pairs at or above the wanted threshold, as
     :func:`similarity_pairs` gives them; ``pair_rows`` is an upper bound on their number
-    (they are counted if it is missing). One row: cohort_size, cross_sell_count,
+    (they are measured if it is missing). One row: cohort_size, cross_sell_count,
     conversion_rate in percent.
 
     One scan and no self-join. Lines shrink to one row per guest and fragrance that says

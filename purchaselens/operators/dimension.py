@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import name_key
-from ..plans.joins import lookup_join
+from ..plans.joins import lookup_join, measured_bytes
 
 
 def resolve_item(
@@ -14,41 +14,32 @@ def resolve_item(
     items: DataFrame,
     col: str = "fragrance",
     out: str = "canonical",
-    rows: int | None = None,
 ) -> DataFrame:
     """Add the canonical name of a name as sold; NULL where the item is unknown.
 
     An exact match wins; else the trimmed, case-folded name without its "Plus" marker
     decides.
     """
-    if rows is None:
-        rows = items.count()
+    size = 2 * measured_bytes(items.select("name"))
     exact = items.select(F.col("name").alias(col), F.col("name").alias("__exact")).distinct()
     by_key = items.groupBy(F.lower("name").alias("__key")).agg(F.min("name").alias("__near"))
     keyed = df.withColumn("__key", name_key(F.col(col)))
     found = lookup_join(
-        lookup_join(keyed, exact, [col], "left", rows=rows), by_key, ["__key"], "left", rows=rows
+        lookup_join(keyed, exact, [col], "left", size=size), by_key, ["__key"], "left", size=size
     )
     return found.select(*df.columns, F.coalesce("__exact", "__near").alias(out))
 
 
 def item_attributes(
-    df: DataFrame, items: DataFrame, col: str = "fragrance", rows: int | None = None
+    df: DataFrame, items: DataFrame, col: str = "fragrance"
 ) -> DataFrame:
     """Add ``notes`` (NULL if unknown) and ``family`` ("Unknown" if unknown)."""
-    if rows is None:
-        rows = items.count()
     attributes = items.select(
         F.col("name").alias("__canonical"), F.col("notes"), F.col("family")
     )
     return (
         lookup_join(
-            resolve_item(df, items, col, "__canonical", rows),
-            attributes,
-            ["__canonical"],
-            "left",
-            rows=rows,
-            row_bytes=1024,
+            resolve_item(df, items, col, "__canonical"), attributes, ["__canonical"], "left"
         )
         .select(*df.columns, "notes", F.coalesce("family", F.lit("Unknown")).alias("family"))
     )

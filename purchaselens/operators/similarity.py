@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from ..functions.names import name_key
 from ..functions.money import round_to
 from ..functions.vector import dot, unit
-from ..plans.joins import fits_broadcast, lookup_join
+from ..plans.joins import lookup_join, measured_bytes
 
 BLOCK_MIN, BLOCK_MAX = 256, 2048
 # Scores that differ by less than this many decimals rank as ties (broken by name).
@@ -29,34 +29,24 @@ RANK_DECIMALS = 12
 
 @dataclass(frozen=True)
 class ItemIndex:
-    """Item vectors with their number, which decides how they may be joined."""
+    """Item vectors with their number and size, which decide how they may be joined."""
 
     items: DataFrame
     rows: int
-    dimension: int
+    size: int
 
     @staticmethod
     def of(
-        df: DataFrame,
-        name: str = "name",
-        vector: str = "vector",
-        family: str = "family",
-        dimension: int = 384,
+        df: DataFrame, name: str = "name", vector: str = "vector", family: str = "family"
     ) -> ItemIndex:
-        """Normalise the vectors and count the items (footers only on plain Parquet)."""
-        items = df.select(
+        """Normalise the vectors, and count and measure them."""
+        columns = df.select(
             F.col(name).cast("string").alias("name"),
             F.col(family).cast("string").alias("family"),
-            unit(F.col(vector)).alias("vector"),
+            F.col(vector).cast("array<double>").alias("vector"),
         )
-        return ItemIndex(items, df.count(), dimension)
-
-    @property
-    def row_bytes(self) -> int:
-        return 8 * self.dimension + 128
-
-    def fits_broadcast(self) -> bool:
-        return fits_broadcast(self.rows, self.row_bytes)
+        items = columns.withColumn("vector", unit(F.col("vector")))
+        return ItemIndex(items, df.count(), measured_bytes(columns))
 
 
 # -- whole-catalog scoring ---------------------------------------------------------------
@@ -179,7 +169,7 @@ def neighbour_lists(index: ItemIndex, k: int = 10) -> DataFrame:
         F.col("b_family").alias("family"),
     )
     lists = (
-        lookup_join(nearest_neighbours(index, k), family, ["b"], rows=index.rows, row_bytes=128)
+        lookup_join(nearest_neighbours(index, k), family, ["b"], size=index.size)
         .groupBy(F.col("a").alias("name"))
         .agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
         .select(
@@ -283,10 +273,9 @@ def pair_similarity(pairs: DataFrame, index: ItemIndex, a: str = "a", b: str = "
     def vectors(name: str, vector: str) -> DataFrame:
         return index.items.select(F.col("name").alias(name), F.col("vector").alias(vector))
 
-    size = {"rows": index.rows, "row_bytes": index.row_bytes}
     both = lookup_join(
-        lookup_join(pairs, vectors(a, "__va"), [a], "left", **size),
-        vectors(b, "__vb"), [b], "left", **size,
+        lookup_join(pairs, vectors(a, "__va"), [a], "left", size=index.size),
+        vectors(b, "__vb"), [b], "left", size=index.size,
     )
     score = F.coalesce(dot(F.col("__va"), F.col("__vb")), F.lit(0.0))
     return both.select(*pairs.columns, score.alias("similarity"))

@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
 _SALT = "__salt"
 
 
-def fits_broadcast(rows: int, row_bytes: int) -> bool:
-    return rows * row_bytes <= BROADCAST_BYTES
+def measured_bytes(df: DataFrame) -> int:
+    """What the rows of a table take up, from one aggregate over it."""
+
+    def width(field: T.StructField) -> Column:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(field.name), F.lit(0)) + 24
+        if isinstance(field.dataType, T.ArrayType) and isinstance(
+            field.dataType.elementType, T.NumericType
+        ):
+            return F.greatest(F.size(field.name), F.lit(0)) * 8 + 24
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0)) + 24
+        return F.lit(16)
+
+    widths = [width(f).cast("bigint") for f in df.schema]
+    row = reduce(lambda total, w: total + w, widths, F.lit(32).cast("bigint"))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
 def lookup_join(
@@ -20,24 +38,22 @@ def lookup_join(
     on: list[str],
     how: str = "inner",
     *,
-    rows: int | None = None,
-    row_bytes: int = 256,
+    size: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``big`` to a lookup table.
 
-    ``rows`` is an upper bound on the rows of ``small``; without it they are counted (for a
-    Parquet table that reads footers only). Within ``BROADCAST_BYTES`` the table is
-    broadcast and ``big`` is not shuffled. Beyond it, the lookup table is repeated once per
-    salt and ``big`` is spread over the salts by a hash of its own rows, so that a key
-    holding a large share of ``big`` is worked on by ``salts`` tasks. Only join types that
-    keep the rows of ``big`` apart are accepted.
+    ``size`` is an upper bound on the bytes of ``small``; without it they are measured.
+    Within ``BROADCAST_BYTES`` the table is broadcast and ``big`` is not shuffled. Beyond
+    it, the lookup table is repeated once per salt and ``big`` is spread over the salts by a
+    hash of its own rows, so that a key holding a large share of ``big`` is worked on by
+    ``salts`` tasks. Only join types that keep the rows of ``big`` apart are accepted.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot do a {how!r} join")
-    if rows is None:
-        rows = small.count()
-    if fits_broadcast(rows, row_bytes):
+    if size is None:
+        size = measured_bytes(small)
+    if size <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on, how)
     salted = big.withColumn(_SALT, F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     repeated = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

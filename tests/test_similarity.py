@@ -16,7 +16,7 @@ def vectors(n=90, d=16, seed=0, copies=5):
 def index(spark, names, v, scale=1.0):
     rows = [(n, f"f{i % 3}", [float(x) * scale for x in row]) for i, (n, row) in enumerate(zip(names, v))]
     df = spark.createDataFrame(rows, "name string, family string, vector array<double>")
-    return s.ItemIndex.of(df.repartition(4), dimension=v.shape[1])
+    return s.ItemIndex.of(df.repartition(4))
 
 
 @pytest.fixture(params=[None, 16], ids=["one block", "many blocks"])

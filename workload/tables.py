@@ -76,7 +76,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> ItemIndex:
-    return ItemIndex.of(vectors(spark, sf_dir), dimension=64)
+    return ItemIndex.of(vectors(spark, sf_dir))
 
 
 INDEX = """idx AS (
@@ -97,7 +97,7 @@ def stored_pairs(spark: SparkSession, sf_dir: str, threshold: float) -> DataFram
     on_sale = read(spark, sf_dir, "part").select(F.col("p_brand").alias("name"))
     catalog = vectors(spark, sf_dir).join(on_sale, "name", "left_semi")
     path = scratch_path(spark, "pairs")
-    similarity_pairs(ItemIndex.of(catalog, dimension=64), threshold).write.parquet(path)
+    similarity_pairs(ItemIndex.of(catalog), threshold).write.parquet(path)
     return spark.read.parquet(path)
 
 
