@@ -345,3 +345,26 @@ def test_templates_run(spark):
     for name, template in TEMPLATES.items():
         out = run_template(t, name, {k: values[k] for k in template.params})
         assert out.count() > 0, name
+
+
+# -- lookup joins
+
+
+def test_measured_bytes(spark, items):
+    assert joins.measured_bytes(items.limit(0)) == 0
+    assert joins.measured_bytes(items) > sum(len(n) + len(t) for n, _, t, _ in ITEMS)
+    wide = spark.createDataFrame([("a", [1.0] * 1000)], "n string, v array<double>")
+    assert joins.measured_bytes(wide) > 8000
+    empty = spark.createDataFrame([(None, None)], "n string, v array<double>")
+    assert 0 < joins.measured_bytes(empty) < 200
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_broadcast(spark, how, monkeypatch):
+    big = spark.range(300).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 40).alias("k"), "id")
+    small = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    plain = sorted(map(tuple, joins.lookup_join(big, small, ["k"], how).collect()))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, joins.lookup_join(big, small, ["k"], how).collect())) == plain
+    with pytest.raises(ValueError):
+        joins.lookup_join(big, small, ["k"], "full")
