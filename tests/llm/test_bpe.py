@@ -1,0 +1,91 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from purchaselens.llm import bpe
+from purchaselens.llm.pretokens import byte_level, byte_level_pieces
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def texts():
+    rng = random.Random(1)
+    odd = ["", " ", "  ", "a  b", "a \n b", "\n \nx", " x ", "tab\t y", "it's we'll 'S", "é² ½ 3.14",
+           "日本語 text", "x<|endoftext|>y <|endoftext|>", " a  b", "\x1c \x1f", "a" * 3000,
+           "ab " * 500, "İ ͅ", "😀 emoji 👍🏽", "\x00\x00 a", "foo\n bar", "foo\n\n bar  "]
+    parts = ["the", "And", " ", "  ", "\n", "12", "é", "'s", ",", "...", "ß", "\t", "the re", "日", "\x85", "\x1d"]
+    return odd + ["".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(400)]
+
+
+def test_pretokens_below_the_limit(library):
+    for c in range(0x500):
+        text = "a" + chr(c) + "1" + chr(c) + "." + chr(c) + chr(c) + " b"
+        want = [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
+        assert byte_level(text) == want, hex(c)
+
+
+def test_pieces_are_cut_alike():
+    for text in texts():
+        pieces = byte_level_pieces(text)
+        if pieces is not None:
+            made = byte_level(pieces[0]) + [w for p in pieces[1:] for w in byte_level(" " + p)]
+            assert made == byte_level(text), text
+
+
+def test_automaton_is_minimal_and_finds_exactly_its_words():
+    words = sorted({b"tap", b"taps", b"top", b"tops", b"t", b"stop", b"stops"})
+    lexicon = bpe.compile_lexicon(words)
+    assert bpe.find_words(lexicon, words).tolist() == list(range(len(words)))
+    assert bpe.find_words(lexicon, [b"", b"ta", b"tapss", b"x", b"t" * 99]).tolist() == [-1] * 5
+    languages = set()
+    arcs = {}
+    for k, t in zip(lexicon["arc_keys"].tolist(), lexicon["arc_targets"].tolist(), strict=True):
+        arcs.setdefault(k // 256, []).append((k % 256, t))
+
+    def language(s):
+        own = frozenset({b""} if lexicon["ends"][s] else set())
+        return own | {bytes([b]) + w for b, t in arcs.get(s, []) for w in language(t)}
+
+    for s in range(len(lexicon["ends"])):
+        languages.add(frozenset(language(s)))
+    assert len(languages) == len(lexicon["ends"])
+
+
+def test_equal_to_the_library(spark, library):
+    rows = [(i, t) for i, t in enumerate(texts())] + [(-1, None), (None, "the end"), (5, "the end")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS IDS")
+    for words in (0, 50):
+        out = bpe.encode(docs, PATH, decoded=True, words=words).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            want = library.encode(r.text or "", add_special_tokens=False).ids
+            assert np.frombuffer(r.ids, "<u4").tolist() == want, repr(r.text)
+            assert r.decoded == library.decode(want, skip_special_tokens=False)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    assert bpe.encode(docs, PATH, decoded=True).count() == 0
+
+
+def test_query_on_the_smallest_table(spark, library):
+    from purchaselens.llm.queries import op1_bpe
+
+    sf = "/root/testdata/sf0.001"
+    texts_ = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op1_bpe(spark, sf).collect()
+    assert len(got) == len(texts_)
+    for r in got:
+        ids = library.encode(texts_[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts_[r.doc_id].encode()).hexdigest()
