@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purchaselens.llm import bpe, lines, shards
+from purchaselens.llm import bitplanes, bpe, lines, minhash, shards
 from purchaselens.llm.common import read
 
 
@@ -21,6 +21,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(read(spark, sf_dir, "documents")).select(
         "doc_id", "source", "text", "n_dropped"
@@ -44,8 +48,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    files = bitplanes.write(read(spark, sf_dir, "documents"), path)
+    return bitplanes.documents(files).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
+    "op3_minhash": (op3_minhash, None),
     "op4_line_dedup": (op4_line_dedup, OP4),
     "op8_sharding": (op8_sharding, None),
+    "op9_bit_planes": (op9_bit_planes, None),
 }

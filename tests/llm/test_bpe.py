@@ -1,5 +1,4 @@
 import hashlib
-import random
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +7,7 @@ from tokenizers import Tokenizer
 
 from purchaselens.llm import bpe
 from purchaselens.llm.pretokens import byte_level, byte_level_pieces
+from odd_texts import TEXTS
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,15 +17,6 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
-def texts():
-    rng = random.Random(1)
-    odd = ["", " ", "  ", "a  b", "a \n b", "\n \nx", " x ", "tab\t y", "it's we'll 'S", "é² ½ 3.14",
-           "日本語 text", "x<|endoftext|>y <|endoftext|>", " a  b", "\x1c \x1f", "a" * 3000,
-           "ab " * 500, "İ ͅ", "😀 emoji 👍🏽", "\x00\x00 a", "foo\n bar", "foo\n\n bar  "]
-    parts = ["the", "And", " ", "  ", "\n", "12", "é", "'s", ",", "...", "ß", "\t", "the re", "日", "\x85", "\x1d"]
-    return odd + ["".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(400)]
-
-
 def test_pretokens_below_the_limit(library):
     for c in range(0x500):
         text = "a" + chr(c) + "1" + chr(c) + "." + chr(c) + chr(c) + " b"
@@ -34,7 +25,7 @@ def test_pretokens_below_the_limit(library):
 
 
 def test_pieces_are_cut_alike():
-    for text in texts():
+    for text in TEXTS:
         pieces = byte_level_pieces(text)
         if pieces is not None:
             made = byte_level(pieces[0]) + [w for p in pieces[1:] for w in byte_level(" " + p)]
@@ -61,7 +52,7 @@ def test_automaton_is_minimal_and_finds_exactly_its_words():
 
 
 def test_equal_to_the_library(spark, library):
-    rows = [(i, t) for i, t in enumerate(texts())] + [(-1, None), (None, "the end"), (5, "the end")]
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(-1, None), (None, "the end"), (5, "the end")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS IDS")
     for words in (0, 50):
         out = bpe.encode(docs, PATH, decoded=True, words=words).collect()
