@@ -11,41 +11,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purchaselens.llm.common import checked_join, without
+from purchaselens.llm.common import checked_join, stored, without
 
 #: A line on more than this share of a host's pages is boilerplate ...
 RATIO = 0.08
 #: ... if it stands on at least so many of them: below that a share says nothing.
 MIN_PAGES = 10
 
-_HOST, _PAGE, _BAD = "__host", "__page", "__boilerplate"
+_HOST, _PAGE, _LINE = "__host", ("__page_1", "__page_2"), ("__line_1", "__line_2")
+
+
+def _keys(line) -> list:
+    """128 hash bits of a line."""
+    return [F.xxhash64(line), F.xxhash64(F.lit(1), line)]
+
+
+def _host(column: str):
+    return F.coalesce(F.concat(F.lit("h"), F.col(column).cast("string")), F.lit(""))
 
 
 def boilerplate(
     docs: DataFrame, *, text: str = "text", host: str = "source",
     ratio: float = RATIO, min_pages: int = MIN_PAGES,
 ) -> DataFrame:
-    """(host, line, n_pages, host_pages) of every boilerplate line.
+    """(host, key_1, key_2, n_pages, host_pages) of every boilerplate line, by its hash.
 
     Lines are what ``\\n`` separates; empty ones are not counted. A NULL host is a host of its
-    own, a NULL text has no lines but is a page. Pages are told apart by 128 hash bits of the
-    text, lines are compared as text.
+    own, a NULL text has no lines but is a page. Lines and pages go by hash: their texts are
+    not shuffled.
     """
+    body = F.coalesce(F.col(text), F.lit(""))
     pages = docs.select(
-        F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("")).alias(_HOST),
-        F.md5(F.coalesce(F.col(text), F.lit(""))).alias(_PAGE),
+        _host(host).alias(_HOST), *[k.alias(n) for k, n in zip(_keys(body), _PAGE, strict=True)],
         F.col(text).alias("t"),
     )
-    totals = pages.select(_HOST, _PAGE).distinct().groupBy(_HOST).agg(
+    totals = pages.select(_HOST, *_PAGE).distinct().groupBy(_HOST).agg(
         F.count("*").alias("host_pages")
     )
-    lines = pages.select(_HOST, _PAGE, F.explode(F.split("t", "\n", -1)).alias("line")).where(
+    lines = pages.select(_HOST, *_PAGE, F.explode(F.split("t", "\n", -1)).alias("line")).where(
         "line <> ''"
-    )
+    ).select(_HOST, *_PAGE, *[k.alias(n) for k, n in zip(_keys("line"), _LINE, strict=True)])
     # Distinct before counting: one row per host, line and page, combined map-side; then one
     # per host and line, again combined, so a line on a third of all pages is no hot key.
     counts = (
-        lines.distinct().groupBy(_HOST, "line").agg(F.count("*").alias("n_pages"))
+        lines.distinct().groupBy(_HOST, *_LINE).agg(F.count("*").alias("n_pages"))
         .where(F.col("n_pages") >= min_pages)
     )
     return counts.join(totals, _HOST).where(
@@ -64,15 +73,18 @@ def drop_boilerplate(
     are treated alike. A host's list holds at most (lines per page / ratio) lines.
     """
     found = boilerplate(docs, text=text, host=host, ratio=ratio, min_pages=min_pages)
-    per_host = found.groupBy(_HOST).agg(F.collect_list("line").alias(_BAD))
-    keyed = without(docs, ["n_dropped"]).withColumn(
-        _HOST, F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))
+    per_host = stored(
+        found.groupBy(_HOST).agg(*[F.collect_set(n).alias(n) for n in _LINE]), "boilerplate"
     )
+    keyed = without(docs, ["n_dropped"]).withColumn(_HOST, _host(host))
     joined = checked_join(keyed, per_host, _HOST, "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.when(F.col(_BAD).isNull(), lines).otherwise(
-        F.filter(lines, lambda x: (x == "") | ~F.array_contains(F.col(_BAD), x))
-    )
+
+    def stays(line):
+        a, b = _keys(line)
+        return (line == "") | ~(F.array_contains(_LINE[0], a) & F.array_contains(_LINE[1], b))
+
+    kept = F.when(F.col(_LINE[0]).isNull(), lines).otherwise(F.filter(lines, stays))
     dropped = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size(kept))
     out = [
         F.array_join(kept, "\n").alias(text) if c == text else F.col(f"`{c}`")
