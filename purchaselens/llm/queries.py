@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purchaselens.llm import bitplanes, bpe, lines, minhash, shards
+from purchaselens.llm import bitplanes, bpe, lines, minhash, shards, winnow
 from purchaselens.llm.common import read
 
 
@@ -41,6 +41,40 @@ FROM (SELECT c.*, coalesce(b.bad_lines, []) AS bad_lines
       FROM cleaned c LEFT JOIN bad b ON c.source IS NOT DISTINCT FROM b.source)"""
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+# Words and windows as the operator has them; SQL joins every window of every document.
+OP5 = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+  b AS (SELECT CAST(item_id AS VARCHAR) AS item,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+  bi AS (SELECT item, w, least(10, len(w)) AS z FROM b WHERE len(w) > 0),
+  bw AS (SELECT DISTINCT item, z, array_to_string(w[p : p + z - 1], ' ') AS t
+         FROM (SELECT item, z, w, unnest(range(1, len(w) - z + 2)) AS p FROM bi)),
+  zs AS (SELECT DISTINCT z FROM bw),
+  dw AS (SELECT r, z, p, array_to_string(w[p : p + z - 1], ' ') AS t
+         FROM (SELECT r, z, w, unnest(range(1, len(w) - z + 2)) AS p FROM d, zs WHERE len(w) >= z)),
+  m AS (SELECT r, p, dw.z, item FROM dw JOIN bw ON dw.t = bw.t AND dw.z = bw.z),
+  hit AS (SELECT r, count(*) AS n FROM (
+            SELECT DISTINCT r, unnest(range(p, p + z)) AS q FROM (SELECT DISTINCT r, p, z FROM m)) GROUP BY r),
+  its AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS l
+          FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(its.n, 0) AS BIGINT) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(read(spark, sf_dir, "documents"), 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -60,6 +94,7 @@ QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op3_minhash": (op3_minhash, None),
     "op4_line_dedup": (op4_line_dedup, OP4),
+    "op5_winnowing": (op5_winnowing, OP5),
     "op8_sharding": (op8_sharding, None),
     "op9_bit_planes": (op9_bit_planes, None),
 }
