@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purchaselens.llm import bitplanes, bpe, lines, minhash, shards, winnow
+from purchaselens.llm import bitplanes, bpe, fm, langid, lines, minhash, shards, winnow
 from purchaselens.llm.common import read
 
 
@@ -21,6 +21,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.learned(docs.select("doc_id", "text", "lang"))
+    return langid.identify(docs.select("doc_id", "text"), model, keep_text=False).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -90,11 +98,22 @@ def op9_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = fm.learned(docs, read(spark, sf_dir, "labels"))
+    return fm.score(docs, machine, keep_text=False).select(
+        "doc_id", fm.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
+    "op2_language": (op2_language, None),
     "op3_minhash": (op3_minhash, None),
     "op4_line_dedup": (op4_line_dedup, OP4),
     "op5_winnowing": (op5_winnowing, OP5),
     "op8_sharding": (op8_sharding, None),
     "op9_bit_planes": (op9_bit_planes, None),
+    "op10_quality": (op10_quality, None),
 }
