@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purchaselens.llm import bitplanes, bpe, fm, langid, lines, minhash, shards, winnow
+from purchaselens.llm import bitplanes, bpe, fm, langid, licenses, lines, minhash, shards, winnow
 from purchaselens.llm.common import read
 
 
@@ -83,6 +83,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIG
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, keep_text=False).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score", "notices",
+    )
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(read(spark, sf_dir, "documents"), 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -113,6 +122,7 @@ QUERIES = {
     "op3_minhash": (op3_minhash, None),
     "op4_line_dedup": (op4_line_dedup, OP4),
     "op5_winnowing": (op5_winnowing, OP5),
+    "op6_licenses": (op6_licenses, None),
     "op8_sharding": (op8_sharding, None),
     "op9_bit_planes": (op9_bit_planes, None),
     "op10_quality": (op10_quality, None),
