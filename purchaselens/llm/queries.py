@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purchaselens.llm import bitplanes, bpe, fm, langid, licenses, lines, minhash, shards, winnow
+from purchaselens.llm import bitplanes, bpe, fm, iblt, langid, licenses, lines, minhash, shards, winnow
 from purchaselens.llm.common import read
 
 
@@ -92,6 +92,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.edited_pairs(read(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(read(spark, sf_dir, "documents"), 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -123,6 +127,7 @@ QUERIES = {
     "op4_line_dedup": (op4_line_dedup, OP4),
     "op5_winnowing": (op5_winnowing, OP5),
     "op6_licenses": (op6_licenses, None),
+    "op7_fingerprints": (op7_fingerprints, None),
     "op8_sharding": (op8_sharding, None),
     "op9_bit_planes": (op9_bit_planes, None),
     "op10_quality": (op10_quality, None),
