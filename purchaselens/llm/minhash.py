@@ -238,3 +238,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return named.unionByName(alone).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def without_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group: the one of the smallest doc_id.
+
+    A row without an id is in no group and stays; of rows that repeat id and text one stays."""
+    found = near_duplicates(docs, doc_id=doc_id, text=text)
+    gone = stored(found.where("NOT kept").select(F.col("doc_id").alias(doc_id)).distinct(), "near-copies")
+    left = checked_join(docs, gone, doc_id, "left_anti")
+    again = stored(
+        docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(doc_id),
+        "repeated-ids",
+    )
+    if again.isEmpty():
+        return left
+    once = checked_join(left, again, doc_id, "left_semi").dropDuplicates([doc_id, text])
+    return checked_join(left, again, doc_id, "left_anti").unionByName(once)

@@ -104,11 +104,16 @@ def benchmark_windows(benchmark: DataFrame, *, item_id: str = "item_id", text: s
     ).agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """A document is told by its id and a hash of its text, so ids may repeat or be missing."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.hex(F.xxhash64(text)))
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, contaminated): one row per row of ``docs``.
+    """(doc_id, key, n_words, n_hit, items, contaminated): one row per row of ``docs``.
 
     A word inside any occurrence of a benchmark window is hit; ``items`` are the ids, as
     strings, of the items whose windows occur. NULL and empty texts have no words and no hits;
@@ -120,11 +125,8 @@ def decontaminate(
         benchmark_windows(benchmark, item_id=item_id, text=item_text), "benchmark-windows"
     )
     sizes = sorted(r.size for r in windows.select("size").distinct().collect())
-    # A document is told by its id and a hash of its text, so ids may repeat or be missing.
     own = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")),
-                    F.hex(F.xxhash64(F.col(text)))).alias("key"),
+        F.col(doc_id).alias("doc_id"), document_key(F.col(doc_id), F.col(text)).alias("key"),
         words(F.col(text)).alias("words"),
     )
     marks = _fingerprints(own, sizes)
@@ -168,8 +170,16 @@ def decontaminate(
                 F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
     )
     return seen.where("n_words IS NOT NULL").join(per_document, "key", "left").select(
-        "doc_id", F.col("n_words").cast("bigint").alias("n_words"),
+        "doc_id", "key", F.col("n_words").cast("bigint").alias("n_words"),
         F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, all columns as they were."""
+    found = decontaminate(docs, benchmark, **names)
+    bad = stored(found.where("contaminated").select(F.col("key").alias("__key")).distinct(), "contaminated")
+    key = document_key(F.col(names.get("doc_id", "doc_id")), F.col(names.get("text", "text")))
+    return checked_join(docs.withColumn("__key", key), bad, "__key", "left_anti").drop("__key")
