@@ -1,10 +1,17 @@
-"""Per-value validity rules, once for parameters (Python) and once for columns (Spark)."""
+"""Validity rules.
+
+A rule is data: the shape a text must have, what it may not contain, how long it may be and which
+values are allowed. The same rule refuses a parameter on the driver (``check``) and marks a
+column in a job (``column``).
+"""
 
 from __future__ import annotations
 
+import calendar
 import datetime
 import re
 from collections.abc import Iterable
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,11 +23,9 @@ PRODUCT_TYPES = (
     "Shower Oil", "Body Wash", "Sugar Scrub", "Candle", "Dryer Ball",
 )
 
-# What no item name may contain, and how long it may be.
+# What no item name may contain, how long it may be, and the shapes of the rest.
 NAME_BLOCKED = ("'", '"', ";", "--", "/*", "*/", "\\")
 NAME_MAX = 100
-
-DATE_PATTERN = "[0-9]{4}-[0-9]{2}-[0-9]{2}"
 GUEST_PATTERN = "[A-Za-z0-9_-]{1,64}"
 INT_PATTERN = "-?[0-9]+"
 TABLE_PATTERN = "[A-Za-z][A-Za-z0-9_]{0,62}"
@@ -30,90 +35,124 @@ class InvalidInput(ValueError):
     """A parameter was refused; no query has been run."""
 
 
-def check_date(value, field: str = "date") -> datetime.date:
-    if not isinstance(value, str) or not re.fullmatch(DATE_PATTERN, value, re.ASCII):
-        raise InvalidInput(f"{field}: expected YYYY-MM-DD, got {value!r}")
-    try:
-        return datetime.date.fromisoformat(value)
-    except ValueError as e:
-        raise InvalidInput(f"{field}: {e}") from e
-
-
-def check_category(value, allowed: Iterable[str] | None = PRODUCT_TYPES) -> str:
-    """``allowed=None`` accepts any text; values never enter SQL text either way."""
-    if not isinstance(value, str):
-        raise InvalidInput(f"category must be text, got {type(value).__name__}")
-    if allowed is not None and value not in set(allowed):
-        raise InvalidInput(f"unknown category {value!r}")
-    return value
-
-
-def check_item_name(value) -> str:
-    if not isinstance(value, str):
-        raise InvalidInput(f"item name must be text, got {type(value).__name__}")
-    bad = [t for t in NAME_BLOCKED if t in value]
-    if bad:
-        raise InvalidInput(f"item name holds {bad[0]!r}: {value!r}")
-    if len(value) > NAME_MAX:
-        raise InvalidInput(f"item name is longer than {NAME_MAX} characters")
-    return value
+def _sure(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
 
 
-def check_int(value, field: str = "value", low: int | None = None, high: int | None = None) -> int:
-    if isinstance(value, bool) or not isinstance(value, (int, str)):
-        raise InvalidInput(f"{field} must be an integer, got {type(value).__name__}")
-    if isinstance(value, str) and not re.fullmatch(INT_PATTERN, value.strip(), re.ASCII):
-        raise InvalidInput(f"{field} must be an integer, got {value!r}")
-    number = int(value)
-    if low is not None and number < low:
-        raise InvalidInput(f"{field}={number} is below {low}")
-    if high is not None and number > high:
-        raise InvalidInput(f"{field}={number} is above {high}")
-    return number
+@dataclass(frozen=True)
+class TextRule:
+    """What a text must look like; unset parts admit everything."""
+
+    kind: str
+    shape: str | None = None
+    blocked: tuple[str, ...] = ()
+    longest: int | None = None
+    allowed: frozenset[str] | None = None
+
+    def faults(self, value: str) -> list[str]:
+        found = [f"holds {part!r}" for part in self.blocked if part in value]
+        if self.shape is not None and not re.fullmatch(self.shape, value):
+            found.append("has another shape")
+        if self.longest is not None and len(value) > self.longest:
+            found.append(f"has more than {self.longest} characters")
+        if self.allowed is not None and value not in self.allowed:
+            found.append("is not among the known ones")
+        return found
+
+    def check(self, value, field: str | None = None) -> str:
+        found = self.faults(value) if isinstance(value, str) else ["is not text"]
+        if found:
+            raise InvalidInput(f"{field or self.kind}: as {self.kind}, {value!r} {', '.join(found)}")
+        return value
+
+    def column(self, col: Column) -> Column:
+        """True where the text obeys the rule; NULL does not."""
+        parts = [~F.contains(col, F.lit(part)) for part in self.blocked]
+        if self.shape is not None:
+            parts.append(col.rlike(rf"\A(?:{self.shape})\z"))
+        if self.longest is not None:
+            parts.append(F.length(col) <= self.longest)
+        if self.allowed is not None:
+            parts.append(col.isin(sorted(self.allowed)))
+        return _sure(reduce(lambda a, b: a & b, parts, col.isNotNull()))
+
+
+CATEGORY = TextRule("category", allowed=frozenset(PRODUCT_TYPES))
+ITEM_NAME = TextRule("item name", blocked=NAME_BLOCKED, longest=NAME_MAX)
+GUEST_ID = TextRule("guest id", shape=GUEST_PATTERN)
+TABLE_NAME = TextRule("table name", shape=TABLE_PATTERN)
+# Months and days by their digits, so that only the length of a month is left to reckon.
+_DATE = TextRule("date", shape="(?!0000)[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])")
+_INT = TextRule("integer", shape=INT_PATTERN)
+
+
+def categories(allowed: Iterable[str] | None = PRODUCT_TYPES) -> TextRule:
+    """``None`` admits any text; values never enter SQL text either way."""
+    return replace(CATEGORY, allowed=None if allowed is None else frozenset(allowed))
+
+
+# -- parameters ----------------------------------------------------------------------------
+
+
+def check_category(value, allowed: Iterable[str] | None = PRODUCT_TYPES, field: str | None = None) -> str:
+    return categories(allowed).check(value, field)
+
+
+def check_item_name(value, field: str | None = None) -> str:
+    return ITEM_NAME.check(value, field)
+
+
+def check_guest_id(value, field: str | None = None) -> str:
+    return GUEST_ID.check(value, field)
 
 
 def check_table_name(value) -> str:
-    if not isinstance(value, str) or not re.fullmatch(TABLE_PATTERN, value):
-        raise InvalidInput(f"invalid table name {value!r}")
-    return value
+    return TABLE_NAME.check(value)
 
 
-def _sure(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
+def check_date(value, field: str = "date") -> datetime.date:
+    year, month, day = map(int, _DATE.check(value, field).split("-"))
+    if day > calendar.monthrange(year, month)[1]:
+        raise InvalidInput(f"{field} {value!r} is not in the calendar")
+    return datetime.date(year, month, day)
 
 
-def valid_date(col: Column) -> Column:
-    """YYYY-MM-DD and in the calendar.
+def check_int(value, field: str = "value", low: int | None = None, high: int | None = None) -> int:
+    """An int, or text of digits with an optional minus; white space around it is fine."""
+    text = str(value).strip() if type(value) in (int, str) else value
+    number = int(_INT.check(text, field))
+    for bound, word, beyond in ((low, "below", -1), (high, "above", 1)):
+        if bound is not None and (number - bound) * beyond > 0:
+            raise InvalidInput(f"{field}: {number} is {word} {bound}")
+    return number
 
-    Month and day are bounded by the pattern and the day by the length of its month, so a
-    wrong date is found by arithmetic: parsing it would raise and catch an exception per row.
-    """
-    month, day = "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])"
-    shaped = col.rlike(rf"\A[0-9]{{4}}-{month}-{day}\z") & ~col.startswith("0000")
+
+# -- columns -------------------------------------------------------------------------------
+
+
+def valid_date(col: Column) -> Column:
+    """YYYY-MM-DD and in the calendar: the day is compared with the length of its month, since
+    parsing a wrong date would raise and catch an exception per row."""
     first = F.concat(F.substring(col, 1, 7), F.lit("-01")).try_cast("date")
-    return _sure(shaped & (F.substring(col, 9, 2).try_cast("int") <= F.day(F.last_day(first))))
+    return _sure(_DATE.column(col) & (F.substring(col, 9, 2).try_cast("int") <= F.day(F.last_day(first))))
 
 
 def valid_category(col: Column, allowed: Iterable[str] = PRODUCT_TYPES) -> Column:
-    return _sure(col.isin(list(allowed)))
+    return categories(allowed).column(col)
 
 
 def valid_item_name(col: Column) -> Column:
-    clean = reduce(lambda c, t: c & ~F.contains(col, F.lit(t)), NAME_BLOCKED, F.lit(True))
-    return _sure(clean & (F.length(col) <= NAME_MAX))
+    return ITEM_NAME.column(col)
 
 
 def valid_guest_id(col: Column) -> Column:
-    return _sure(col.rlike(rf"\A{GUEST_PATTERN}\z"))
+    return GUEST_ID.column(col)
 
 
 def valid_int(col: Column, low: int | None = None, high: int | None = None) -> Column:
     """Text that is an optional minus and digits, within the bounds."""
     stripped = F.regexp_replace(col, r"\A\s+|\s+\z", "")
-    ok = stripped.rlike(rf"\A{INT_PATTERN}\z")
     number = stripped.try_cast("decimal(38,0)")
-    if low is not None:
-        ok = ok & (number >= F.lit(low))
-    if high is not None:
-        ok = ok & (number <= F.lit(high))
-    return _sure(ok)
+    bounds = [number >= F.lit(low)] if low is not None else []
+    bounds += [number <= F.lit(high)] if high is not None else []
+    return _sure(reduce(lambda a, b: a & b, bounds, _INT.column(stripped)))

@@ -1,17 +1,21 @@
 """Sums of money that do not depend on the order in which rows arrive.
 
-Adding doubles gives a slightly different total for every partitioning. Amounts are
-therefore added as 64-bit counts of 1/10,000 currency unit: exact, order-free, and still a
-plain long addition in generated code. Overflow (beyond about 9e14 units) raises under
-Spark's ANSI mode instead of wrapping.
+Adding doubles gives a slightly different total for every partitioning. An amount is therefore
+rounded to a whole number of 1/10,000 currency unit (half up, on the stored binary value), and
+these are added as decimals: exact, order-free, and without a ceiling that lines could reach
+(30 digits). Finer amounts are rounded before they are added. One amount may be up to 9e14; a
+larger one stops the job, whatever the ANSI setting.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNITS = 10_000.0
+LARGEST = 9e14
 
 
 def _col(c: Column | str) -> Column:
@@ -19,11 +23,16 @@ def _col(c: Column | str) -> Column:
 
 
 def money_units(amount: Column | str) -> Column:
-    return F.floor(_col(amount) * UNITS + 0.5)
+    """The amount in 1/10,000, as a whole number."""
+    value = _col(amount)
+    fits = value.isNull() | (F.abs(value) <= LARGEST)
+    units = F.floor(value * UNITS + 0.5).cast("bigint")
+    return F.when(fits, units).otherwise(F.raise_error(F.lit(f"an amount is above {LARGEST}")).cast("bigint"))
 
 
 def money_sum(amount: Column | str) -> Column:
-    return F.sum(money_units(amount)) / F.lit(UNITS)
+    total = F.sum(money_units(amount).cast("decimal(20,0)"))
+    return (total * F.lit(Decimal("0.0001"))).cast("double")
 
 
 def money_avg(amount: Column | str) -> Column:
@@ -31,10 +40,6 @@ def money_avg(amount: Column | str) -> Column:
     return money_sum(amount) / F.count(_col(amount))
 
 
-def from_units(units: Column | str) -> Column:
-    return _col(units) / F.lit(UNITS)
-
-
 def round_to(value: Column | str, digits: int) -> Column:
     """Half-up rounding of the double itself.
 

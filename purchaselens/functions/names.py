@@ -7,5 +7,6 @@ from pyspark.sql import functions as F
 
 
 def name_key(name: Column) -> Column:
-    """Trimmed, lower-cased, without the "Plus" size marker and the blanks before it."""
-    return F.regexp_replace(F.lower(F.trim(name)), " {1,2}plus", "")
+    """Lower-cased, without white space around it, the "Plus" size marker and the blanks before it."""
+    bare = F.regexp_replace(name, r"(?U)\A\s+|\s+\z", "")
+    return F.regexp_replace(F.lower(bare), " {1,2}plus", "")

@@ -10,6 +10,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def same_length_dot(a: Column, b: Column, name: Column) -> Column:
+    """``dot``, but vectors of different lengths stop the job with the item's name."""
+    differ = F.raise_error(F.concat(F.lit("item vectors differ in length: "), F.coalesce(name, F.lit("NULL"))))
+    return F.when(F.size(a) != F.size(b), differ.cast("double")).otherwise(dot(a, b))
+
+
 def unit(vector: Column) -> Column:
     """Scale to length one; an all-zero vector is left as it is.
 

@@ -9,18 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.money import money_avg, money_sum, round_to
-from ..plans.joins import lookup_join, measured_bytes
+from ..plans.joins import lookup_join
 from ..schema import named
 from .gate import recommendation_gate
 from .reports import in_range
 
-# Two names of at most 100 characters and a score.
-PAIR_BYTES = 1024
-MATCHES = "array<struct<item:string,similarity:double>>"
 # Later than any date, as a day number.
 NEVER = 10_000_000
-# Parts into which the matches of one pair of product types are split by guest.
-GUEST_SLICES = 256
 
 
 def _cohort_lines(
@@ -63,22 +58,13 @@ def cohort_channel_mix(
     )
 
 
-def _similar_lists(pairs: DataFrame, item: str) -> DataFrame:
-    """Per item its similar items (itself excluded) as one array."""
-    return (
-        pairs.filter(F.col("a") != F.col("b"))
-        .groupBy(F.col("a").alias(item))
-        .agg(F.collect_list(F.struct(F.col("b").alias("item"), "similarity")).alias("similar"))
+def _asked_items(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row per row of ``df`` and item similar to its ``fragrance`` (itself excluded), with
+    ``item`` and ``similarity`` added. The pairs stay long: no row holds an item's whole list."""
+    similar = pairs.filter(F.col("a") != F.col("b")).select(
+        F.col("a").alias("fragrance"), F.col("b").alias("item"), "similarity"
     )
-
-
-def _with_similar(df: DataFrame, pairs: DataFrame, pair_rows: int | None) -> DataFrame:
-    """Add ``similar``, an array of (item, similarity), by the column ``fragrance``.
-
-    The lists hold what the pairs hold; its size decides whether they may be broadcast.
-    """
-    size = measured_bytes(pairs) if pair_rows is None else pair_rows * PAIR_BYTES
-    return lookup_join(df, _similar_lists(pairs, "fragrance"), ["fragrance"], "left", size=size)
+    return lookup_join(df, similar, ["fragrance"])
 
 
 def cross_sell_similar(
@@ -88,13 +74,11 @@ def cross_sell_similar(
     cat_b: str,
     start: date | str,
     end: date | str,
-    pair_rows: int | None = None,
 ) -> DataFrame:
     """How many buyers of A in the range ever bought B in the same or a similar fragrance.
 
     ``pairs`` are the ordered item pairs at or above the wanted threshold, as
-    :func:`similarity_pairs` gives them; ``pair_rows`` is an upper bound on their number
-    (they are measured if it is missing). One row: cohort_size, cross_sell_count,
+    :func:`similarity_pairs` gives them. One row: cohort_size, cross_sell_count,
     conversion_rate in percent.
 
     One scan and no self-join. Lines shrink to one row per guest and fragrance that says
@@ -112,24 +96,18 @@ def cross_sell_similar(
         .groupBy("guest_id", F.when(named(), F.col("fragrance")).alias("fragrance"))
         .agg(F.bool_or(is_a).alias("a"), F.bool_or(is_b).alias("b"))
     )
-    asked = F.transform("similar", lambda e: F.struct(
-        e["item"].alias("item"), F.lit(False).alias("a"), F.lit(True).alias("asked"),
-        F.lit(False).alias("b"),
-    ))
-    own = F.array(F.struct(
-        F.col("fragrance").alias("item"), F.col("a").alias("a"),
+    own = bought.select(
+        "guest_id", F.col("fragrance").alias("item"), "a",
         (F.col("a") & F.col("fragrance").isNotNull()).alias("asked"),
         (F.col("b") & F.col("fragrance").isNotNull()).alias("b"),
-    ))
+    )
+    asked = _asked_items(bought.filter("a AND fragrance IS NOT NULL"), pairs).select(
+        "guest_id", "item", F.lit(False).alias("a"), F.lit(True).alias("asked"), F.lit(False).alias("b")
+    )
     guests = (
-        _with_similar(bought, pairs, pair_rows)
-        .select(
-            "guest_id",
-            F.explode(F.when(F.col("a") & F.col("similar").isNotNull(), F.concat(own, asked))
-                      .otherwise(own)).alias("e"),
-        )
-        .groupBy("guest_id", "e.item")
-        .agg(*[F.bool_or(F.col("e")[f]).alias(f) for f in ("a", "asked", "b")])
+        own.unionByName(asked)
+        .groupBy("guest_id", "item")
+        .agg(*[F.bool_or(f).alias(f) for f in ("a", "asked", "b")])
         .groupBy("guest_id")
         .agg(
             F.bool_or("a").alias("in_cohort"),
@@ -147,49 +125,36 @@ def _percent(part: str, whole: str) -> Column:
     return round_to(F.col(part) * F.lit(100.0) / F.greatest(F.col(whole), F.lit(1)), 1)
 
 
-def _asked_and_bought(
-    lines: DataFrame,
-    pairs: DataFrame,
-    pair_rows: int | None,
-    keys: dict[str, tuple[str, str]],
-    is_a: Column,
-    is_b: Column,
-) -> DataFrame:
-    """Pair what each guest asked for by an A purchase with its B purchases.
-
-    ``keys`` names further columns that tell purchases apart, with their names on the A and
-    the B side. One row per match: guest_id, the A columns, a_fragrance, similarity, the B
-    columns, b_fragrance and b_date, the first day it was bought.
+def _purchases(lines: DataFrame, is_a: Column, is_b: Column, keys: list[str]) -> DataFrame:
+    """One row per guest, fragrance and key: whether it holds an A purchase, and the day of its
+    first B purchase, packed into one number.
 
-    Both sides come from one aggregate with one row per guest, fragrance and key. Whether it
-    holds an A purchase and the day of its first B purchase are packed into one number:
-    each side then needs all of the aggregate, its column pruning is the same, and Spark
-    computes and shuffles it once for both.
-    """
+    A and B side then need the same columns of the aggregate, so Spark computes and shuffles it
+    once for both."""
     first_b = F.min(F.when(is_b, F.unix_date("transaction_date")))
     packed = F.coalesce(first_b, F.lit(NEVER)) * 2 + F.coalesce(
         F.bool_or(is_a), F.lit(False)
     ).cast("int")
-    bought = (
-        lines.filter((is_a | is_b) & named() & F.col("guest_id").isNotNull())
-        .groupBy("guest_id", "fragrance", *keys)
-        .agg(packed.alias("packed"))
-    )
-    own = F.array(F.struct(F.col("fragrance").alias("item"), F.lit(1.0).alias("similarity")))
-    asked = bought.filter(F.pmod("packed", F.lit(2)) == 1)
-    asks = (
-        _with_similar(asked, pairs, pair_rows)
-        .withColumn("e", F.explode(F.concat(own, F.coalesce("similar", F.array().cast(MATCHES)))))
-        .select(
-            "guest_id",
-            F.col("e.item").alias("b_fragrance"),
-            *[F.col(k).alias(a) for k, (a, _) in keys.items()],
-            F.col("fragrance").alias("a_fragrance"),
-            F.col("e.similarity").alias("similarity"),
-        )
+    return lines.filter(is_a | is_b).groupBy("guest_id", "fragrance", *keys).agg(packed.alias("packed"))
+
+
+def _matches(purchases: DataFrame, pairs: DataFrame, keys: dict[str, tuple[str, str]]) -> DataFrame:
+    """Pair what each guest asked for by an A purchase with its B purchases.
+
+    ``keys`` names the columns beside guest and fragrance that tell purchases apart, with their
+    names on the A and the B side. One row per match: guest_id, the A columns, a_fragrance,
+    similarity, the B columns, b_fragrance and b_date, the first day it was bought.
+    """
+    usable = purchases.filter(named() & F.col("guest_id").isNotNull())
+    asked = usable.filter(F.pmod("packed", F.lit(2)) == 1)
+    own = asked.withColumns({"item": F.col("fragrance"), "similarity": F.lit(1.0)})
+    asks = own.unionByName(_asked_items(asked, pairs)).select(
+        "guest_id", F.col("item").alias("b_fragrance"),
+        *[F.col(k).alias(a) for k, (a, _) in keys.items()],
+        F.col("fragrance").alias("a_fragrance"), "similarity",
     )
     day = F.floor(F.col("packed") / 2).cast("int")
-    sells = bought.filter(day < NEVER).select(
+    sells = usable.filter(day < NEVER).select(
         "guest_id",
         F.col("fragrance").alias("b_fragrance"),
         *[F.col(k).alias(b) for k, (_, b) in keys.items()],
@@ -206,7 +171,6 @@ def cross_sell_matches(
     start: date | str,
     end: date | str,
     n: int = 20,
-    pair_rows: int | None = None,
 ) -> DataFrame:
     """The first ``n`` matches: per guest and A fragrance the earliest B purchase.
 
@@ -217,7 +181,7 @@ def cross_sell_matches(
     lines = transactions.filter(F.col("product_type").isin(cat_a, cat_b))
     best = F.min(F.struct("b_date", "b_fragrance", "similarity"))
     return (
-        _asked_and_bought(lines, pairs, pair_rows, {}, is_a, is_b)
+        _matches(_purchases(lines, is_a, is_b, []), pairs, {})
         .groupBy("guest_id", "a_fragrance")
         .agg(best.alias("best"))
         .select(
@@ -238,76 +202,78 @@ def cross_sell_recommendations(
     end: date | str,
     threshold: float,
     sample: int = 20,
-    pair_rows: int | None = None,
 ) -> DataFrame:
     """The cross-sell question for every ordered pair of product types, each with its gate.
 
-    One grouped job instead of one query per pair of types. Pairs of types without any
-    match are reported too, and refused by the gate.
+    One grouped job instead of one query per pair of types, from one aggregate of the lines by
+    guest, fragrance and type. Pairs of types without any match are reported too, and refused
+    by the gate.
     """
     kinds = ["category_a", "category_b"]
-    matches = _asked_and_bought(
-        transactions, pairs, pair_rows, {"product_type": tuple(kinds)},
-        in_range(start, end), F.lit(True),
-    ).filter(F.col("category_a") != F.col("category_b"))
-    # A pair of types may hold most of the matches: its guests are spread over slices, each
-    # slice counts its guests and keeps its first rows, and the slices are put together. All
-    # ranks read one sort order, longest first.
-    in_slice = Window.partitionBy(*kinds, "slice")
-    match = ("guest_id", "a_fragrance")
-    before = F.lag(F.struct(*match)).over(in_slice.orderBy(*match, "b_date", "b_fragrance"))
-    shown = F.struct(
-        *match,
-        F.concat("category_a", F.lit(" ("), "a_fragrance", F.lit(")")).alias("a"),
-        F.concat("category_b", F.lit(" ("), "b_fragrance", F.lit(")")).alias("b"),
+    purchases = _purchases(transactions, in_range(start, end), F.lit(True), ["product_type"])
+    best = (
+        _matches(purchases, pairs, {"product_type": tuple(kinds)})
+        .filter(F.col("category_a") != F.col("category_b"))
+        .groupBy(*kinds, "guest_id", "a_fragrance")
+        .agg(F.min(F.struct("b_date", "b_fragrance")).alias("best"))
     )
-    counts = (
-        matches.withColumn("slice", F.pmod(F.xxhash64("guest_id"), F.lit(GUEST_SLICES)))
-        .withColumn("best", ~before.eqNullSafe(F.struct(*match)))
-        .withColumn("match_no", F.dense_rank().over(in_slice.orderBy(*match)))
-        .withColumn("guest_no", F.dense_rank().over(in_slice.orderBy("guest_id")))
-        .groupBy(*kinds, "slice")
-        .agg(
-            F.max("guest_no").cast("bigint").alias("guests"),
-            F.collect_list(F.when(F.col("best") & (F.col("match_no") <= sample), shown)).alias("shown"),
-        )
+    overlap = best.groupBy(*kinds, "guest_id").agg(F.lit(1).alias("one")).groupBy(*kinds).agg(
+        F.count("*").alias("overlap_count")
+    )
+    # The rank is cut off before the rows are shuffled, so a pair of types with most of the
+    # matches sends no more than ``sample`` rows a task.
+    place = F.row_number().over(Window.partitionBy(*kinds).orderBy("guest_id", "a_fragrance"))
+    shown = (
+        best.withColumn("place", place).filter(F.col("place") <= sample)
         .groupBy(*kinds)
-        .agg(
-            F.sum("guests").alias("overlap_count"),
-            F.slice(F.array_sort(F.flatten(F.collect_list("shown"))), 1, sample).alias("shown"),
-        )
-        .select(
-            *kinds,
-            "overlap_count",
-            F.transform("shown", lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"))).alias(
-                "fragrance_pairs"
-            ),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct(
+            "place",
+            F.concat("category_a", F.lit(" ("), "a_fragrance", F.lit(")")).alias("a"),
+            F.concat("category_b", F.lit(" ("), "best.b_fragrance", F.lit(")")).alias("b"),
+        ))).alias("shown"))
     )
     # The frame of the report: every ordered pair of type names, from one row per type.
-    types = transactions.groupBy("product_type").agg(
-        F.countDistinct(F.when(in_range(start, end), F.col("guest_id"))).alias("cohort_size")
+    types = (
+        purchases.groupBy("product_type", "guest_id").agg(F.max(F.pmod("packed", F.lit(2))).alias("inside"))
+        .groupBy("product_type")
+        .agg(F.count(F.when(F.col("inside") == 1, F.col("guest_id"))).alias("cohort_size"))
     )
-    names = F.collect_list("product_type").over(Window.partitionBy(F.lit(0)))
+    names = types.agg(F.collect_set("product_type")).scalar()
     frame = (
-        types.withColumn("names", names)
-        .withColumn("category_b", F.explode("names"))
+        types.withColumn("category_b", F.explode(names))
         .withColumnRenamed("product_type", "category_a")
         .filter((F.col("category_a") != F.col("category_b")) & (F.col("cohort_size") > 0))
     )
     text = [str(start), str(end), f"thr={threshold}"]
+    pair = F.transform("shown", lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b")))
     evidence = (
-        frame.join(counts, kinds, "left")
+        frame.join(overlap, kinds, "left").join(shown, kinds, "left")
         .select(
             *kinds,
             "cohort_size",
             F.concat_ws("|", *kinds, *[F.lit(t) for t in text]).alias("cohort_id"),
             F.coalesce("overlap_count", F.lit(0)).alias("overlap_count"),
             F.lit(float(threshold)).alias("similarity_threshold"),
-            F.coalesce(
-                "fragrance_pairs", F.array().cast("array<struct<a:string,b:string>>")
-            ).alias("fragrance_pairs"),
+            F.coalesce(pair, F.array().cast("array<struct<a:string,b:string>>")).alias("fragrance_pairs"),
         )
         .withColumn("conversion_rate", _percent("overlap_count", "cohort_size"))
     )
     return recommendation_gate(evidence)
+
+
+def cross_sell_recommendation(
+    transactions: DataFrame,
+    pairs: DataFrame,
+    cat_a: str,
+    cat_b: str,
+    start: date | str,
+    end: date | str,
+    threshold: float,
+    sample: int = 20,
+) -> DataFrame:
+    """The same for one ordered pair of types: its counts, its first matches and its gate in
+    one row; no row if nobody bought A in the range, or nobody ever bought B."""
+    lines = transactions.filter(F.col("product_type").isin(cat_a, cat_b))
+    return cross_sell_recommendations(lines, pairs, start, end, threshold, sample).filter(
+        (F.col("category_a") == cat_a) & (F.col("category_b") == cat_b)
+    )

@@ -34,8 +34,10 @@ def item_attributes(
     df: DataFrame, items: DataFrame, col: str = "fragrance"
 ) -> DataFrame:
     """Add ``notes`` (NULL if unknown) and ``family`` ("Unknown" if unknown)."""
-    attributes = items.select(
-        F.col("name").alias("__canonical"), F.col("notes"), F.col("family")
+    # One row per name, so that a repeated item does not multiply the rows of ``df``.
+    first = F.min(F.struct("notes", "family"))
+    attributes = items.groupBy(F.col("name").alias("__canonical")).agg(first.alias("a")).select(
+        "__canonical", "a.notes", "a.family"
     )
     return (
         lookup_join(

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql.window import Window
 
 from ..functions.names import name_key
 from ..functions.money import round_to
-from ..functions.vector import dot, unit
-from ..plans.joins import lookup_join, measured_bytes
+from ..functions.vector import same_length_dot, unit
+from ..plans.joins import lookup_join
 
 BLOCK_MIN, BLOCK_MAX = 256, 2048
 # Scores that differ by less than this many decimals rank as ties (broken by name).
@@ -29,24 +30,55 @@ RANK_DECIMALS = 12
 
 @dataclass(frozen=True)
 class ItemIndex:
-    """Item vectors with their number and size, which decide how they may be joined."""
+    """Item vectors; their number and size decide how they may be joined.
+
+    Nothing runs when an index is made: rows and size are found by one aggregate, when an
+    operator first needs them.
+    """
 
     items: DataFrame
-    rows: int
-    size: int
 
     @staticmethod
     def of(
-        df: DataFrame, name: str = "name", vector: str = "vector", family: str = "family"
+        df: DataFrame, name: str = "name", vector: str = "vector", family: str = "family",
+        missing: str = "refuse",
     ) -> ItemIndex:
-        """Normalise the vectors, and count and measure them."""
+        """Normalise the vectors.
+
+        A NULL vector, or one with a NULL component, stops the job with the item's name; with
+        ``missing="drop"`` such items are left out. Vectors of different lengths stop every
+        operator that compares them. Items of one name are never neighbours of each other;
+        ``quality_checks`` reports repeated names.
+        """
+        if missing not in ("refuse", "drop"):
+            raise ValueError(f"missing must be 'refuse' or 'drop', not {missing!r}")
         columns = df.select(
             F.col(name).cast("string").alias("name"),
             F.col(family).cast("string").alias("family"),
             F.col(vector).cast("array<double>").alias("vector"),
         )
-        items = columns.withColumn("vector", unit(F.col("vector")))
-        return ItemIndex(items, df.count(), measured_bytes(columns))
+        whole = F.col("vector").isNotNull() & ~F.coalesce(F.exists("vector", F.isnull), F.lit(False))
+        if missing == "drop":
+            return ItemIndex(columns.where(whole).withColumn("vector", unit(F.col("vector"))))
+        refused = F.raise_error(F.concat(F.lit("no whole vector for item "), F.coalesce("name", F.lit("NULL"))))
+        checked = F.when(whole, F.col("vector")).otherwise(refused.cast("array<double>"))
+        return ItemIndex(columns.withColumn("vector", checked).withColumn("vector", unit(F.col("vector"))))
+
+    @cached_property
+    def _measured(self) -> tuple[int, int]:
+        text = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("name", "family")), F.lit(96))
+        row = self.items.agg(
+            F.count("*"), F.coalesce(F.sum((text + F.size("vector") * 8).cast("bigint")), F.lit(0))
+        ).first()
+        return row[0], row[1]
+
+    @property
+    def rows(self) -> int:
+        return self._measured[0]
+
+    @property
+    def size(self) -> int:
+        return self._measured[1]
 
 
 # -- whole-catalog scoring ---------------------------------------------------------------
@@ -73,21 +105,32 @@ def _block_pairs(index: ItemIndex) -> DataFrame:
 def _matrix(table: pa.Table) -> tuple[pa.ChunkedArray, np.ndarray]:
     """Names in order and their vectors as a matrix."""
     table = table.sort_by("name")
-    chunks = table.column("vector").chunks
-    values = np.concatenate([np.asarray(c.flatten(), dtype=np.float64) for c in chunks] or [[]])
-    return table.column("name"), values.reshape(table.num_rows, -1 if table.num_rows else 1)
+    vectors = [np.asarray(v, dtype=np.float64) for v in table.column("vector").to_numpy()]
+    lengths = {len(v) for v in vectors}
+    if len(lengths) > 1:
+        names = {len(v): n for v, n in zip(vectors, table.column("name").to_pylist(), strict=True)}
+        raise ValueError(f"item vectors differ in length: {names}")
+    return table.column("name"), np.stack(vectors) if vectors else np.zeros((0, 0))
+
+
+def _same_name(names: pa.ChunkedArray) -> np.ndarray:
+    """Which rows of a block are of one item."""
+    code = np.asarray(names.combine_chunks().dictionary_encode().indices)
+    return code[:, None] == code[None, :]
 
 
 def _score_blocks(
-    index: ItemIndex, keep: Callable[[np.ndarray, bool], tuple[np.ndarray, np.ndarray]]
+    index: ItemIndex, keep: Callable[[np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
 ) -> DataFrame:
     """Score both directions of every block pair.
 
-    ``keep(scores, same_block)`` returns the row and column numbers worth emitting.
+    ``keep(scores, same)`` returns the row and column numbers worth emitting; ``same`` marks
+    pairs of one name, which only a block with itself can hold. Scores reach it rounded, so a
+    pair on the threshold does not depend on the shape of its blocks.
     """
 
-    def found(a, b, scores: np.ndarray, same: bool) -> pa.Table:
-        i, j = keep(scores, same)
+    def found(a, b, scores: np.ndarray, same: np.ndarray | None) -> pa.Table:
+        i, j = keep(np.round(scores, RANK_DECIMALS), same)
         names = (a.take(pa.array(i)), b.take(pa.array(j)))
         return pa.table({"a": names[0], "b": names[1], "similarity": scores[i, j]})
 
@@ -96,14 +139,19 @@ def _score_blocks(
         block = np.asarray(table.column("block"))
         left_names, left = _matrix(table.filter(pa.array(block == a)))
         if a == b:
-            return found(left_names, left_names, left @ left.T, True)
+            return found(left_names, left_names, left @ left.T, _same_name(left_names))
         right_names, right = _matrix(table.filter(pa.array(block == b)))
         if not len(left) or not len(right):
-            return found(left_names, right_names, np.zeros((len(left), len(right))), False)
+            return found(left_names, right_names, np.zeros((len(left), len(right))), None)
+        if left.shape[1] != right.shape[1]:
+            raise ValueError(
+                f"item vectors differ in length: {left_names[0]} has {left.shape[1]}, "
+                f"{right_names[0]} has {right.shape[1]}"
+            )
         scores = left @ right.T
         return pa.concat_tables(
-            [found(left_names, right_names, scores, False),
-             found(right_names, left_names, scores.T, False)]
+            [found(left_names, right_names, scores, None),
+             found(right_names, left_names, scores.T, None)]
         )
 
     return (
@@ -116,11 +164,9 @@ def _score_blocks(
 def similarity_pairs(index: ItemIndex, threshold: float = 0.6) -> DataFrame:
     """All ordered pairs of different items with cosine >= threshold: (a, b, similarity)."""
 
-    def keep(scores: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    def keep(scores: np.ndarray, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         hit = scores >= threshold
-        if same:
-            np.fill_diagonal(hit, False)
-        return np.nonzero(hit)
+        return np.nonzero(hit if same is None else hit & ~same)
 
     return _score_blocks(index, keep)
 
@@ -132,10 +178,10 @@ def nearest_neighbours(index: ItemIndex, k: int = 10) -> DataFrame:
     final ranking grows with items x blocks x k and not with the number of pairs.
     """
 
-    def keep(scores: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        cost = -np.round(scores, RANK_DECIMALS)
-        if same:
-            np.fill_diagonal(cost, np.inf)
+    def keep(scores: np.ndarray, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        cost = -scores
+        if same is not None:
+            cost[same] = np.inf
         if cost.shape[1] <= k:
             chosen = np.ones(cost.shape, dtype=bool)
         else:
@@ -145,9 +191,7 @@ def nearest_neighbours(index: ItemIndex, k: int = 10) -> DataFrame:
             better, equal = cost < kth, cost == kth
             wanted = k - better.sum(axis=1, keepdims=True)
             chosen = better | (equal & (np.cumsum(equal, axis=1) <= wanted))
-        if same:
-            np.fill_diagonal(chosen, False)
-        return np.nonzero(chosen)
+        return np.nonzero(chosen if same is None else chosen & ~same)
 
     by_score = Window.partitionBy("a").orderBy(
         F.desc(F.round("similarity", RANK_DECIMALS)), "b"
@@ -207,14 +251,15 @@ def _lookup(index: ItemIndex, item: str) -> DataFrame:
 def _scored(index: ItemIndex, item: str) -> DataFrame:
     """All other items as (name, family, score) against one item.
 
-    Its name and vector enter as scalar subqueries: one pass over the index, no join. An
-    unknown item has neither and gives no rows.
+    Its name and vector enter as one scalar subquery: no join, no job ahead. An unknown item
+    has neither and gives no rows.
     """
-    target = _lookup(index, item)
+    target = _lookup(index, item).select(F.struct("name", "vector")).scalar()
     return (
-        index.items.filter(F.col("name") != target.select("name").scalar())
-        .withColumn("target", target.select("vector").scalar())
-        .select("name", "family", dot(F.col("vector"), F.col("target")).alias("score"))
+        index.items.withColumn("target", target)
+        .filter(F.col("name") != F.col("target.name"))
+        .select("name", "family", F.round(same_length_dot(F.col("vector"), F.col("target.vector"), F.col("name")),
+                                          RANK_DECIMALS).alias("score"))
     )
 
 
@@ -277,7 +322,7 @@ def pair_similarity(pairs: DataFrame, index: ItemIndex, a: str = "a", b: str = "
         lookup_join(pairs, vectors(a, "__va"), [a], "left", size=index.size),
         vectors(b, "__vb"), [b], "left", size=index.size,
     )
-    score = F.coalesce(dot(F.col("__va"), F.col("__vb")), F.lit(0.0))
+    score = F.coalesce(same_length_dot(F.col("__va"), F.col("__vb"), F.col(a)), F.lit(0.0))
     return both.select(*pairs.columns, score.alias("similarity"))
 
 
@@ -298,8 +343,15 @@ def embedding_stats(index: ItemIndex) -> DataFrame:
         index.items.agg(
             F.count("*").alias("total_items"),
             F.max(F.size("vector")).cast("bigint").alias("embedding_dim"),
+            F.min(F.size("vector")).cast("bigint").alias("__least"),
             F.array_sort(F.collect_set("family")).alias("families"),
         )
+        .withColumn(
+            "embedding_dim",
+            F.when(F.coalesce(F.col("embedding_dim") == F.col("__least"), F.lit(True)), F.col("embedding_dim"))
+            .otherwise(F.raise_error(F.lit("item vectors differ in length")).cast("bigint")),
+        )
+        .drop("__least")
         .withColumn(
             "avg_similarity",
             F.coalesce(

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 16
-_SALT = "__salt"
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -39,22 +37,18 @@ def lookup_join(
     how: str = "inner",
     *,
     size: int | None = None,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join ``big`` to a lookup table.
 
     ``size`` is an upper bound on the bytes of ``small``; without it they are measured.
     Within ``BROADCAST_BYTES`` the table is broadcast and ``big`` is not shuffled. Beyond
-    it, the lookup table is repeated once per salt and ``big`` is spread over the salts by a
-    hash of its own rows, so that a key holding a large share of ``big`` is worked on by
-    ``salts`` tasks. Only join types that keep the rows of ``big`` apart are accepted.
+    it both sides are shuffled by the key, whatever their columns are; adaptive execution
+    splits the partition of a hot key by the tasks that wrote it, so equal rows are spread
+    as well as different ones. Only join types that keep the rows of ``big`` apart are
+    accepted.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot do a {how!r} join")
     if size is None:
         size = measured_bytes(small)
-    if size <= BROADCAST_BYTES:
-        return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn(_SALT, F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    repeated = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
+    return big.join(F.broadcast(small) if size <= BROADCAST_BYTES else small.hint("merge"), on, how)

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
+def scratch_path(spark: SparkSession, label: str, root: str | None = None) -> str:
+    """A fresh path below ``root``, or else below the shared folder in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a local temporary folder is used.
+    Where neither is given, a local temporary folder serves a local master (tests, a laptop);
+    on a cluster its files would be on one machine only, so there this is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="purchaselens-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

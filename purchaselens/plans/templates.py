@@ -70,7 +70,7 @@ def run_template(
     if missing or extra:
         raise InvalidInput(f"template {name!r}: missing {missing}, unexpected {extra}")
     checks = {
-        "category": lambda v, field: check_category(v, categories),
+        "category": lambda v, field: check_category(v, categories, field),
         "date": check_date,
         "count": lambda v, field: check_int(v, field, low=1),
     }

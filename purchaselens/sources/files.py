@@ -55,6 +55,9 @@ def import_csv(
     ``multiline`` allows line breaks inside quoted values, at the price that one file is
     read by one task. An empty field is NULL; a value that does not fit the schema stops the
     job.
+
+    With a schema, columns are found by their name in the header, in any order, and cast; a
+    missing one is refused, one that the schema does not name is left out.
     """
     reader = (
         spark.read.option("header", True)
@@ -68,7 +71,7 @@ def import_csv(
     )
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
-    return reader.schema(schema).csv(path)
+    return _typed(reader.csv(path), schema)
 
 
 def import_tsv(

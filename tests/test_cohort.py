@@ -70,21 +70,20 @@ def test_against_brute_force(spark, seed, kinds):
     rows = random_lines(300, 40, seed)
     start, end = D(2025, 1, 10), D(2025, 2, 10)
     guests, hits, best = by_hand(rows, *kinds, start, end)
-    for parts, pair_rows in ((1, None), (6, 10)):
+    for parts in (1, 6):
         t, p = frame(spark, rows, parts), pair_frame(spark)
-        out = c.cross_sell_similar(t, p, *kinds, start, end, pair_rows).first()
+        out = c.cross_sell_similar(t, p, *kinds, start, end).first()
         assert (out.cohort_size, out.cross_sell_count) == (len(guests), len(hits))
-        got = c.cross_sell_matches(t, p, *kinds, start, end, 10_000, pair_rows).collect()
+        got = c.cross_sell_matches(t, p, *kinds, start, end, 10_000).collect()
         assert {(x.guest_id, x.a_fragrance): (x.b_fragrance, x.similarity) for x in got} == {
             k: v[1:] for k, v in best.items()}
         assert [(x.guest_id, x.a_fragrance) for x in got] == sorted(best)
 
 
-def test_recommendations_against_single_questions(spark, monkeypatch):
+def test_recommendations_against_single_questions(spark):
     rows = random_lines(300, 40, 5)
     start, end = D(2025, 1, 10), D(2025, 3, 10)
     t, p = frame(spark, rows, 4), pair_frame(spark)
-    monkeypatch.setattr(c, "GUEST_SLICES", 3)
     out = c.cross_sell_recommendations(t, p, start, end, 0.6, sample=5).collect()
     kinds = sorted({r[3] for r in rows})
     assert {(x.category_a, x.category_b) for x in out} == set(itertools.permutations(kinds, 2))
@@ -93,17 +92,36 @@ def test_recommendations_against_single_questions(spark, monkeypatch):
         assert (x.cohort_size, x.overlap_count) == (len(guests), len(hits))
         want = [(f"{x.category_a} ({s})", f"{x.category_b} ({best[g, s][1]})") for g, s in sorted(best)[:5]]
         assert [(m.a, m.b) for m in x.fragrance_pairs] == want
+    one = c.cross_sell_recommendation(t, p, A, B, start, end, 0.6, sample=5).collect()
+    assert one == [x for x in out if (x.category_a, x.category_b) == (A, B)]
+
+
+def test_recommendations_read_the_lines_once(spark, tmp_path):
+    frame(spark, random_lines(300, 40, 5), 4).write.parquet(str(tmp_path / "lines"))
+    pair_frame(spark).write.parquet(str(tmp_path / "pairs"))
+    t, p = (spark.read.parquet(str(tmp_path / n)) for n in ("lines", "pairs"))
+    out = c.cross_sell_recommendations(t, p, D(2025, 1, 10), D(2025, 3, 10), 0.6)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert "WindowGroupLimit" in plan
 
 
 def test_beyond_the_broadcast_bound(spark, monkeypatch):
-    """The salted join gives the same answer as the broadcast one."""
+    """The shuffled join gives the same answer as the broadcast one."""
     rows = random_lines(300, 40, 7)
     args = (frame(spark, rows, 4), pair_frame(spark), A, B, *YEAR)
     small = c.cross_sell_similar(*args).collect()
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
-    big = c.cross_sell_similar(*args)
-    assert big.collect() == small
-    assert "__salt" in big._jdf.queryExecution().analyzed().toString()
+    assert c.cross_sell_similar(*args).collect() == small
+
+
+def test_names_of_any_length(spark):
+    long_a, long_b = "a" * 5000, "b" * 5000
+    rows = [line("1", "G", "2025-03-01", A, long_a), line("2", "G", "2025-03-02", B, long_b)]
+    pairs = spark.createDataFrame([(long_a, long_b, 0.7)], "a string, b string, similarity double")
+    out = c.cross_sell_similar(frame(spark, rows), pairs, A, B, *YEAR).first()
+    assert (out.cohort_size, out.cross_sell_count) == (1, 1)
 
 
 def test_cohort_stats(spark):

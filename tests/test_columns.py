@@ -171,3 +171,28 @@ def test_money(spark):
     got = spark.createDataFrame([(1.005,), (2.675,), (0.125,)], "x double").select(
         round_to("x", 2).alias("r")).collect()
     assert [x.r for x in got] == [1.0, 2.68, 0.13]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_large_sums_are_exact(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.range(1000).select(F.lit(1e12).alias("x"))
+        assert df.agg(money_sum("x").alias("s")).first().s == 1e15
+        with pytest.raises(Exception, match="above"):
+            spark.range(1).select(F.lit(1e16).alias("x")).agg(money_sum("x")).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_one_rule_for_parameters_and_columns(spark):
+    for value in ("Lavender", "a'b", "x" * 101, ""):
+        for rule, check in ((g.valid_item_name, g.check_item_name), (g.valid_guest_id, g.check_guest_id),
+                            (g.valid_category, g.check_category)):
+            ok = flags(spark, [value], rule)[0]
+            if ok:
+                assert check(value) == value
+            else:
+                with pytest.raises(g.InvalidInput):
+                    check(value)

@@ -360,7 +360,7 @@ def test_measured_bytes(spark, items):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_broadcast(spark, how, monkeypatch):
+def test_shuffled_join_equals_broadcast(spark, how, monkeypatch):
     big = spark.range(300).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 40).alias("k"), "id")
     small = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = sorted(map(tuple, joins.lookup_join(big, small, ["k"], how).collect()))
@@ -368,3 +368,53 @@ def test_salted_join_equals_broadcast(spark, how, monkeypatch):
     assert sorted(map(tuple, joins.lookup_join(big, small, ["k"], how).collect())) == plain
     with pytest.raises(ValueError):
         joins.lookup_join(big, small, ["k"], "full")
+
+
+@pytest.mark.parametrize("bound", [joins.BROADCAST_BYTES, 0])
+def test_lookup_join_takes_any_column_and_a_hot_key(spark, monkeypatch, bound):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", bound)
+    big = spark.range(10_000).select(F.lit("hot").alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    small = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
+    assert joins.lookup_join(big, small, ["k"]).agg(F.sum("v")).first()[0] == 10_000
+
+
+@pytest.mark.parametrize("bound", [joins.BROADCAST_BYTES, 0])
+def test_names_resolve_alike_on_both_paths(spark, items, monkeypatch, bound):
+    from purchaselens.operators import dimension
+
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", bound)
+    name = ITEMS[0][0]
+    sold = spark.createDataFrame([(name,), (f" {name.upper()}\t",), (f"\u00a0{name}\n",), ("?",), (None,)], "fragrance string")
+    assert [x.canonical for x in dimension.resolve_item(sold, items).collect()].count(name) == 3
+    twice = dimension.item_family(sold, items.unionByName(items))
+    assert twice.count() == 5
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
+    from purchaselens.plans.scratch import scratch_path
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        scratch_path(Session, "x")
+    assert scratch_path(Session, "x", str(tmp_path)).startswith(str(tmp_path))
+    Session.conf["spark.checkpoint.dir"] = "hdfs://shared"
+    assert scratch_path(Session, "x").startswith("hdfs://shared/x-")
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("tx", T.StringType()), T.StructField("guest", T.StringType()),
+                           T.StructField("day", T.DateType()), T.StructField("n", T.IntegerType())])
+    (tmp_path / "a.csv").write_text("n,day,guest,extra,tx\n7,2025-01-02,G,x,T\n")
+    got = files.import_csv(spark, str(tmp_path / "a.csv"), schema)
+    assert got.schema == schema and tuple(got.first())[:2] == ("T", "G") and got.first().n == 7
+    (tmp_path / "b.csv").write_text("n,day,tx\n7,2025-01-02,T\n")
+    with pytest.raises(Exception, match="guest"):
+        files.import_csv(spark, str(tmp_path / "b.csv"), schema).collect()

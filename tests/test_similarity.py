@@ -152,3 +152,52 @@ def test_encoder_hook_and_custom_text(spark):
     assert again.vector == own[again.name] and len(again.vector) == 64
     blank = s.embed_custom(spark.createDataFrame([(None,)], "notes string"), "notes", encoder)
     assert sum(blank.first().vector) == 0
+
+
+def test_null_vectors_are_refused_or_dropped(spark):
+    rows = [("a", "f", [0.6, 0.8]), ("b", "f", None), ("c", "f", [1.0, 0.0]), ("d", "f", [None, 1.0])]
+    df = spark.createDataFrame(rows, "name string, family string, vector array<double>")
+    for run in (s.similarity_pairs, s.nearest_neighbours, s.neighbour_lists, s.embedding_stats,
+                lambda ix: s.find_similar(ix, "a"), lambda ix: s.similar_set(ix, "a", 0.1)):
+        with pytest.raises(Exception, match="no whole vector for item (b|d)"):
+            run(s.ItemIndex.of(df)).collect()
+    got = s.similarity_pairs(s.ItemIndex.of(df, missing="drop"), 0.1).collect()
+    assert {(x.a, x.b): round(x.similarity, 9) for x in got} == {("a", "c"): 0.6, ("c", "a"): 0.6}
+    with pytest.raises(ValueError):
+        s.ItemIndex.of(df, missing="keep")
+
+
+@pytest.mark.parametrize("block", [256, 1])
+def test_vectors_of_different_lengths_are_refused(spark, monkeypatch, block):
+    monkeypatch.setattr(s, "BLOCK_MIN", block)
+    rows = [("a", "f", [1.0, 0.0]), ("b", "f", [0.0, 1.0, 0.0, 0.0])]
+    ix = s.ItemIndex.of(spark.createDataFrame(rows, "name string, family string, vector array<double>"))
+    for run in (s.similarity_pairs, s.nearest_neighbours, s.embedding_stats, lambda i: s.find_similar(i, "a")):
+        with pytest.raises(Exception, match="differ in length"):
+            run(ix).collect()
+
+
+def test_items_of_one_name_are_no_neighbours(spark):
+    rows = [("a", "f", [1.0, 0.0]), ("a", "f", [0.8, 0.6]), ("b", "f", [0.6, 0.8])]
+    ix = s.ItemIndex.of(spark.createDataFrame(rows, "name string, family string, vector array<double>"))
+    assert {(x.a, x.b) for x in s.similarity_pairs(ix, 0.1).collect()} == {("a", "b"), ("b", "a")}
+    assert all(x.a != x.b for x in s.nearest_neighbours(ix, 3).collect())
+
+
+def test_threshold_meets_rounded_scores(spark, monkeypatch):
+    third = [1 / 3**0.5] * 3
+    rows = [("a", "f", third), ("b", "f", [x * 7 for x in third]), ("c", "f", [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "name string, family string, vector array<double>")
+    for block in (256, 1):
+        monkeypatch.setattr(s, "BLOCK_MIN", block)
+        assert {(x.a, x.b) for x in s.similarity_pairs(s.ItemIndex.of(df), 1.0).collect()} == {("a", "b"), ("b", "a")}
+
+
+def test_no_job_runs_before_an_item_is_looked_up(spark):
+    names, v = vectors(20)
+    spark.sparkContext.setJobGroup("before", "")
+    ix = index(spark, names, v)
+    frames = [s.find_similar(ix, names[0]), s.similar_set(ix, names[0], 0.2), s.embedding_stats(ix)]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("before")) == 0
+    spark.sparkContext.setJobGroup("after", "")
+    assert all(f.count() for f in frames)

@@ -92,12 +92,10 @@ def pairs_sql(threshold: float) -> str:
 
 
 def stored_pairs(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
-    """The similarity table of the items on sale, computed once and kept as a table, as a
+    """The similarity table of the whole index, computed once and kept as a table, as a
     deployment would."""
-    on_sale = read(spark, sf_dir, "part").select(F.col("p_brand").alias("name"))
-    catalog = vectors(spark, sf_dir).join(on_sale, "name", "left_semi")
     path = scratch_path(spark, "pairs")
-    similarity_pairs(ItemIndex.of(catalog), threshold).write.parquet(path)
+    similarity_pairs(index(spark, sf_dir), threshold).write.parquet(path)
     return spark.read.parquet(path)
 
 
