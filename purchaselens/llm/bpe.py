@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from purchaselens.llm.common import map_texts
+from purchaselens.llm.common import map_texts, stored
 from purchaselens.llm.pretokens import Specials, byte_level, byte_level_pieces
 
 #: Words in the lexicon; its image stays near 100 bytes for each.
@@ -407,15 +407,26 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def frequent_words(counts: DataFrame, words: int) -> list[bytes]:
+    """The most frequent words, ``words`` at most, sorted.
+
+    A histogram of the counts in steps of 4 % gives the count from which on there are no more
+    than that; only the words from there on come to the driver."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    kept = stored(counts.where(F.octet_length("word").between(1, LONGEST)).withColumn("step", step), "word-counts")
+    room, least = words, 0
+    for r in sorted(kept.groupBy("step").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            least = r.step + 1
+            break
+    return sorted(r.word.encode() for r in kept.where(F.col("step") >= least).select("word").collect())
+
+
 def build_image(docs: DataFrame, path: str, *, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """Vocabulary and lexicon of the ``words`` most frequent words (ties: by word) as one image."""
+    """Vocabulary and lexicon of the most frequent words as one image."""
     arrays, more = vocabulary(path)
-    frequent = sorted(
-        r.word.encode()
-        for r in word_counts(docs, text)
-        .where((F.octet_length("word") <= LONGEST) & (F.octet_length("word") > 0))
-        .orderBy(F.desc("n"), "word").limit(words).collect()
-    )
+    frequent = frequent_words(word_counts(docs, text), words)
     ids = Merger(arrays, more["size"]).ids(frequent)
     return pack(
         arrays | compile_lexicon(frequent) | {

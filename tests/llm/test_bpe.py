@@ -80,3 +80,16 @@ def test_query_on_the_smallest_table(spark, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts_[r.doc_id].encode()).hexdigest()
+
+
+def test_frequent_words_are_all_words_from_a_count_on(spark):
+    rows = [(f"w{i}", 1 + i * i) for i in range(60)] + [(f"t{i}", 400) for i in range(7)] + [("", 9), ("x" * 99, 9)]
+    counts = spark.createDataFrame(rows, "word string, n bigint")
+    for words in (0, 1, 5, 30, 1000):
+        found = bpe.frequent_words(counts, words)
+        usable = {w.encode(): n for w, n in rows if 1 <= len(w) <= bpe.LONGEST}
+        assert len(found) <= words and found == sorted(found)
+        if found:
+            least = min(usable[w] for w in found)
+            assert set(found) == {w for w, n in usable.items() if n >= least}
+    assert len(bpe.frequent_words(counts, 1000)) == 67
