@@ -1,0 +1,115 @@
+import random
+import re
+
+import pytest
+from odd_texts import TEXTS
+
+from purchaselens.llm import components, minhash
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingle_set(text):
+    words = WORD.findall((text or "").translate(FOLD))
+    size = min(5, len(words))
+    return frozenset(tuple(words[k : k + size]) for k in range(len(words) - size + 1)) if words else frozenset()
+
+
+def brute(rows):
+    """Smallest id reachable, by id, where ids are unique."""
+    sets = {i: shingle_set(t) for i, t in rows if i is not None}
+    low = {i: i for i in sets}
+
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    ids = sorted(i for i in sets if sets[i])
+    for a in ids:
+        for b in ids:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                low[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def near_copies(n, seed):
+    """Edits of few texts, from none to many, so that links form chains."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randrange(1, 7)))
+    bases = [[word() for _ in range(rng.randrange(30, 120))] for _ in range(4)]
+    out = []
+    for _ in range(n):
+        words = list(rng.choice(bases))
+        for _ in range(rng.randrange(0, 6)):
+            words[rng.randrange(len(words))] = word()
+        text = " ".join(words)
+        out.append(text.upper() if rng.random() < 0.1 and text.isascii() else text)
+        if rng.random() < 0.2:
+            bases.append(words)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equal_to_brute_force(spark, seed):
+    texts = near_copies(250, seed) + TEXTS[:60] + ["a b c", "A  b\tc", "a b c d", "x", "x", "", None, " \n"]
+    rows = [(i * 37 % 1009 - 300, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS BANDS", "2 AS class", "3 AS n")
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    want = brute(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_rows_without_id_and_repeated_ids(spark):
+    text = "one two three four five six seven eight"
+    rows = [(None, text), (None, None), (5, text), (5, text), (7, text), (9, None), (9, "other words"), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([
+        (None, 4, None, True), (None, 0, None, True), (5, 4, 5, True), (5, 4, 5, True), (7, 4, 5, False),
+        (9, 0, 9, True), (9, 1, 9, True), (3, 0, 3, True)], key=str)
+    left = sorted(((r.doc_id, r.text) for r in minhash.without_copies(docs).collect()), key=str)
+    assert left == sorted([(None, text), (None, None), (5, text), (9, None), (9, "other words"), (3, "")], key=str)
+
+
+def test_empty_table(spark):
+    assert minhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_shingle_hashes_stand_for_the_sets():
+    for text in TEXTS + near_copies(30, 5):
+        assert len(minhash.shingles(text)) == len(shingle_set(text)), text
+    assert minhash.shingles("A b C d e\nf").tolist() == minhash.shingles(" a B c D E  F ").tolist()
+    assert minhash.shingles("a b c d e").tolist() != minhash.shingles("a b c e d").tolist()
+
+
+def test_signatures_estimate_similarity():
+    a, b = (" ".join(f"w{i}" for i in range(k, k + 400)) for k in (0, 40))
+    x, y = minhash.shingles(a), minhash.shingles(b)
+    true = len(set(x.tolist()) & set(y.tolist())) / len(set(x.tolist()) | set(y.tolist()))
+    assert abs((minhash.signature(x) == minhash.signature(y)).mean() - true) < 0.1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_against_union_find(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
+    edges += [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2060)] + [(5, 5), (7, None)]
+    low = {}
+
+    def find(x):
+        low.setdefault(x, x)
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for a, b in edges:
+        if b is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            low[y] = x
+    got = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {r.node: r.component for r in got} == {x: find(x) for x in low} and len(got) == len(low)
