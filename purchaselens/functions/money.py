@@ -30,11 +30,19 @@ def money_units(amount: Column | str) -> Column:
     return F.when(fits, units).otherwise(F.raise_error(F.lit(f"an amount is above {LARGEST}")).cast("bigint"))
 
 
-def money_sum(amount: Column | str) -> Column:
-    total = F.sum(money_units(amount).cast("decimal(20,0)"))
+def units_sum(amount: Column | str) -> Column:
+    """A partial sum in 1/10,000; partial sums may be added up again."""
+    return F.sum(money_units(amount).cast("decimal(20,0)"))
+
+
+def from_units(total: Column) -> Column:
     return (total * F.lit(Decimal("0.0001"))).cast("double")
 
 
+def money_sum(amount: Column | str) -> Column:
+    return from_units(units_sum(amount))
+
+
 def money_avg(amount: Column | str) -> Column:
     """Average over the non-NULL amounts."""
     return money_sum(amount) / F.count(_col(amount))

@@ -149,7 +149,8 @@ def quality_checks(
     flag = fluff_flag(text) if terms is None else fluff_flag(text, terms=terms)
     measured = items.agg(
         F.count("*").alias("rows"),
-        F.countDistinct("family").alias("families"),
+        (F.count("name") - F.countDistinct("name")).alias("repeated"),
+        F.size(F.collect_set("family")).cast("bigint").alias("families"),
         F.count_if(F.col("family").isNull()).alias("no_family"),
         F.count_if(text.isNull()).alias("no_text"),
         F.count_if(F.length(text) <= 10).alias("short_text"),
@@ -160,6 +161,7 @@ def quality_checks(
         "data_model",
         {
             "items_present": (F.col("rows") > 0, F.col("rows")),
+            "unique_names": (F.col("repeated") == 0, F.col("repeated")),
             "expected_families": (F.col("families") == families, F.col("families")),
             "family_present": (F.col("no_family") == 0, F.col("no_family")),
             "text_present": (F.col("no_text") == 0, F.col("no_text")),
@@ -185,7 +187,7 @@ def quality_checks(
 # must be proven before it, if any.
 LADDER = (
     ("BASELINE_CAPTURED", (), None),
-    ("DATA_MODEL_VALIDATED", ("items_present", "expected_families", "family_present"), None),
+    ("DATA_MODEL_VALIDATED", ("items_present", "unique_names", "expected_families", "family_present"), None),
     ("PROFILES_ACCEPTED", ("text_present", "text_long_enough", "no_fluff"),
      "DATA_MODEL_VALIDATED"),
     ("INDEX_CERTIFIED", ("index_fresh",), "PROFILES_ACCEPTED"),

@@ -24,6 +24,15 @@ def _cohort_lines(
     return transactions.filter((F.col("product_type") == category) & in_range(start, end))
 
 
+def cohort_guests(
+    transactions: DataFrame, category: str, start: date | str, end: date | str
+) -> DataFrame:
+    """The distinct guests of a cohort."""
+    return _cohort_lines(transactions, category, start, end).select("guest_id").where(
+        "guest_id IS NOT NULL"
+    ).distinct()
+
+
 def cohort_stats(
     transactions: DataFrame, category: str, start: date | str, end: date | str
 ) -> DataFrame:

@@ -24,6 +24,18 @@ def score_profiles(
     )
 
 
+def route_profiles(
+    df: DataFrame,
+    text_col: str = "notes",
+    threshold: float = 0.25,
+    terms: Iterable[str] = tx.SCENT_TERMS,
+    tone_words: Iterable[str] = tx.TONE_WORDS,
+) -> DataFrame:
+    """Add ``route``: "review" for fluff, "accepted" for the rest; every text is scored once."""
+    flag = tx.fluff_flag(F.col(text_col), threshold, terms, tone_words)
+    return df.withColumn("route", F.when(flag, "review").otherwise("accepted"))
+
+
 def quarantine_profiles(
     df: DataFrame,
     text_col: str = "notes",

@@ -20,6 +20,12 @@ def rejection_reasons(rules: dict[str, Column]) -> Column:
     return F.array_remove(F.split(F.concat_ws("\n", *broken), "\n"), "")
 
 
+def judge(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Add ``reasons``, empty where all rules hold: one pass for valid and rejected rows alike.
+    To keep both, write the result partitioned by whether reasons are empty."""
+    return df.withColumn("reasons", rejection_reasons(rules))
+
+
 def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected + ``reasons``): no row is lost and none is in both."""
     valid = reduce(
@@ -28,12 +34,22 @@ def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Dat
     return df.filter(valid), df.filter(~valid).withColumn("reasons", rejection_reasons(rules))
 
 
+def mark_known(
+    df: DataFrame, allowed: DataFrame, col: str = "product_type", out: str = "known"
+) -> DataFrame:
+    """Add whether the category is in an allow-list table; NULL is not."""
+    names = allowed.select(F.col(allowed.columns[0]).alias(col)).distinct()
+    return lookup_join(df, names.withColumn(out, F.lit(True)), [col], "left").withColumn(
+        out, F.coalesce(out, F.lit(False))
+    )
+
+
 def known_category(
     df: DataFrame, allowed: DataFrame, col: str = "product_type", keep: bool = True
 ) -> DataFrame:
-    """Rows whose category is (or, with ``keep=False``, is not) in an allow-list table."""
-    names = allowed.select(F.col(allowed.columns[0]).alias(col)).distinct()
-    return lookup_join(df, names, [col], "left_semi" if keep else "left_anti")
+    """Rows whose category is (or, with ``keep=False``, is not) in an allow-list table. For both
+    at once use :func:`mark_known`."""
+    return mark_known(df, allowed, col, "__known").filter(F.col("__known") == keep).drop("__known")
 
 
 def transaction_rules(allowed: tuple[str, ...] | None = None) -> dict[str, Column]:

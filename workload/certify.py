@@ -113,13 +113,14 @@ CHECKS = (ITEMS, "words AS (SELECT *, lower(notes) AS low FROM items)", f"""judg
     len(list_filter(regexp_extract_all(low, '[a-z]+'), lambda w: w IN ({_WORDS}))) + {_PHRASES})
     < 0.25 * GREATEST(len(regexp_extract_all(low, '[a-z]+')), 1)
     OR NOT regexp_matches(notes, '\\S') AS fluff FROM words)""", """measured AS (
-  SELECT COUNT(*) AS n, COUNT(DISTINCT family) AS families,
+  SELECT COUNT(*) AS n, COUNT(name) - COUNT(DISTINCT name) AS repeated, COUNT(DISTINCT family) AS families,
          COUNT(*) FILTER (family IS NULL) AS no_family, COUNT(*) FILTER (notes IS NULL) AS no_text,
          COUNT(*) FILTER (length(notes) <= 10) AS short_text, COUNT(*) FILTER (fluff) AS fluff
   FROM judged)""", f"print AS ({ITEM_PRINT})", """checks AS (
   SELECT 'data_model' AS suite, k AS check_name, CASE WHEN ok THEN 'passed' ELSE 'failed' END
          AS status, CAST(x AS VARCHAR) AS evidence
   FROM (SELECT 'items_present' AS k, n > 0 AS ok, n AS x FROM measured
+        UNION ALL SELECT 'unique_names', repeated = 0, repeated FROM measured
         UNION ALL SELECT 'expected_families', families = 4, families FROM measured
         UNION ALL SELECT 'family_present', no_family = 0, no_family FROM measured
         UNION ALL SELECT 'text_present', no_text = 0, no_text FROM measured
@@ -134,14 +135,14 @@ def readiness(spark, sf_dir):
 
 READINESS = sql(*CHECKS, """verdict AS (
   SELECT COALESCE(BOOL_AND(status = 'passed') FILTER (check_name IN
-           ('items_present', 'expected_families', 'family_present')), FALSE) AS model,
+           ('items_present', 'unique_names', 'expected_families', 'family_present')), FALSE) AS model,
          COALESCE(BOOL_AND(status = 'passed') FILTER (check_name IN
            ('text_present', 'text_long_enough', 'no_fluff')), FALSE) AS profiles FROM checks)""",
 select="""
 SELECT CASE WHEN model AND profiles THEN 'INDEX_CERTIFIED' WHEN model THEN 'DATA_MODEL_VALIDATED'
             ELSE 'BASELINE_CAPTURED' END AS label,
        CASE WHEN model AND profiles THEN 'passed: index_fresh'
-            WHEN model THEN 'passed: items_present, expected_families, family_present'
+            WHEN model THEN 'passed: items_present, unique_names, expected_families, family_present'
             ELSE 'checks were run' END AS reason
 FROM verdict""")
 

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from purchaselens.operators import meta, similarity
 from purchaselens.plans.scratch import scratch_path
 from purchaselens.schema import TRANSACTIONS as SCHEMA
-from purchaselens.sources import files, lines, sinks, synth
+from purchaselens.functions.money import money_sum, round_to
+from purchaselens.sources import files, intake, lines, sinks, synth
 
 from . import catalog
 from .reports import END, RANGE, START
-from .tables import INDEX, TABLES, TRANSACTIONS, index, read, sql, transactions
+from .tables import INDEX, TABLES, TRANSACTIONS, index, money, read, sql, transactions
 from .similarity import NEAREST
 
 
@@ -41,6 +42,51 @@ def import_csv(spark, sf_dir):
     return _shown(files.import_file(spark, path, SCHEMA)).withColumn("discount_code", _code())
 
 
+def import_csv_reordered(spark, sf_dir):
+    """Columns in another order than the schema's, with one more."""
+    path = _path(spark, "lines", ".csv")
+    df = transactions(spark, sf_dir)
+    df.select(*reversed(df.columns), F.lit(1).alias("extra")).write.option("header", True).csv(path)
+    return _shown(files.import_file(spark, path, SCHEMA)).withColumn("discount_code", _code())
+
+
+# Faults planted by order number: a date, a guest, a scent and a price that no rule admits.
+FAULTS = {
+    "transaction_date": ("01/02/1996", 7), "guest_id": ("a b", 11), "fragrance": ("x''; --", 13), "price": ("much", 17),
+}
+
+
+def import_validated(spark, sf_dir):
+    """A delivery with planted faults: imported, judged, stored, and read back with its reasons."""
+    order = F.substring("transaction_id", 4, 20).cast("bigint")
+    bad = transactions(spark, sf_dir).select(*[
+        F.when(order % FAULTS[c][1] == 0, FAULTS[c][0]).otherwise(F.col(c).cast("string")).alias(c)
+        if c in FAULTS else F.col(c).cast("string")
+        for c in SCHEMA.names
+    ])
+    path = _path(spark, "delivery", ".csv")
+    bad.write.option("header", True).csv(path)
+    report = intake.import_transactions(spark, path, scratch_path(spark, "intake")).first()
+    valid = intake.valid_lines(spark, report.path).groupBy().agg(
+        F.lit("").alias("reasons"), F.count("*").alias("lines"), round_to(money_sum("price"), 2).alias("revenue")
+    )
+    rejected = intake.rejected_lines(spark, report.path).groupBy(
+        F.array_join("reasons", "|").alias("reasons")
+    ).agg(F.count("*").alias("lines"), F.lit(None).cast("double").alias("revenue"))
+    return valid.unionByName(rejected).withColumn("delivered", F.lit(report.row_count))
+
+
+_BAD = [
+    f"CASE WHEN CAST(substr(transaction_id, 4) AS BIGINT) % {n} = 0 THEN '{c}' END" for c, (_, n) in FAULTS.items()
+]
+IMPORT_VALIDATED = sql(TRANSACTIONS, f"""judged AS (
+  SELECT *, concat_ws('|', {', '.join(_BAD)}) AS reasons FROM transactions)""", select=f"""
+SELECT reasons, COUNT(*) AS lines,
+       CASE WHEN reasons = '' THEN ROUND({money('price')}, 2) END AS revenue,
+       (SELECT COUNT(*) FROM judged) AS delivered
+FROM judged GROUP BY reasons""")
+
+
 def import_tsv(spark, sf_dir):
     """Without a schema: names and types come from the file."""
     path = _path(spark, "lines", ".tsv")
@@ -226,6 +272,8 @@ FROM information_schema.columns WHERE table_name = '{t}'"""
 
 QUERIES = {
     "import_csv": (import_csv, sql(TRANSACTIONS, select=ALL)),
+    "import_csv_reordered": (import_csv_reordered, sql(TRANSACTIONS, select=ALL)),
+    "import_validated": (import_validated, IMPORT_VALIDATED),
     "import_tsv": (import_tsv, sql(TRANSACTIONS, select=ALL)),
     "import_json": (import_json, sql(TRANSACTIONS, select=ALL)),
     "import_parquet": (import_parquet, sql(TRANSACTIONS, select=ALL)),

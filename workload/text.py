@@ -54,10 +54,7 @@ def fluff_flag(spark, sf_dir):
 
 def quarantine_profiles(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    accepted, review = q.quarantine_profiles(docs, "text", THRESHOLD, TERMS, TONE)
-    return accepted.select("doc_id", F.lit("accepted").alias("route")).unionByName(
-        review.select("doc_id", F.lit("review").alias("route"))
-    )
+    return q.route_profiles(docs, "text", THRESHOLD, TERMS, TONE).select("doc_id", "route")
 
 
 TURNS = "(SELECT conv_id || '-' || turn AS key, text FROM conversations)"

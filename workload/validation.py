@@ -81,17 +81,8 @@ def valid_category(spark, sf_dir):
     allowed = (
         read(spark, sf_dir, "part").filter(F.col("p_retailprice") < 901).select("p_type").distinct()
     )
-    lines = transactions(spark, sf_dir)
-
-    def counted(keep):
-        return (
-            v.known_category(lines, allowed, keep=keep)
-            .groupBy("product_type")
-            .agg(F.count("*").alias("lines"))
-            .withColumn("known", F.lit(keep))
-        )
-
-    return counted(True).unionByName(counted(False))
+    lines = v.mark_known(transactions(spark, sf_dir), allowed)
+    return lines.groupBy("product_type", "known").agg(F.count("*").alias("lines"))
 
 
 VALID_CATEGORY = sql(TRANSACTIONS, select="""
@@ -106,9 +97,8 @@ def split_valid(spark, sf_dir):
         "guest": g.valid_guest_id(F.col("guest")),
         "number": g.valid_int(F.col("number"), 1, 1000),
     }
-    valid, rejected = v.split_valid(_orders(spark, sf_dir), rules)
-    return valid.select("o_orderkey", F.lit("").alias("reasons")).unionByName(
-        rejected.select("o_orderkey", F.array_join("reasons", "|").alias("reasons"))
+    return v.judge(_orders(spark, sf_dir), rules).select(
+        "o_orderkey", F.array_join("reasons", "|").alias("reasons")
     )
 
 
