@@ -149,8 +149,10 @@ EXPORT_SEGMENT = sql(
 
 
 def load_catalog(spark, sf_dir):
-    report = sinks.load_catalog(catalog.products(spark, sf_dir), scratch_path(spark, "catalog"))
-    return report.select("row_count")
+    """What was stored, and the reported number of rows on each."""
+    report = sinks.load_catalog(catalog.products(spark, sf_dir), scratch_path(spark, "catalog")).first()
+    back = spark.read.parquet(report.path).withColumn("tags", F.array_join("tags", "|"))
+    return back.withColumn("row_count", F.lit(report.row_count))
 
 
 def export_catalog_json(spark, sf_dir):
@@ -167,14 +169,16 @@ def export_neighbours(spark, sf_dir):
     return back.select(
         "name", "family",
         F.array_join(
-            F.transform("neighbours", lambda e: F.concat(e["name"], F.lit(":"), e["family"])), "|"
+            F.transform("neighbours", lambda e: F.concat_ws(
+                ":", e["name"], e["family"], F.round(e["similarity"] * 10_000).cast("bigint").cast("string"))), "|"
         ).alias("neighbours"),
     )
 
 
 EXPORT_NEIGHBOURS = sql(INDEX, NEAREST, select="""
 SELECT i.name, i.family,
-       string_agg(n.b || ':' || n.family, '|' ORDER BY n.rank) AS neighbours
+       string_agg(n.b || ':' || n.family || ':' || CAST(round(n.similarity * 10000) AS BIGINT), '|'
+                  ORDER BY n.rank) AS neighbours
 FROM idx i JOIN nearest n ON n.a = i.name GROUP BY i.name, i.family""")
 
 
@@ -281,7 +285,7 @@ QUERIES = {
     "save_table_by_month": (save_lines, SAVE_LINES),
     "import_report": (import_report, IMPORT_REPORT),
     "export_segment": (export_segment, EXPORT_SEGMENT),
-    "load_catalog": (load_catalog, sql(*catalog.RAW, select="SELECT COUNT(*) AS row_count FROM products")),
+    "load_catalog": (load_catalog, sql(*catalog.RAW, select="SELECT *, COUNT(*) OVER () AS row_count FROM products")),
     "export_catalog_json": (export_catalog_json, sql(*catalog.RAW, select="SELECT * FROM products")),
     "export_neighbours": (export_neighbours, EXPORT_NEIGHBOURS),
     "synthetic_transactions": (synthetic_transactions, SYNTHETIC),
