@@ -3,12 +3,14 @@
 1. Per document: the set of distinct five-word shingles, as 64-bit hashes; the smallest value of
    each of 384 universal hash functions over it; 64 band keys of 6 minima each.
 2. Documents with equal sets are one class from the start, named by its smallest doc_id.
-3. Classes that share a band key are candidates. First every class is paired with the smallest
-   of each of its buckets only. Candidates whose signatures agree enough are confirmed on
-   their full sets, and the links give components.
+3. Classes that share a band key are candidates. First every class is paired only with the hub
+   of each of its buckets, the one that shares most with others. Candidates whose signatures
+   agree enough are confirmed on their full sets, and the links give components.
 4. Within a component nothing more can be learnt. What is left are pairs that share a bucket
-   but no component: all of those are checked in a second turn. So no bucket is paired
-   out, and no pair of candidates of different components stays unchecked.
+   but no component, and all of those are dealt with in a second turn: the documents' shingles are
+   counted by how many of these documents hold them, and a pair whose counts cannot add up to a
+   link is no link; every other one is checked. So no bucket is paired out, and no pair of
+   candidates of different components stays open.
 5. Components by alternating large-star and small-star.
 
 A pair at the threshold of 0.75 shares none of the 64 bands with a probability of
@@ -182,6 +184,44 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
     return stored(both.where(_linked("text_a", "text_b")).select("a", "b"), "links")
 
 
+#: Ends of the classes of shingles, by how many open documents hold one; one document's own
+#: shingles are shared with nobody.
+_HELD = (3, 10, 100)
+_SHARED = ("held_3", "held_10", "held_100", "held_more")
+
+
+def _profiles(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, n, held_...): per document its shingles, and how many of them 2 to 3, up to 10,
+    up to 100 and more of the documents ``ids`` hold."""
+
+    def make():
+        return lambda values: [[shingles(t).astype(np.int64).tolist() for t in values]]
+
+    field = T.StructField("shingles", T.ArrayType(T.LongType()))
+    sets = map_texts(checked_join(texts, ids, "doc_id", "left_semi"), "text", [field], make, keep_text=False)
+    sets = stored(sets, "open-sets")
+    rows = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    rare = stored(
+        rows.groupBy("shingle").agg(F.count("*").alias("held")).where(F.col("held") <= _HELD[-1]), "rare-shingles"
+    )
+    counts, low = [F.sum(F.when(F.col("held") == 1, 1).otherwise(0)).alias("own")], 1
+    for name, high in zip(_SHARED, _HELD, strict=False):
+        counts.append(F.sum(F.when(F.col("held").between(low + 1, high), 1).otherwise(0)).alias(name))
+        low = high
+    found = rows.join(rare, "shingle").groupBy("doc_id").agg(*counts)
+    sizes = sets.where(F.size("shingles") > 0).groupBy("doc_id").agg(
+        F.sum(F.size("shingles")).alias("n"), F.count("*").alias("texts")
+    )
+    filled = {c: F.coalesce(c, F.lit(0)) for c in ("own", *_SHARED[:-1])}
+    all_ = sizes.join(found, "doc_id", "left").withColumns(filled)
+    # An id with several texts is never ruled out.
+    rest = F.col("n") - sum((F.col(c) for c in _SHARED[:-1]), F.col("own"))
+    return all_.select(
+        "doc_id", "n", *_SHARED[:-1],
+        F.when(F.col("texts") == 1, rest).otherwise(F.lit(2**40)).alias("held_more"),
+    )
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of ``docs``.
 
@@ -192,25 +232,34 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     own = stored(signatures(docs, doc_id=doc_id, text=text), "signatures")
     linkable = own.where("doc_id IS NOT NULL AND n_shingles > 0")
-    firsts = linkable.groupBy("set_1", "set_2", "n_shingles").agg(F.min("doc_id").alias("class"))
+    firsts = stored(
+        linkable.groupBy("set_1", "set_2", "n_shingles").agg(F.min("doc_id").alias("class")), "class-names"
+    )
     members = stored(
         linkable.select("doc_id", "n_shingles", "set_1", "set_2")
         .join(firsts, ["set_1", "set_2", "n_shingles"]).select("doc_id", "n_shingles", "class"),
         "classes",
     )
-    ids = members.select(F.col("class").alias("doc_id")).distinct()
-    classes = checked_join(linkable, ids, "doc_id", "left_semi")
+    classes = checked_join(
+        linkable, firsts.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi"
+    )
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
     keys = classes.select(F.explode("bands").alias("band"), "doc_id")
-    shared = keys.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    buckets = stored(
-        keys.join(shared.where("first < last").select("band", "first"), "band"), "buckets"
+    shared = keys.groupBy("band").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")
+    )
+    buckets = stored(keys.join(shared.where("first < last").select("band", "n"), "band"), "buckets")
+    weights = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    hubs = stored(
+        buckets.select("band", "doc_id").join(weights, "doc_id").groupBy("band")
+        .agg(F.max_by("doc_id", "weight").alias("hub")),
+        "hubs",
     )
     tried = stored(
-        buckets.where("doc_id <> first")
-        .select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(),
-        "first-pairs",
+        buckets.select("band", "doc_id").join(hubs, "band").where("doc_id <> hub")
+        .select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(),
+        "hub-pairs",
     )
     links = _confirmed(tried, classes, texts)
     found = components(links)
@@ -223,7 +272,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         F.min("component").alias("low"), F.max("component").alias("high")
     ).where("low < high").select("band")
     left = stored(labelled.join(mixed, "band"), "open-buckets")
-    others = left.alias("x").join(left.alias("y"), "band").where("x.component < y.component").select(
+    known = _profiles(texts, left.select("doc_id").distinct())
+    left = stored(left.join(known, "doc_id"), "open-profiles")
+    # What the two can share at most, class by class, must be enough for a link.
+    most = sum((F.least(f"x.{c}", f"y.{c}") for c in _SHARED), F.lit(0))
+    others = left.alias("x").join(
+        left.alias("y"),
+        (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component"))
+        & ((100 + PERCENT) * most >= PERCENT * (F.col("x.n") + F.col("y.n"))),
+    ).select(
         F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")
     ).distinct().join(tried, ["a", "b"], "left_anti")
     links = links.union(_confirmed(others, classes, texts))
