@@ -9,31 +9,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The default scent vocabulary. Scores depend on exactly these terms.
-SCENT_TERMS = tuple(
-    """
-    rose, jasmine, lavender, magnolia, lily, peony, honeysuckle, violet, iris, tuberose,
-    neroli, ylang, gardenia, lilac, freesia, carnation, hibiscus, orchid, cherry blossom,
-    sakura, blossom, petal, petals, floral, bouquet,
-    lemon, lime, orange, grapefruit, bergamot, mandarin, tangerine, yuzu, citron, citrus,
-    zest, rind,
-    aquatic, ocean, sea, salt, marine, ozone, ozonic, aldehyde, aldehydes, cotton, linen,
-    clean, crisp, dewy, morning, breeze, air, airy,
-    sandalwood, cedar, cedarwood, oud, patchouli, vetiver, amber, musk, leather, smoke,
-    smoky, wood, woody, moss, oakmoss, earthy, balsam, fir, pine,
-    vanilla, caramel, sugar, sugary, honey, honeyed, chocolate, cocoa, coffee, almond,
-    marzipan, cinnamon, spice, spicy, nutmeg, clove, tonka, praline, bakery, cream, creamy,
-    buttercream, syrup,
-    eucalyptus, mint, peppermint, spearmint, menthol, rosemary, sage, thyme, basil, tea,
-    matcha, chamomile, verbena, green, grass, leaf, leaves, fern, botanical, herbal, aloe,
-    clover,
-    apple, pear, peach, apricot, plum, berry, strawberry, raspberry, blackberry, blueberry,
-    currant, cherry, fig, mango, pineapple, coconut, guava, passionfruit, passion, melon,
-    watermelon, tropical, juicy, fruit, fruity,
-    tart, sweet, bitter, warm, cool, cooling, fresh, soft, powdery, rich, deep, light,
-    bright, milky
-    """.replace("\n", " ").split(",")
+SCENT_TERMS = (
+    "rose", "jasmine", "lavender", "magnolia", "lily", "peony", "honeysuckle", "violet", "iris",
+    "tuberose",
+    "neroli", "ylang", "gardenia", "lilac", "freesia", "carnation", "hibiscus", "orchid",
+    "cherry blossom",
+    "sakura", "blossom", "petal", "petals", "floral", "bouquet",
+    "lemon", "lime", "orange", "grapefruit", "bergamot", "mandarin", "tangerine", "yuzu",
+    "citron", "citrus",
+    "zest", "rind",
+    "aquatic", "ocean", "sea", "salt", "marine", "ozone", "ozonic", "aldehyde", "aldehydes",
+    "cotton", "linen",
+    "clean", "crisp", "dewy", "morning", "breeze", "air", "airy",
+    "sandalwood", "cedar", "cedarwood", "oud", "patchouli", "vetiver", "amber", "musk",
+    "leather", "smoke",
+    "smoky", "wood", "woody", "moss", "oakmoss", "earthy", "balsam", "fir", "pine",
+    "vanilla", "caramel", "sugar", "sugary", "honey", "honeyed", "chocolate", "cocoa", "coffee",
+    "almond",
+    "marzipan", "cinnamon", "spice", "spicy", "nutmeg", "clove", "tonka", "praline", "bakery",
+    "cream", "creamy",
+    "buttercream", "syrup",
+    "eucalyptus", "mint", "peppermint", "spearmint", "menthol", "rosemary", "sage", "thyme",
+    "basil", "tea",
+    "matcha", "chamomile", "verbena", "green", "grass", "leaf", "leaves", "fern", "botanical",
+    "herbal", "aloe",
+    "clover",
+    "apple", "pear", "peach", "apricot", "plum", "berry", "strawberry", "raspberry",
+    "blackberry", "blueberry",
+    "currant", "cherry", "fig", "mango", "pineapple", "coconut", "guava", "passionfruit",
+    "passion", "melon",
+    "watermelon", "tropical", "juicy", "fruit", "fruity",
+    "tart", "sweet", "bitter", "warm", "cool", "cooling", "fresh", "soft", "powdery", "rich",
+    "deep", "light",
+    "bright", "milky",
 )
-SCENT_TERMS = tuple(" ".join(term.split()) for term in SCENT_TERMS)
 
 # Words of advertising tone.
 TONE_WORDS = (

@@ -183,7 +183,7 @@ def quality_checks(
     return found.unionByName(fresh)
 
 
-# Rungs of the default ladder, lowest first: label, checks that prove it, and the label that
+# The labels. Rungs of the default ladder, lowest first: label, checks that prove it, and the label that
 # must be proven before it, if any.
 LADDER = (
     ("BASELINE_CAPTURED", (), None),

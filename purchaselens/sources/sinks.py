@@ -12,6 +12,7 @@ from ..schema import PRODUCTS, conform
 
 
 def segment_slug(name: str) -> str:
+    # Fixed value: what a file name keeps of a segment's name.
     return re.sub(r"[^A-Za-z0-9_-]+", "_", name).strip("_") or "segment"
 
 

@@ -13,9 +13,9 @@ from purchaselens.operators.similarity import ItemIndex, similarity_pairs
 from purchaselens.plans.scratch import scratch_path
 
 TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
