@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purchaselens.llm.common import chunks, stored
+from purchaselens.llm.common import MOST_BLOCKS, chunks, stored
 from purchaselens.llm.pretokens import Specials, word_level, word_level_pieces
 
 BLOCK = 65_536
@@ -132,7 +132,7 @@ def write(
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     count = docs.select(F.count(F.lit(1))).first()[0]
-    files = max(1, -(-count // file_rows))
+    files = max(1, min(MOST_BLOCKS, -(-count // file_rows)))
     ranged = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,8 @@ from purchaselens.plans.scratch import scratch_path
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters of text that a Python function works on at a time; a longer text is one chunk.
 CHUNK_CHARS = 1_000_000
+#: Files or blocks whose totals the driver adds up, at most; beyond, each takes more rows.
+MOST_BLOCKS = 100_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
