@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from purchaselens.llm.common import checked_join, stored
+from purchaselens.llm.common import MOST_BLOCKS, checked_join, stored
 
 PARTS = 3
 #: Cells of a part are 2 ** bits; each size reads its own bits of a digest, from (first) on.
@@ -56,34 +56,37 @@ def _check(key: Column) -> Column:
     return F.xxhash64(F.lit(9), key)
 
 
-def _in_cell(keys: Column, cell: Column, size: tuple[int, int]) -> Column:
-    """The digests of an array whose place in the cell's part is that cell."""
+def _cell(left: Column, right: Column, cell: Column, size: tuple[int, int], start: Column | None = None) -> Column:
+    """struct(n, key, check) of one cell: ``start`` (or nothing) plus the digests of ``left``
+    whose place it is, less those of ``right``."""
     bits, first = size
-    width = 1 << bits
-    shift = F.shiftright(cell, bits) * bits + first
-    return F.filter(
-        keys,
-        lambda k: F.call_function("shiftrightunsigned", k, shift).bitwiseAND(F.lit(width - 1))
-        == F.pmod(cell, F.lit(width)),
-    )
+    mask = F.lit((1 << bits) - 1).cast("bigint")
+
+    def folded(shift: Column, place: Column) -> Column:
+        def put(sign: int) -> Callable[[Column, Column], Column]:
+            return lambda a, k: F.when(
+                F.call_function("shiftrightunsigned", k, shift).bitwiseAND(mask) == place,
+                F.struct(
+                    (a["n"] + sign).alias("n"), a["key"].bitwiseXOR(k).alias("key"),
+                    a["check"].bitwiseXOR(_check(k)).alias("check"),
+                ),
+            ).otherwise(a)
 
+        nothing = F.struct(
+            F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("check")
+        )
+        return F.aggregate(right, F.aggregate(left, nothing if start is None else start, put(1)), put(-1))
 
-def _cell(left: Column, right: Column) -> Column:
-    both = F.concat(left, right)
-    return F.struct(
-        (F.size(left) - F.size(right)).alias("n"),
-        _xor(both).alias("key"),
-        _xor(F.transform(both, _check)).alias("check"),
+    # The cell's part says which bits of a digest count, its place in the part what they must be.
+    return _let(
+        F.shiftright(cell, bits) * bits + first, lambda shift: _let(cell.bitwiseAND(mask), lambda place: folded(shift, place))
     )
 
 
 def table(left: Column, right: Column, size: tuple[int, int]) -> Column:
     """The table of ``left`` less the table of ``right``."""
     cells = F.sequence(F.lit(0), F.lit((PARTS << size[0]) - 1))
-    return F.transform(
-        cells,
-        lambda i: _let(_in_cell(left, i, size), lambda a: _let(_in_cell(right, i, size), lambda b: _cell(a, b))),
-    )
+    return F.transform(cells, lambda i: _cell(left, right, i, size))
 
 
 def _empty(cell: Column) -> Column:
@@ -91,58 +94,46 @@ def _empty(cell: Column) -> Column:
 
 
 def _peel(cells: Column, size: tuple[int, int]) -> Column:
-    """struct(cells, left, right): what is left of a table, and the digests recovered."""
+    """struct(cells, left, right, open, whole): what is left of a table, the digests recovered, and
+    whether they are all of it."""
     nothing = F.array().cast(_NONE)
 
-    def take(state: Column, left: Column, right: Column) -> Column:
-        rest = F.transform(
-            state["cells"],
-            lambda c, i: _let(
-                _let(_in_cell(left, i, size), lambda a: _let(_in_cell(right, i, size), lambda b: _cell(a, b))),
-                lambda out: F.struct(
-                    (c["n"] - out["n"]).alias("n"), c["key"].bitwiseXOR(out["key"]).alias("key"),
-                    c["check"].bitwiseXOR(out["check"]).alias("check"),
-                ),
-            ),
-        )
+    def is_all(state: Column, left: Column, right: Column) -> Column:
+        """Whether these digests add up to what the cells of one part hold together."""
+        part = F.slice(state["cells"], 1, 1 << size[0])
+        return _let(F.concat(left, right), lambda both: (
+            (F.aggregate(part, F.lit(0), lambda n, c: n + c["n"]) == F.size(left) - F.size(right))
+            & (_xor(F.transform(part, lambda c: c["key"])) == _xor(both))
+            & (_xor(F.transform(part, lambda c: c["check"])) == _xor(F.transform(both, _check)))
+        ))
+
+    def state_of(cells_: Column, left: Column, right: Column, open_: Column, whole: Column) -> Column:
         return F.struct(
-            rest.alias("cells"), F.concat(state["left"], left).alias("left"),
-            F.concat(state["right"], right).alias("right"),
+            cells_.alias("cells"), left.alias("left"), right.alias("right"), open_.alias("open"), whole.alias("whole")
         )
 
-    def turn(state: Column, _: Column) -> Column:
-        def lone(n: int) -> Column:
-            found = F.filter(state["cells"], lambda c: (c["n"] == n) & (c["check"] == _check(c["key"])))
-            return F.array_distinct(F.transform(found, lambda c: c["key"]))
+    def take(state: Column, left: Column, right: Column) -> Column:
+        """Take the digests out of their other cells, unless they are the last."""
+        more = F.concat(state["left"], left), F.concat(state["right"], right)
+        # What was on the left is taken away, so the sides change places.
+        rest = F.transform(state["cells"], lambda c, i: _cell(right, left, i, size, c))
+        return F.when(
+            is_all(state, left, right), state_of(state["cells"], *more, F.lit(False), F.lit(True))
+        ).otherwise(state_of(rest, *more, F.lit(True), F.lit(False)))
 
-        return _let(lone(1), lambda a: _let(lone(-1), lambda b: F.when(
-            F.size(a) + F.size(b) == 0, state
-        ).otherwise(take(state, a, b))))
+    def turn(state: Column, _: Column) -> Column:
+        lone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"])))
 
-    start = F.struct(cells.alias("cells"), nothing.alias("left"), nothing.alias("right"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
+        def side(found: Column, n: int) -> Column:
+            return F.array_distinct(F.transform(F.filter(found, lambda c: c["n"] == n), lambda c: c["key"]))
 
+        closed = state_of(state["cells"], state["left"], state["right"], F.lit(False), F.forall(state["cells"], _empty))
+        return F.when(~state["open"], state).otherwise(_let(lone, lambda found: F.when(
+            F.size(found) == 0, closed
+        ).otherwise(_let(side(found, 1), lambda a: _let(side(found, -1), lambda b: take(state, a, b))))))
 
-def _decoded(groups: DataFrame) -> DataFrame:
-    """Add ``d``: struct(left, right, tries), the digests of ``left`` and ``right`` on one side
-    only, by the smallest table that peels to nothing. Each larger one is tried only where those before
-    it failed."""
-    left, right = F.col("left"), F.col("right")
-    open_, found = F.lit(True), None
-    for k, size in enumerate(SIZES):
-        name = f"try_{k}"
-        groups = groups.withColumn(name, F.when(open_, _peel(table(left, right, size), size)))
-        done = F.col(name).isNotNull() & F.forall(F.col(f"{name}.cells"), _empty)
-        result = F.struct(
-            F.col(f"{name}.left").alias("left"), F.col(f"{name}.right").alias("right"), F.lit(k + 1).alias("tries")
-        )
-        found = F.when(done, result) if found is None else found.when(done, result)
-        groups = groups.withColumn(f"done_{k}", done)
-        open_ = open_ & ~F.col(f"done_{k}")
-    return groups.withColumn("d", found.otherwise(F.struct(
-        F.array_except(left, right).alias("left"), F.array_except(right, left).alias("right"),
-        F.lit(len(SIZES) + 1).alias("tries"),
-    )))
+    start = state_of(cells, nothing, nothing, F.lit(True), F.lit(False))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
 
 
 def fingerprint(keys: Column) -> Column:
@@ -156,42 +147,90 @@ def fingerprint(keys: Column) -> Column:
     )
 
 
-def differences(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., left_only, right_only, tries) for rows with digest arrays ``left`` and ``right``.
+def _groups(df: DataFrame, left: str, right: str) -> DataFrame:
+    """Add ``__groups``: both sides split by as many bits of the digests as make about GROUP a
+    group; first coarsely, then each part again, so that a text of n digests costs n to the
+    power 1.5 and not its square. What all digests share is worked out once, in columns."""
+    nothing = F.array().cast(_NONE)
+    wide = F.greatest(F.lit(1), F.ceil((F.size(left) + F.size(right)) / GROUP))
+    df = df.withColumn("__bits", F.least(F.lit(_GROUP_BITS), F.ceil(F.log2(wide)).cast("int")))
+    df = df.withColumn("__coarse", F.floor((F.col("__bits") + 1) / 2).cast("int"))
+
+    def mask(bits: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
+
+    df = df.withColumns({
+        "__mask_1": mask(F.col("__coarse")), "__mask_2": mask(F.col("__bits") - F.col("__coarse")),
+        "__shift_2": F.col("__coarse") + _GROUP_FROM,
+    })
+
+    def of(keys: Column, shift: Column, mask_: Column, value: Column) -> Column:
+        return F.filter(
+            keys, lambda k: F.call_function("shiftrightunsigned", k, shift).bitwiseAND(mask_) == value
+        )
+
+    def split(a: Column, b: Column, shift: Column, mask_: Column, made: Callable[[Column, Column], Column]) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0).cast("bigint"), mask_), lambda v: made(of(a, shift, mask_, v), of(b, shift, mask_, v))
+        )
+
+    df = df.withColumn("__parts", split(
+        F.col(left), F.col(right), F.lit(_GROUP_FROM), F.col("__mask_1"),
+        lambda a, b: F.struct(a.alias("left"), b.alias("right")),
+    ))
+    return df.withColumn("__groups", F.flatten(F.transform("__parts", lambda p: split(
+        p["left"], p["right"], F.col("__shift_2"), F.col("__mask_2"),
+        lambda a, b: F.struct(
+            a.alias("left"), b.alias("right"), nothing.alias("left_only"), nothing.alias("right_only"),
+            F.lit(0).alias("tries"),
+        ),
+    )))).drop("__bits", "__coarse", "__mask_1", "__mask_2", "__shift_2", "__parts")
+
+
+def differences(df: DataFrame, left: str, right: str, name: str = "difference") -> DataFrame:
+    """Add ``name``: struct(left_only, right_only, tries) of two digest arrays of a row.
 
-    ``by`` names each row. Groups are formed where the row is: no digest of another row is near
-    it, so a long text costs in proportion to its digests. Two empty sides have no row in the
-    result: nothing differs.
+    Everything happens in the row: nothing is shuffled and no digest of another row is near it.
+    ``tries`` is the number of table sizes that the hardest group took, 0 for two empty sides.
     """
-    wide = F.greatest(F.lit(1), F.ceil((F.size("left") + F.size("right")) / GROUP))
-    bits = F.least(F.lit(_GROUP_BITS), F.ceil(F.log2(wide)).cast("int"))
-
-    def entries(side: str, is_left: bool) -> Column:
-        return F.transform(side, lambda k: F.struct(F.lit(is_left).alias("is_left"), k.alias("digest")))
-
-    rows = pairs.select(
-        *by, (F.lit(1).cast("bigint") * F.call_function("shiftleft", F.lit(1), bits) - 1).alias("mask"),
-        F.explode(F.concat(entries("left", True), entries("right", False))).alias("e"),
-    ).select(
-        *by, F.shiftrightunsigned("e.digest", _GROUP_FROM).bitwiseAND(F.col("mask")).alias("group"),
-        "e.is_left", "e.digest",
-    )
-    groups = rows.groupBy(*by, "group").agg(
-        F.collect_list(F.when(F.col("is_left"), F.col("digest"))).alias("left"),
-        F.collect_list(F.when(~F.col("is_left"), F.col("digest"))).alias("right"),
-    )
-    return _decoded(groups).select(*by, "d").groupBy(*by).agg(
-        F.flatten(F.collect_list("d.left")).alias("left_only"),
-        F.flatten(F.collect_list("d.right")).alias("right_only"),
-        F.max("d.tries").alias("tries"),
-    )
+    df = _groups(df, left, right)
+    for k, size in enumerate(SIZES):
+
+        def retried(g: Column, k: int, size: tuple[int, int]) -> Column:
+            def judged(s: Column) -> Column:
+                return F.struct(
+                    g["left"].alias("left"), g["right"].alias("right"), s["left"].alias("left_only"),
+                    s["right"].alias("right_only"), F.when(s["whole"], k + 1).otherwise(0).alias("tries"),
+                )
+
+            return F.when((g["tries"] > 0) | (F.size(g["left"]) + F.size(g["right"]) == 0), g).otherwise(
+                _let(_peel(table(g["left"], g["right"], size), size), judged)
+            )
+
+        def step(k: int, size: tuple[int, int]) -> Callable[[Column], Column]:
+            return lambda g: retried(g, k, size)
+
+        df = df.withColumn("__groups", F.transform("__groups", step(k, size)))
+    direct = F.transform("__groups", lambda g: F.when(
+        (g["tries"] > 0) | (F.size(g["left"]) + F.size(g["right"]) == 0), g
+    ).otherwise(F.struct(
+        g["left"].alias("left"), g["right"].alias("right"),
+        F.array_except(g["left"], g["right"]).alias("left_only"),
+        F.array_except(g["right"], g["left"]).alias("right_only"), F.lit(len(SIZES) + 1).alias("tries"),
+    )))
+    df = df.withColumn("__groups", direct)
+    return df.withColumn(name, F.struct(
+        F.flatten(F.transform("__groups", lambda g: g["left_only"])).alias("left_only"),
+        F.flatten(F.transform("__groups", lambda g: g["right_only"])).alias("right_only"),
+        F.coalesce(F.array_max(F.transform("__groups", lambda g: g["tries"])), F.lit(0)).alias("tries"),
+    )).drop("__groups")
 
 
 def _following(ids: DataFrame) -> DataFrame:
     """(key, next_key, n_chars) of distinct documents by descending doc_id; the last is followed
     by the first. Ids are ordered in ranges, and a range's last finds the next range's first."""
     count = ids.count()
-    parts = max(1, -(-count // BLOCK_ROWS))
+    parts = max(1, min(MOST_BLOCKS, -(-count // BLOCK_ROWS)))
     order = [F.col("doc_id").desc_nulls_last(), F.col("key")]
     ranged = stored(
         ids.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ordered-ids"
@@ -248,33 +287,19 @@ def edited_pairs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     texts = own.select("key", "text").join(given, "key").select(
         "key", "text", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 3)).cast("int")), "head").alias("edited"), "next"
     )
-    sets = stored(
-        texts.select(
-            "key", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-            digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("edited"), "next",
-        ),
-        "digest-sets",
+    sets = texts.select(
+        "key", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("edited"), "next",
     )
-    pairs = sets.select(
-        "key",
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("kind"), F.col("own").alias("left"), F.col("edited").alias("right")),
-            F.struct(F.lit(1).alias("kind"), F.col("own").alias("left"), F.col("next").alias("right")),
-        )).alias("p"),
-    ).select("key", "p.*")
-    apart = differences(pairs, ["key", "kind"]).groupBy("key").agg(*[
-        F.max(F.when(F.col("kind") == k, F.size(side))).alias(f"{side}_{k}")
-        for k in (0, 1) for side in ("left_only", "right_only")
-    ])
-
-    def near(k: int) -> Column:
-        all_ = F.size("own") + F.coalesce(f"right_only_{k}", F.lit(0))
-        shared = F.size("own") - F.coalesce(f"left_only_{k}", F.lit(0))
-        return F.when(all_ == 0, 1.0).otherwise(shared / all_)
-
-    result = sets.join(apart, "key", "left").select(
+    apart = differences(differences(sets, "own", "edited", "to_edited"), "own", "next", "to_next")
+
+    def near(other: str) -> Column:
+        all_ = F.size("own") + F.size(f"{other}.right_only")
+        return F.when(all_ == 0, 1.0).otherwise((F.size("own") - F.size(f"{other}.left_only")) / all_)
+
+    result = apart.select(
         "key", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        near(0).alias("near_edited"), near(1).alias("near_next"),
+        near("to_edited").alias("near_edited"), near("to_next").alias("near_next"),
     )
     return rows.join(result, "key").drop("key")

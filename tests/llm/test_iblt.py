@@ -72,7 +72,7 @@ def test_recovered_digests_are_the_difference(spark):
         right = rng.sample(left, n // 2) + [rng.getrandbits(64) - 2**63 for _ in range(n // 3 + 1)]
         rows.append((i, left, right))
     pairs = spark.createDataFrame(rows, "i int, left array<bigint>, right array<bigint>")
-    got = {r.i: r for r in iblt.differences(pairs, ["i"]).collect()}
+    got = {r.i: r.difference for r in iblt.differences(pairs, "left", "right").collect()}
     for i, left, right in rows:
         assert set(got[i].left_only) == set(left) - set(right) and len(set(got[i].left_only)) == len(got[i].left_only)
         assert set(got[i].right_only) == set(right) - set(left)
@@ -83,7 +83,7 @@ def test_failing_tables_are_retried_larger(spark):
     low = [(7 << 50) | (k << 6) | 9 for k in range(3)]  # equal low 6 bits
     same = [(7 << 50) | (k << 43) for k in range(2)]  # equal low 42 bits
     pairs = spark.createDataFrame([(1, low, []), (2, same, [5 << 50])], "i int, left array<bigint>, right array<bigint>")
-    got = {r.i: r for r in iblt.differences(pairs, ["i"]).collect()}
+    got = {r.i: r.difference for r in iblt.differences(pairs, "left", "right").collect()}
     assert sorted(got[1].left_only) == low and 1 < got[1].tries <= len(iblt.SIZES)
     assert sorted(got[2].left_only) == same and got[2].right_only == [5 << 50]
     assert got[2].tries == len(iblt.SIZES) + 1
