@@ -141,12 +141,13 @@ def train(
     share = F.when(F.col("y") == 1, min(1.0, sample / max(1, sizes.get(1, 0)))).otherwise(
         min(1.0, sample / max(1, sizes.get(0, 0)))
     )
-    fields = [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))]
+    # Packed, 6 bytes a feature, on their way to the driver.
+    fields = [T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType())]
 
     def make():
         def work(texts: list[str | None]) -> list[list]:
             made = [features(t) for t in texts]
-            return [[a.tolist() for a, _ in made], [x.tolist() for _, x in made]]
+            return [[a.astype("<u2").tobytes() for a, _ in made], [x.astype("<f4").tobytes() for _, x in made]]
 
         return work
 
@@ -155,7 +156,8 @@ def train(
         F.broadcast(given.where(draw < share)), "doc_id"
     )
     rows = map_texts(picked, "text", fields, make, keep_text=False).orderBy("doc_id").collect()
-    return fit([(np.array(r.at), np.array(r.x), r.y) for r in rows], sizes)
+    packed = [(np.frombuffer(r.at, "<u2"), np.frombuffer(r.x, "<f4"), r.y) for r in rows]
+    return fit(packed, sizes)
 
 
 def score(docs: DataFrame, machine: Machine, *, text: str = "text", keep_text: bool = True) -> DataFrame:

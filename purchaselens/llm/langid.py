@@ -60,7 +60,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return _unit(np.sqrt(counts) * idf)
+    return _unit(np.sqrt(counts, dtype=np.float32) * idf.astype(np.float32))
 
 
 @dataclass
@@ -136,14 +136,17 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: in
         return Model([], idf, np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros((0, len(LENGTHS) + 1)))
     share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, sample / sizes[name]))])
     draw = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) / 1_000_000
-    # Only the n-grams that occur travel to the driver.
-    fields = [T.StructField("grams", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
+    # Only the n-grams that occur travel to the driver, packed: 6 bytes each.
+    fields = [T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())]
 
     def make():
         def work(texts: list[str | None]) -> list[list]:
             counts = [grams(t) for t in texts]
             at = [np.flatnonzero(c) for c in counts]
-            return [[a.tolist() for a in at], [c[a].tolist() for a, c in zip(at, counts, strict=True)]]
+            return [
+                [a.astype("<u2").tobytes() for a in at],
+                [c[a].astype("<u4").tobytes() for a, c in zip(at, counts, strict=True)],
+            ]
 
         return work
 
@@ -151,9 +154,9 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: in
     centroids, owner, floors = [], [], []
     for own, name in enumerate(languages):
         mine = [r for r in drawn if r.lang == name]
-        counts = np.zeros((max(1, len(mine)), DIMENSIONS))
+        counts = np.zeros((max(1, len(mine)), DIMENSIONS), np.float32)
         for row, r in zip(counts, mine, strict=False):
-            row[r.grams] = r.counts
+            row[np.frombuffer(r.grams, "<u2")] = np.frombuffer(r.counts, "<u4")
         vectors = _vectors(counts, idf)
         centers = _cluster(vectors, CENTROIDS)
         centroids.append(centers)

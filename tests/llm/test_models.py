@@ -46,7 +46,7 @@ def test_texts_of_no_language(spark, model):
 
 def test_several_centroids_a_language(model):
     assert all((model.owner == k).sum() > 1 for k in range(len(model.languages)))
-    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5)
 
 
 def test_no_training_rows(spark):
