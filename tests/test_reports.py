@@ -138,3 +138,17 @@ def test_text_dates_are_cast(spark):
     text = t.withColumn("transaction_date", F.col("transaction_date").cast("string"))
     assert as_transactions(text).schema == t.schema
     assert as_transactions(text).exceptAll(t).count() == 0
+
+
+def test_channel_types_are_counted_without_gathering_guests(spark):
+    kinds = [f"K{i}" for i in range(6)]
+    rows = [
+        line(f"T{g}", f"G{g}", "2025-02-01", kind, "x", channel=channel)
+        for channel, most in (("Online", 6), (None, 4), ("Fair", 0))
+        for g in range(64) for i, kind in enumerate([*kinds[:most], None]) if kind is None or g >> i & 1
+    ]
+    out = r.channel_performance(frame(spark, rows, 5), S, E)
+    assert {x.channel: (x.unique_guests, x.categories_sold) for x in out.collect()} == {
+        "Online": (64, 6), None: (64, 4), "Fair": (64, 0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
