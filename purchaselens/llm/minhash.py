@@ -191,8 +191,9 @@ _SHARED = ("held_3", "held_10", "held_100", "held_more")
 
 
 def _profiles(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, n, held_...): per document its shingles, and how many of them 2 to 3, up to 10,
-    up to 100 and more of the documents ``ids`` hold."""
+    """(doc_id, n, texts, held_...): per document its shingles, and how many of them 2 to 3, up
+    to 10, up to 100 and more of the documents ``ids`` hold. Rows that repeat an id and a set
+    count once; the numbers of an id with several ``texts`` are sums over these."""
 
     def make():
         return lambda values: [[shingles(t).astype(np.int64).tolist() for t in values]]
@@ -200,6 +201,10 @@ def _profiles(texts: DataFrame, ids: DataFrame) -> DataFrame:
     field = T.StructField("shingles", T.ArrayType(T.LongType()))
     sets = map_texts(checked_join(texts, ids, "doc_id", "left_semi"), "text", [field], make, keep_text=False)
     sets = stored(sets, "open-sets")
+    again = stored(sets.groupBy("doc_id").count().where("count > 1").select("doc_id"), "open-repeats")
+    if not again.isEmpty():
+        once = checked_join(sets, again, "doc_id", "left_semi").dropDuplicates(["doc_id", "shingles"])
+        sets = stored(checked_join(sets, again, "doc_id", "left_anti").unionByName(once), "open-sets-once")
     rows = sets.select("doc_id", F.explode("shingles").alias("shingle"))
     rare = stored(
         rows.groupBy("shingle").agg(F.count("*").alias("held")).where(F.col("held") <= _HELD[-1]), "rare-shingles"
@@ -214,12 +219,8 @@ def _profiles(texts: DataFrame, ids: DataFrame) -> DataFrame:
     )
     filled = {c: F.coalesce(c, F.lit(0)) for c in ("own", *_SHARED[:-1])}
     all_ = sizes.join(found, "doc_id", "left").withColumns(filled)
-    # An id with several texts is never ruled out.
     rest = F.col("n") - sum((F.col(c) for c in _SHARED[:-1]), F.col("own"))
-    return all_.select(
-        "doc_id", "n", *_SHARED[:-1],
-        F.when(F.col("texts") == 1, rest).otherwise(F.lit(2**40)).alias("held_more"),
-    )
+    return all_.select("doc_id", "n", "texts", *_SHARED[:-1], rest.alias("held_more"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,12 +275,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     left = stored(labelled.join(mixed, "band"), "open-buckets")
     known = _profiles(texts, left.select("doc_id").distinct())
     left = stored(left.join(known, "doc_id"), "open-profiles")
-    # What the two can share at most, class by class, must be enough for a link.
+    # What the two can share at most, class by class, must be enough for a link. That says
+    # nothing of an id with several texts: it is never ruled out.
     most = sum((F.least(f"x.{c}", f"y.{c}") for c in _SHARED), F.lit(0))
+    enough = (100 + PERCENT) * most >= PERCENT * (F.col("x.n") + F.col("y.n"))
     others = left.alias("x").join(
         left.alias("y"),
         (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component"))
-        & ((100 + PERCENT) * most >= PERCENT * (F.col("x.n") + F.col("y.n"))),
+        & (enough | (F.col("x.texts") > 1) | (F.col("y.texts") > 1)),
     ).select(
         F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")
     ).distinct().join(tried, ["a", "b"], "left_anti")

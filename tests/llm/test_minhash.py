@@ -76,6 +76,47 @@ def test_rows_without_id_and_repeated_ids(spark):
     assert left == sorted([(None, text), (None, None), (5, text), (9, None), (9, "other words"), (3, "")], key=str)
 
 
+def bands(text):
+    low = minhash.signature(minhash.shingles(text)).reshape(minhash.BANDS, minhash.ROWS)
+    return {(k, tuple(row.tolist())) for k, row in enumerate(low)}
+
+
+def shadowed_pair():
+    """Two linked texts, and groups of texts that are links of neither, one of which is the hub of
+    every bucket that the two share."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    core = [word() for _ in range(94)]
+    x, y = (" ".join(core + [word() for _ in range(13)]) for _ in range(2))
+    open_ = bands(x) & bands(y)
+    assert open_
+    groups = []
+    while open_:
+        tried = []
+        for _ in range(600):
+            words = list(core)
+            for at in (rng.randrange(5, 28), rng.randrange(35, 58), rng.randrange(65, 88)):
+                words[at] = word()
+            tried.append(" ".join(words))
+        best = max(tried, key=lambda t: len(bands(t) & open_))
+        # The members of a group differ in their last word, and all hold the key wanted.
+        members = [t for _ in range(60) if open_ & bands(t := best + " " + word()) >= open_ & bands(best)][:12]
+        groups += members
+        open_ -= bands(best)
+    return x, y, groups
+
+
+@pytest.mark.parametrize("repeat", ["row", "text"])
+def test_repeated_rows_where_the_hub_links_to_neither(spark, repeat):
+    x, y, groups = shadowed_pair()
+    rows = [(1, x), (1, x if repeat == "row" else " ".join(f"other{k}" for k in range(104))), (2, y)]
+    rows += [(10 + i, t) for i, t in enumerate(groups)]
+    want = brute([rows[0], *rows[2:]])
+    assert want[2][1] == 1 and all(want[i][1] >= 10 for i, _ in rows[3:])
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(i, c) for i, (_, c) in want.items()}
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
