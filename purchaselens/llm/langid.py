@@ -15,15 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from purchaselens.llm.common import map_texts
 
 DIMENSIONS = 4096
-#: Training documents per language that the centroids are fitted on (expected number; the draw
-#: is by a hash of the row). Counts and frequencies use all.
+#: Distinct training texts per language that the centroids are fitted on, at most; the draw is by
+#: a hash of the text. Counts and frequencies use all rows.
 SAMPLE = 1500
 CENTROIDS = 4
 ROUNDS = 12
@@ -106,7 +106,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: in
     """Fit on every row with a text and a language; rows lacking either are left out.
 
     Without any such row the model knows no language and answers ``und``. The driver holds one
-    number per dimension and the sample of about ``sample`` rows per language.
+    number per dimension and the sample of at most ``sample`` distinct texts per language.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")
@@ -130,12 +130,18 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: in
     df = np.array([counted.get(g, 0) for g in range(DIMENSIONS)], float)
     idf = np.log((1 + n) / (1 + df)) + 0.1
 
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    keyed = rows.select("*", F.xxhash64("text", F.lit(3)).alias("draw"), F.xxhash64("text").alias("other"))
+    sizes = {r.lang: r.n for r in keyed.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], idf, np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros((0, len(LENGTHS) + 1)))
-    share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, sample / sizes[name]))])
-    draw = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) / 1_000_000
+    # Twice the sample and more passes, however the estimate of sizes errs; copies of a text become
+    # one row where they stand, and of what is left the smallest draws are the sample.
+    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, (2 * sample + 100) / max(1, sizes[k])))])
+    place = F.pmod("draw", F.lit(1_000_000)) / 1_000_000
+    once = keyed.where(place < share[F.col("lang")]).groupBy("lang", "draw", "other").agg(F.first("text").alias("text"))
+    smallest = Window.partitionBy("lang").orderBy(place, "draw", "other")
+    sampled = once.select("*", F.row_number().over(smallest).alias("at")).where(F.col("at") <= sample).drop("draw", "other")
     # Only the n-grams that occur travel to the driver, packed: 6 bytes each.
     fields = [T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())]
 
@@ -150,10 +156,10 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: in
 
         return work
 
-    drawn = map_texts(rows.where(draw < share[F.col("lang")]), "text", fields, make, keep_text=False).collect()
+    drawn = map_texts(sampled, "text", fields, make, keep_text=False).collect()
     centroids, owner, floors = [], [], []
     for own, name in enumerate(languages):
-        mine = [r for r in drawn if r.lang == name]
+        mine = sorted((r for r in drawn if r.lang == name), key=lambda r: r["at"])
         counts = np.zeros((max(1, len(mine)), DIMENSIONS), np.float32)
         for row, r in zip(counts, mine, strict=False):
             row[np.frombuffer(r.grams, "<u2")] = np.frombuffer(r.counts, "<u4")

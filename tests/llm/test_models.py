@@ -49,6 +49,17 @@ def test_several_centroids_a_language(model):
     assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5)
 
 
+def test_training_sample_is_bounded_whatever_the_copies(spark, monkeypatch):
+    rows = [(f"copied text {k} " + "abcdefghij"[k % 10] * 5, "en") for k in range(300) for _ in range(40)]
+    rows += [(f"mot {k} de la langue", "fr") for k in range(30)] * 20
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    seen, cluster = [], langid._cluster
+    monkeypatch.setattr(langid, "_cluster", lambda v, k: seen.append(v) or cluster(v, k))
+    models = [langid.train(docs.repartition(n), sample=50) for n in (3, 7)]
+    assert [len(v) for v in seen] == [50, 30] * 2
+    assert np.array_equal(models[0].centroids, models[1].centroids)
+
+
 def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "text", None)], "doc_id bigint, text string, lang string")
     model = langid.train(docs)
