@@ -12,8 +12,10 @@ and punctuation do not count as errors. Four base phrases are counted exactly be
 from __future__ import annotations
 
 import re
+from bisect import bisect, insort
 from collections.abc import Callable
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -113,34 +115,62 @@ def _pattern(notice: str):
     return regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={allowed(notice)}}}")
 
 
-def _windows(text: str) -> dict[str, list[tuple[int, int]]]:
-    """Per notice the merged stretches of text in which a seed says it may stand."""
-    found: dict[str, list[tuple[int, int]]] = {}
+def _windows(text: str) -> dict[str, set[tuple[int, int]]]:
+    """Per notice the stretches of text in which a seed says it may stand."""
+    found: dict[str, set[tuple[int, int]]] = {}
     for end, (size, places) in _automaton().iter(text):
         for notice, offset in places:
             k, start = allowed(notice), end + 1 - size - offset
-            a, b = max(0, start - k), min(len(text), start + len(notice) + k)
-            spans = found.setdefault(notice, [])
-            if spans and a <= spans[-1][1]:
-                spans[-1] = spans[-1][0], max(b, spans[-1][1])
-            else:
-                spans.append((a, b))
+            span = max(0, start - k), min(len(text), start + len(notice) + k)
+            found.setdefault(notice, set()).add(span)
     return found
 
 
+def _free(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a stretch outside the taken spans, which are sorted and do not overlap."""
+    out = []
+    for k in range(max(0, bisect(taken, (a, a)) - 1), len(taken)):
+        start, end = taken[k]
+        if start >= b:
+            break
+        if a < start:
+            out.append((a, start))
+        a = max(a, end)
+    return [*out, (a, b)] if a < b else out
+
+
 def fuzzy(text: str, starts: np.ndarray) -> list[tuple[str, int, int, int, float]]:
     """(label, first word, last word, errors, similarity) of every notice found in plain text;
-    matches of one notice do not overlap."""
+    matches of one notice do not overlap.
+
+    The best match is taken first. A window that overlaps it is searched again in what is left
+    of it, so that a weaker match beside a better one is found too.
+    """
     out = []
-    for notice, spans in _windows(text).items():
-        for a, b in spans:
-            at = a
-            while at < b and (m := _pattern(notice).search(text, at, b)):
-                errors = sum(m.fuzzy_counts)
-                first = int(np.searchsorted(starts, m.start() + (text[m.start()] == " "), side="right")) - 1
-                last = int(np.searchsorted(starts, m.end() - 1, side="right")) - 1
-                out.append((NOTICES[notice], max(first, 0), max(last, 0), errors, 1 - errors / len(notice)))
-                at = max(m.end(), m.start() + 1)
+    for notice, windows in _windows(text).items():
+        least = len(notice) - allowed(notice)
+        taken: list[tuple[int, int]] = []
+        open_: list[tuple[int, int, int, int, int]] = []
+
+        def search(a: int, b: int) -> None:
+            if b - a >= least and (m := _pattern(notice).search(text, a, b)):
+                heappush(open_, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+        for a, b in windows:
+            search(a, b)
+        while open_:
+            errors, start, end, a, b = heappop(open_)
+            free = _free(a, b, taken)
+            if not any(x <= start and end <= y for x, y in free):
+                for x, y in free:
+                    search(x, y)
+                continue
+            first = int(np.searchsorted(starts, start + (text[start] == " "), side="right")) - 1
+            last = int(np.searchsorted(starts, end - 1, side="right")) - 1
+            out.append((NOTICES[notice], max(first, 0), max(last, 0), errors, 1 - errors / len(notice)))
+            insort(taken, (start, end))
+            for x, y in _free(a, b, taken):
+                search(x, y)
     return sorted(out)
 
 

@@ -66,6 +66,35 @@ def test_edited_notices_are_found_as_the_whole_text_search_finds_them(seed):
             assert min(x[3] for x in found) <= sum(whole.fuzzy_counts)
 
 
+def test_edited_notices_side_by_side():
+    for text, spans in {
+        "all right reserved all rights reserved": [(0, 2, 1), (3, 5, 0)],
+        "released undr the mit license released under the mit license": [(0, 4, 1), (5, 9, 0)],
+        "all rights reserved all right reserved all rights reserved all rihts reserved":
+            [(0, 2, 0), (3, 5, 1), (6, 8, 0), (9, 11, 1)],
+        " ".join(["all rights reserved", "al rights reserved"] * 30):
+            [(3 * k, 3 * k + 2, k % 2) for k in range(60)],
+    }.items():
+        found = licenses.fuzzy(*licenses.plain(text))
+        assert [x[1:4] for x in found if x[0] in ("all-rights-reserved", "mit-notice")] == spans, text
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_no_match_is_left_beside_those_found(seed):
+    rng = random.Random(seed)
+    for notice, label in licenses.NOTICES.items():
+        parts = []
+        for _ in range(6):
+            part = list(notice)
+            for _ in range(rng.randrange(0, licenses.allowed(notice) + 1)):
+                part[rng.randrange(len(part))] = rng.choice("xyz")
+            parts += ["".join(part), *rng.choices(["", "and", "some words"], k=1)]
+        body, starts = licenses.plain(" ".join(parts))
+        found = sorted(x[1:3] for x in licenses.fuzzy(body, starts) if x[0] == label)
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+        assert len(found) == 6, (body, found)
+
+
 def test_spans_are_words():
     body, starts = licenses.plain("We say: Licenced under the Apache Licence, Version 2.0 (the text)")
     (label, first, last, errors, similarity), = [x for x in licenses.fuzzy(body, starts) if x[0] == "apache-2.0"]
