@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from purchaselens.llm import (
-    bitplanes, bpe, fm, iblt, langid, licenses, lines, middle, minhash, shards, winnow,
+    bitplanes, bpe, fm, iblt, langid, licenses, lines, middle, minhash, periods, shards, winnow,
 )
 from purchaselens.llm.common import read
 
@@ -147,6 +147,38 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
 FROM p"""
 
 
+def planted_words() -> Column:
+    """The words of a text, joined by a blank; in one document of ten those from word a on repeat
+    the p words at a."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    repeated = F.concat(
+        F.slice(words, 1, a), F.transform(F.sequence(a, n - 1), lambda i: F.get(words, a + (i - a) % p))
+    )
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(F.coalesce("text", F.lit("")))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", planted_words().alias("text"))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    longest = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")
+    )))
+    found = periods.collapse(docs, keep_text=False).withColumn("longest", longest)
+    length = -F.col("longest.less")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("longest.start").alias("start"),
+        length.alias("length"), F.col("longest.period").alias("period"),
+        F.floor(length * 1000 / F.col("longest.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_language": (op2_language, None),
@@ -159,4 +191,5 @@ QUERIES = {
     "op9_bit_planes": (op9_bit_planes, None),
     "op10_quality": (op10_quality, None),
     "op11_middle": (op11_middle, OP11),
+    "op12_periods": (op12_periods, None),
 }
