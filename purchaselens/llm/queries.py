@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from purchaselens.llm import (
-    bitplanes, bpe, fm, iblt, langid, licenses, lines, middle, minhash, periods, shards, winnow,
+    bitplanes, bpe, fm, iblt, langid, licenses, lines, middle, minhash, periods, repeats,
+    shards, winnow,
 )
 from purchaselens.llm.common import read
 
@@ -179,6 +180,29 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+# Windows as text, whole; a doc_id on several rows removes nothing from itself.
+OP13 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  v AS (SELECT r, doc_id, p, array_to_string(w[p : p + 12], ' ') AS t
+        FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+  f AS (SELECT t, min(doc_id) AS least FROM v GROUP BY t HAVING min(doc_id) < max(doc_id)),
+  g AS (SELECT r, list(DISTINCT q) AS gone FROM (
+          SELECT r, unnest(range(p, p + 13)) AS q FROM v JOIN f USING (t) WHERE doc_id > least) GROUP BY r),
+  k AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS kept FROM (
+          SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d JOIN g USING (r))
+          ANTI JOIN (SELECT r, unnest(gone) AS p FROM g) USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN g USING (r) LEFT JOIN k USING (r)"""
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_language": (op2_language, None),
@@ -192,4 +216,5 @@ QUERIES = {
     "op10_quality": (op10_quality, None),
     "op11_middle": (op11_middle, OP11),
     "op12_periods": (op12_periods, None),
+    "op13_repeats": (op13_repeats, OP13),
 }
