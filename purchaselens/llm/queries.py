@@ -157,9 +157,9 @@ def planted_words() -> Column:
     n = F.size(words)
     a = (g % n).cast("int")
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    repeated = F.concat(
-        F.slice(words, 1, a), F.transform(F.sequence(a, n - 1), lambda i: F.get(words, a + (i - a) % p))
-    )
+    times = F.ceil((n - a) / p).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), 1, n - a)
+    repeated = F.concat(F.slice(words, 1, a), again)
     return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(F.coalesce("text", F.lit("")))
 
 
