@@ -8,7 +8,7 @@ them, and keeps only what the threshold or the k admits.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -22,6 +22,7 @@ from ..functions.names import name_key
 from ..functions.money import round_to
 from ..functions.vector import same_length_dot, unit
 from ..plans.joins import lookup_join
+from . import tiles
 
 BLOCK_MIN, BLOCK_MAX = 256, 2048
 # Scores that differ by less than this many decimals rank as ties (broken by name).
@@ -83,121 +84,107 @@ class ItemIndex:
 
 # -- whole-catalog scoring ---------------------------------------------------------------
 
+_SCORED = "a string, b string, similarity double"
 
-def _block_pairs(index: ItemIndex) -> DataFrame:
-    """Every item once per pair of blocks it takes part in, keyed by the pair."""
-    block_rows = min(BLOCK_MAX, max(BLOCK_MIN, -(-index.rows // 16)))
-    blocks = max(1, -(-index.rows // block_rows))
-    block = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")
-    return (
-        index.items.select("name", "vector", block.alias("block"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select(
-            F.least("block", "other").alias("block_a"),
-            F.greatest("block", "other").alias("block_b"),
-            "block",
-            "name",
-            "vector",
-        )
-    )
 
+def _tiling(index: ItemIndex) -> tiles.Tiling:
+    rows = min(BLOCK_MAX, max(BLOCK_MIN, -(-index.rows // 16)))
+    return tiles.tiling(index.items, index.rows, rows)
 
-def _matrix(table: pa.Table) -> tuple[pa.ChunkedArray, np.ndarray]:
-    """Names in order and their vectors as a matrix."""
-    table = table.sort_by("name")
-    vectors = [np.asarray(v, dtype=np.float64) for v in table.column("vector").to_numpy()]
-    lengths = {len(v) for v in vectors}
-    if len(lengths) > 1:
-        names = {len(v): n for v, n in zip(vectors, table.column("name").to_pylist(), strict=True)}
-        raise ValueError(f"item vectors differ in length: {names}")
-    return table.column("name"), np.stack(vectors) if vectors else np.zeros((0, 0))
 
+def _same_name(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Which of ``a`` (rows) are of one name with which of ``b`` (columns)."""
+    code = np.asarray(pa.concat_arrays([a, b]).dictionary_encode(null_encoding="encode").indices)
+    return code[: len(a), None] == code[None, len(a) :]
 
-def _same_name(names: pa.ChunkedArray) -> np.ndarray:
-    """Which rows of a block are of one item."""
-    code = np.asarray(names.combine_chunks().dictionary_encode().indices)
-    return code[:, None] == code[None, :]
 
+def _found(a: pa.Array, b: pa.Array, i: np.ndarray, j: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([a.take(pa.array(i)), b.take(pa.array(j)), pa.array(scores)], ["a", "b", "similarity"])
 
-def _score_blocks(
-    index: ItemIndex, keep: Callable[[np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
-) -> DataFrame:
-    """Score both directions of every block pair.
-
-    ``keep(scores, same)`` returns the row and column numbers worth emitting; ``same`` marks
-    pairs of one name, which only a block with itself can hold. Scores reach it rounded, so a
-    pair on the threshold does not depend on the shape of its blocks.
-    """
 
-    def found(a, b, scores: np.ndarray, same: np.ndarray | None) -> pa.Table:
-        i, j = keep(np.round(scores, RANK_DECIMALS), same)
-        names = (a.take(pa.array(i)), b.take(pa.array(j)))
-        return pa.table({"a": names[0], "b": names[1], "similarity": scores[i, j]})
-
-    def score(table: pa.Table) -> pa.Table:
-        a, b = table.column("block_a")[0].as_py(), table.column("block_b")[0].as_py()
-        block = np.asarray(table.column("block"))
-        left_names, left = _matrix(table.filter(pa.array(block == a)))
-        if a == b:
-            return found(left_names, left_names, left @ left.T, _same_name(left_names))
-        right_names, right = _matrix(table.filter(pa.array(block == b)))
-        if not len(left) or not len(right):
-            return found(left_names, right_names, np.zeros((len(left), len(right))), None)
-        if left.shape[1] != right.shape[1]:
-            raise ValueError(
-                f"item vectors differ in length: {left_names[0]} has {left.shape[1]}, "
-                f"{right_names[0]} has {right.shape[1]}"
-            )
-        scores = left @ right.T
-        return pa.concat_tables(
-            [found(left_names, right_names, scores, None),
-             found(right_names, left_names, scores.T, None)]
-        )
+def similarity_pairs(index: ItemIndex, threshold: float = 0.6) -> DataFrame:
+    """All ordered pairs of different items with cosine >= threshold: (a, b, similarity).
 
-    return (
-        _block_pairs(index)
-        .groupBy("block_a", "block_b")
-        .applyInArrow(score, "a string, b string, similarity double")
+    Tiles that hold nothing within the threshold's angle of an item are not visited; of two tiles
+    one visits the other. Scores are compared rounded, so a pair on the threshold does not depend on
+    the shape of its tile.
+    """
+    angle = float(np.arccos(np.clip(threshold - 1e-9, -1.0, 1.0))) if threshold > 0 else np.pi
+
+    def score(names, here, home, visiting, there) -> Iterator[pa.RecordBatch]:
+        scores = there @ here.T
+        hit = (np.round(scores, RANK_DECIMALS) >= threshold) & ~_same_name(visiting, names)
+        i, j = np.nonzero(hit)
+        yield _found(visiting, names, i, j, scores[i, j])
+        away = ~home[i]
+        i, j = i[away], j[away]
+        if len(i):
+            yield _found(names, visiting, j, i, scores[i, j])
+
+    return tiles.against_tiles(
+        index.items, _tiling(index), index.items.select("name", "vector"),
+        lambda batch: np.full(len(batch), angle), True, score, _SCORED,
     )
 
 
-def similarity_pairs(index: ItemIndex, threshold: float = 0.6) -> DataFrame:
-    """All ordered pairs of different items with cosine >= threshold: (a, b, similarity)."""
-
-    def keep(scores: np.ndarray, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        hit = scores >= threshold
-        return np.nonzero(hit if same is None else hit & ~same)
+def _best(scores: np.ndarray, same: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` best columns of each row, without those marked ``same``; the first of equals."""
+    cost = np.where(same, np.inf, -np.round(scores, RANK_DECIMALS))
+    if cost.shape[1] <= k:
+        return ~same
+    # All that beat the k-th best, then as many of its equals as are still wanted;
+    # columns are in name order, so the first equals are the first by name.
+    kth = np.partition(cost, k - 1, axis=1)[:, k - 1 : k]
+    better, equal = cost < kth, cost == kth
+    wanted = k - better.sum(axis=1, keepdims=True)
+    return (better | (equal & (np.cumsum(equal, axis=1) <= wanted))) & ~same
+
+
+def _reach(index: ItemIndex, plan: tiles.Tiling, k: int) -> DataFrame:
+    """Items with ``kth``: the k-th best score in their own tile, NULL if it has fewer others."""
+
+    def score(names, here, home, visiting, there) -> Iterator[pa.RecordBatch]:
+        cost = np.where(_same_name(visiting, names), np.inf, -np.round(there @ here.T, RANK_DECIMALS))
+        kth = np.partition(cost, k - 1, axis=1)[:, k - 1] if cost.shape[1] >= k else np.full(len(there), np.inf)
+        yield pa.RecordBatch.from_arrays(
+            [visiting, pa.array(list(there), pa.list_(pa.float64())), pa.array(-kth, mask=np.isinf(kth))],
+            ["name", "vector", "kth"],
+        )
 
-    return _score_blocks(index, keep)
+    return tiles.against_tiles(
+        index.items, plan, index.items.select("name", "vector"), None, False, score,
+        "name string, vector array<double>, kth double",
+    )
 
 
 def nearest_neighbours(index: ItemIndex, k: int = 10) -> DataFrame:
     """The ``k`` >= 1 most similar other items of every item, ties by name.
 
-    A block pair hands on at most ``k`` candidates per item, so what is shuffled for the
-    final ranking grows with items x blocks x k and not with the number of pairs.
+    Two rounds: the k-th score that an item finds in its own tile bounds the angle within which it
+    still has to look, so the second round visits only tiles that may hold something as good.
+    A tile hands on at most ``k`` candidates per visitor.
     """
-
-    def keep(scores: np.ndarray, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        cost = -scores
-        if same is not None:
-            cost[same] = np.inf
-        if cost.shape[1] <= k:
-            chosen = np.ones(cost.shape, dtype=bool)
-        else:
-            # All that beat the k-th best, then as many of its equals as are still wanted;
-            # columns are in name order, so the first equals are the first by name.
-            kth = np.partition(cost, k - 1, axis=1)[:, k - 1 : k]
-            better, equal = cost < kth, cost == kth
-            wanted = k - better.sum(axis=1, keepdims=True)
-            chosen = better | (equal & (np.cumsum(equal, axis=1) <= wanted))
-        return np.nonzero(chosen if same is None else chosen & ~same)
-
+    plan = _tiling(index)
+
+    def within(batch: pa.RecordBatch) -> np.ndarray:
+        kth = batch.column("kth").to_numpy(zero_copy_only=False).astype(np.float64)
+        # A zero vector scores 0 with everything, wherever it is: its cell is never ruled out.
+        return np.where(np.isnan(kth), np.pi, np.arccos(np.clip(kth - 1e-9, -1.0, 1.0)))
+
+    def score(names, here, home, visiting, there) -> Iterator[pa.RecordBatch]:
+        scores = there @ here.T
+        i, j = np.nonzero(_best(scores, _same_name(visiting, names), k))
+        yield _found(visiting, names, i, j, scores[i, j])
+
+    if plan.total == 1:
+        visitors = index.items.select("name", "vector", F.lit(None).cast("double").alias("kth"))
+    else:
+        visitors = _reach(index, plan, k)
     by_score = Window.partitionBy("a").orderBy(
         F.desc(F.round("similarity", RANK_DECIMALS)), "b"
     )
     return (
-        _score_blocks(index, keep)
+        tiles.against_tiles(index.items, plan, visitors, within, False, score, _SCORED)
         .withColumn("rank", F.row_number().over(by_score))
         .filter(F.col("rank") <= k)
     )

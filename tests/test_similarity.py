@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from purchaselens.operators import similarity as s
+from purchaselens.operators import tiles
 from purchaselens.plans import joins
 
 
@@ -201,3 +202,49 @@ def test_no_job_runs_before_an_item_is_looked_up(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("before")) == 0
     spark.sparkContext.setJobGroup("after", "")
     assert all(f.count() for f in frames)
+
+
+def clustered(n=900, d=8, seed=3):
+    """Tight groups, zero vectors, exact copies, one name on two rows."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, d))
+    v = centres[rng.integers(0, 12, n)] * 6 + rng.normal(size=(n, d))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[10], v[20], v[500:505] = 0, 0, v[0]
+    names = [f"item {i:04d}" for i in range(n)]
+    names[40] = names[41]
+    return names, v
+
+
+@pytest.mark.parametrize("rows", [16, 60, 2000])
+def test_tiles_lose_nothing(spark, monkeypatch, rows):
+    monkeypatch.setattr(s, "BLOCK_MIN", rows)
+    monkeypatch.setattr(s, "BLOCK_MAX", rows)
+    names, v = clustered()
+    ix, scores = index(spark, names, v), np.round(v @ v.T, 12)
+    other = np.array(names)[:, None] != np.array(names)[None, :]
+    for threshold in (0.97, 0.6, 0.0, -0.5):
+        got = sorted((x.a, x.b) for x in s.similarity_pairs(ix, threshold).collect())
+        assert got == sorted((names[i], names[j]) for i, j in zip(*np.nonzero((scores >= threshold) & other)))
+    nearest = {}
+    for x in s.nearest_neighbours(ix, 5).orderBy("a", "rank").collect():
+        nearest.setdefault(x.a, []).append((x.b, round(x.similarity, 9)))
+    for i, name in enumerate(names):
+        if i not in (40, 41):  # two rows of one name share their list
+            best = sorted(np.flatnonzero(other[i]), key=lambda j: (-scores[i, j], names[j]))
+            want = [(names[j], round(float(scores[i, j]), 9)) for j in best[:5]]
+            # Rows of one name are candidates each; the first five rows count.
+            assert nearest[name] == want, name
+
+
+def test_visits_are_few_where_items_are_close(spark, monkeypatch):
+    monkeypatch.setattr(s, "BLOCK_MIN", 50)
+    monkeypatch.setattr(s, "BLOCK_MAX", 50)
+    names, v = clustered()
+    plan = s._tiling(index(spark, names, v))
+    to = tiles.angles(v, plan.pivots)
+    at, _ = plan.visits(plan.open_cells(to, np.full(len(v), np.arccos(0.9))))
+    assert plan.total > 10 and len(at) < 0.35 * len(v) * plan.total
+    assert plan.n_tiles.max() > 1 or plan.total < len(plan.pivots)
+    sizes = np.bincount(plan.homes(names, plan.cells(v, to)), minlength=plan.total)
+    assert sizes.sum() == len(v)
