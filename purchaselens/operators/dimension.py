@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import name_key
+from ..plans import joins
 from ..plans.joins import lookup_join, measured_bytes
 
 
+def _resolved(df: DataFrame, items: DataFrame, col: str, out: str, size: int) -> DataFrame:
+    exact = items.select(F.col("name").alias(col), F.col("name").alias("__exact")).distinct()
+    by_key = items.groupBy(F.lower("name").alias("__key")).agg(F.min("name").alias("__near"))
+    keyed = df.withColumn("__key", name_key(F.col(col)))
+    found = lookup_join(
+        lookup_join(keyed, exact, [col], "left", size=size), by_key, ["__key"], "left", size=size
+    )
+    return found.select(*df.columns, F.coalesce("__exact", "__near").alias(out))
+
+
+def _per_name(df: DataFrame, col: str, resolve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Resolve each distinct name once and join the answers back."""
+    names = df.select(col).where(F.col(col).isNotNull()).distinct()
+    return lookup_join(df, resolve(names), [col], "left")
+
+
 def resolve_item(
     df: DataFrame,
     items: DataFrame,
@@ -18,16 +37,14 @@ def resolve_item(
     """Add the canonical name of a name as sold; NULL where the item is unknown.
 
     An exact match wins; else the trimmed, case-folded name without its "Plus" marker
-    decides.
+    decides. Where the items are too many to broadcast, the distinct names (combined before they
+    are shuffled) are resolved, and a name that many rows have is joined back without a shuffle.
     """
     size = 2 * measured_bytes(items.select("name"))
-    exact = items.select(F.col("name").alias(col), F.col("name").alias("__exact")).distinct()
-    by_key = items.groupBy(F.lower("name").alias("__key")).agg(F.min("name").alias("__near"))
-    keyed = df.withColumn("__key", name_key(F.col(col)))
-    found = lookup_join(
-        lookup_join(keyed, exact, [col], "left", size=size), by_key, ["__key"], "left", size=size
-    )
-    return found.select(*df.columns, F.coalesce("__exact", "__near").alias(out))
+    if size <= joins.BROADCAST_BYTES:
+        return _resolved(df, items, col, out, size)
+    found = _per_name(df, col, lambda names: _resolved(names, items, col, out, size))
+    return found.select(*df.columns, out)
 
 
 def item_attributes(
@@ -39,12 +56,14 @@ def item_attributes(
     attributes = items.groupBy(F.col("name").alias("__canonical")).agg(first.alias("a")).select(
         "__canonical", "a.notes", "a.family"
     )
-    return (
-        lookup_join(
-            resolve_item(df, items, col, "__canonical"), attributes, ["__canonical"], "left"
-        )
-        .select(*df.columns, "notes", F.coalesce("family", F.lit("Unknown")).alias("family"))
-    )
+
+    def described(names: DataFrame) -> DataFrame:
+        found = resolve_item(names, items, col, "__canonical")
+        return lookup_join(found, attributes, ["__canonical"], "left", size=size).drop("__canonical")
+
+    size = measured_bytes(attributes)
+    found = described(df) if size <= joins.BROADCAST_BYTES else _per_name(df, col, described)
+    return found.select(*df.columns, "notes", F.coalesce("family", F.lit("Unknown")).alias("family"))
 
 
 def item_notes(df: DataFrame, items: DataFrame, col: str = "fragrance") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "table_name string, ordinal int, column_name string, data_type string"
@@ -44,8 +45,21 @@ def table_profile(spark: SparkSession, tables: dict[str, DataFrame] | None = Non
     )
 
 
+def save_with_report(df: DataFrame, save: Callable[[DataFrame], object]) -> DataFrame:
+    """Store a table with ``save`` and report as :func:`import_report` does: the rows are counted while
+    they are written, nothing is read again."""
+    seen = Observation()
+    save(df.observe(seen, F.count(F.lit(1)).alias("row_count")))
+    n = seen.get.get("row_count") or 0
+    return _report(df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("row_count")), df)
+
+
 def import_report(df: DataFrame) -> DataFrame:
     """(rows, columns, ordinal, column_name, data_type), one row per column."""
+    return _report(df.agg(F.count("*").alias("row_count")), df)
+
+
+def _report(counted: DataFrame, df: DataFrame) -> DataFrame:
     described = [
         F.struct(
             F.lit(i).alias("ordinal"),
@@ -55,8 +69,7 @@ def import_report(df: DataFrame) -> DataFrame:
         for i, f in enumerate(df.schema, start=1)
     ]
     return (
-        df.agg(F.count("*").alias("row_count"))
-        .select(
+        counted.select(
             "row_count",
             F.lit(len(described)).alias("column_count"),
             F.explode(F.array(*described)).alias("c"),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: The same bound for what belongs to the hot keys of a larger table.
+BROADCAST_BYTES_HOT = 64 * 1024 * 1024
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -30,6 +32,41 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
+def hot_keys(df: DataFrame, on: list[str]) -> DataFrame | None:
+    """Keys that hold more rows than one of the shuffle's partitions should, as a broadcast table, or None.
+
+    A key is hot if it has over twice an even partition's share, so there are fewer hot keys than
+    partitions. Counts are combined before they are shuffled. A NULL in a key counts as a value.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    total = df.select(F.count(F.lit(1))).first()[0]
+    rows = counts.where(F.col("__n") > 2 * max(1, total // parts)).select(*on).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.select(*on).schema)) if rows else None
+
+
+def _same_key(a: DataFrame, b: DataFrame, on: list[str]) -> Column:
+    return reduce(lambda all_, c: all_ & a[c].eqNullSafe(b[c]), on, F.lit(True))
+
+
+def shuffled_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join by a shuffle of both sides in which no key of ``big`` goes to one task alone.
+
+    The rows of hot keys stay where they are: the few rows of ``small`` that belong to them are
+    broadcast if they measure below ``BROADCAST_BYTES_HOT``. All others are shuffled. Rows of ``big`` with
+    a NULL in a key match nothing and are not shuffled if they are many.
+    """
+    hot = hot_keys(big, on)
+    if hot is None:
+        return big.join(small.hint("merge"), on, how)
+    matches = small.join(hot, _same_key(small, hot, on), "left_semi")
+    if measured_bytes(matches) > BROADCAST_BYTES_HOT:
+        return big.join(small.hint("merge"), on, how)
+    apart = big.join(hot, _same_key(big, hot, on), "left_semi").join(F.broadcast(matches), on, how)
+    rest = big.join(hot, _same_key(big, hot, on), "left_anti").join(small.hint("merge"), on, how)
+    return apart.unionByName(rest)
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
@@ -42,13 +79,13 @@ def lookup_join(
 
     ``size`` is an upper bound on the bytes of ``small``; without it they are measured.
     Within ``BROADCAST_BYTES`` the table is broadcast and ``big`` is not shuffled. Beyond
-    it both sides are shuffled by the key, whatever their columns are; adaptive execution
-    splits the partition of a hot key by the tasks that wrote it, so equal rows are spread
-    as well as different ones. Only join types that keep the rows of ``big`` apart are
-    accepted.
+    it both sides are shuffled by the key, but for the rows of hot keys: see :func:`shuffled_join`.
+    Only join types that keep the rows of ``big`` apart are accepted.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot do a {how!r} join")
     if size is None:
         size = measured_bytes(small)
-    return big.join(F.broadcast(small) if size <= BROADCAST_BYTES else small.hint("merge"), on, how)
+    if size <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), on, how)
+    return shuffled_join(big, small, on, how)
