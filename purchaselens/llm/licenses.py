@@ -46,6 +46,18 @@ NOTICES = {
     "subject to the terms of the mozilla public license": "mpl-notice",
     "all rights reserved": "all-rights-reserved",
 }
+# The words that tell a notice from others like it; no error is allowed in them.
+TELLING = {
+    "licensed under the apache license version 2 0": ("apache", "2 0"),
+    "released under the mit license": ("mit",),
+    "licensed under the gnu general public license": ("gnu general",),
+    "licensed under the gnu lesser general public license": ("lesser",),
+    "licensed under the gnu affero general public license": ("affero",),
+    "licensed under a creative commons attribution": ("creative commons",),
+    "licensed under cc by nc": ("nc",),
+    "licensed under cc by sa": ("sa",),
+    "subject to the terms of the mozilla public license": ("mozilla",),
+}
 #: One error is allowed for this many letters of a notice.
 LETTERS_PER_ERROR = 10
 
@@ -126,6 +138,16 @@ def _windows(text: str) -> dict[str, set[tuple[int, int]]]:
     return found
 
 
+def tells(notice: str, text: str, start: int, end: int) -> bool:
+    """Whether the telling words of a notice stand whole in a match, which may end within a word."""
+    while start and text[start - 1] != " " and text[start] != " ":
+        start -= 1
+    while end < len(text) and text[end - 1] != " " and text[end] != " ":
+        end += 1
+    inside = f" {text[start:end].strip()} "
+    return all(f" {words} " in inside for words in TELLING.get(notice, ()))
+
+
 def _free(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The parts of a stretch outside the taken spans, which are sorted and do not overlap."""
     out = []
@@ -144,15 +166,20 @@ def fuzzy(text: str, starts: np.ndarray) -> list[tuple[str, int, int, int, float
     matches of one notice do not overlap.
 
     The best match is taken first. A window that overlaps it is searched again in what is left
-    of it, so that a weaker match beside a better one is found too.
+    of it, so that a weaker match beside a better one is found too. A match without the notice's telling
+    words is none; the window is searched for others that begin later or end earlier.
     """
     out = []
     for notice, windows in _windows(text).items():
         least = len(notice) - allowed(notice)
         taken: list[tuple[int, int]] = []
         open_: list[tuple[int, int, int, int, int]] = []
+        tried: set[tuple[int, int]] = set()
 
         def search(a: int, b: int) -> None:
+            if (a, b) in tried:
+                return
+            tried.add((a, b))
             if b - a >= least and (m := _pattern(notice).search(text, a, b)):
                 heappush(open_, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
 
@@ -165,6 +192,10 @@ def fuzzy(text: str, starts: np.ndarray) -> list[tuple[str, int, int, int, float
                 for x, y in free:
                     search(x, y)
                 continue
+            if not tells(notice, text, start, end):
+                search(start + 1, b)
+                search(a, end - 1)
+                continue
             first = int(np.searchsorted(starts, start + (text[start] == " "), side="right")) - 1
             last = int(np.searchsorted(starts, end - 1, side="right")) - 1
             out.append((NOTICES[notice], max(first, 0), max(last, 0), errors, 1 - errors / len(notice)))
