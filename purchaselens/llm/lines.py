@@ -15,8 +15,8 @@ from purchaselens.llm.common import checked_join, stored, without
 
 #: A line on more than this share of a host's pages is boilerplate ...
 RATIO = 0.08
-#: ... if it stands on at least so many of them: below that a share says nothing.
-MIN_PAGES = 10
+#: ... if more than one page has it: a line on a single page is repeated nowhere.
+MIN_PAGES = 2
 
 _HOST, _PAGE, _LINE = "__host", ("__page_1", "__page_2"), ("__line_1", "__line_2")
 

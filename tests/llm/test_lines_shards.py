@@ -15,17 +15,38 @@ def test_boilerplate_by_brute_force(spark):
     rows += [(200, None, "a"), (201, "", "a"), (202, "menu", "small"), (203, "menu\nmenu", "a"), (None, "foot", "a")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "5 AS N_DROPPED")
     got = lines.drop_boilerplate(docs, ratio=0.3, min_pages=5).collect()
+    assert len(got) == len(rows)
+    assert Counter((r.doc_id, r.text, r.source, r.n_dropped) for r in got) == brute_lines(rows, 0.3, 5)
+    assert lines.drop_boilerplate(docs.limit(0)).count() == 0
+
+
+def brute_lines(rows, ratio, least):
     pages = {(s, t or "") for _, t, s in rows}
     total = Counter(s for s, _ in pages)
     held = Counter((s, x) for s, t in pages for x in set(t.split("\n")) if x)
-    bad = {k for k, n in held.items() if n >= 5 and n > 0.3 * total[k[0]]}
-    assert len(got) == len(rows) and bad
+    bad = {k for k, n in held.items() if n >= least and n > ratio * total[k[0]]}
+    assert bad
     want = []
     for i, t, s in rows:
         kept = None if t is None else [x for x in t.split("\n") if (s, x) not in bad]
         want.append((i, None if t is None else "\n".join(kept), s, 0 if t is None else len(t.split("\n")) - len(kept)))
-    assert Counter((r.doc_id, r.text, r.source, r.n_dropped) for r in got) == Counter(want)
-    assert lines.drop_boilerplate(docs.limit(0)).count() == 0
+    return Counter(want)
+
+
+def test_small_hosts_lose_their_boilerplate_too(spark):
+    """Hosts of 1, 2, 9 and 60 pages; on the last one line stands on 4 pages (under 8 %), one on 5."""
+    rows = []
+    for pages in (1, 2, 9, 60):
+        for i in range(pages):
+            own = [f"foot of {pages}", f"page {i} of {pages}"] + ["on four"] * (i < 4) + ["on five"] * (i < 5)
+            rows.append((pages * 100 + i, "\n".join(own), f"host {pages}"))
+    rows.append((1, "w" * 100_000 + "\n" + "long\n" * 400_000, "host 9"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = Counter((r.doc_id, r.text, r.source, r.n_dropped) for r in lines.drop_boilerplate(docs).collect())
+    assert got == brute_lines(rows, lines.RATIO, 2)
+    texts = {i: t for i, t, _, _ in got}
+    assert texts[100].startswith("foot of 1\n") and texts[200] == "page 0 of 2"
+    assert "on five" not in texts[6000] and "on four" in texts[6000] and "foot" not in texts[900]
 
 
 def check_shards(rows, got, n_shards):
