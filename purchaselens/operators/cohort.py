@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.money import money_avg, money_sum, round_to
+from ..functions.money import from_units, money_avg, money_sum, round_to, units_sum
 from ..plans.joins import lookup_join
+from ..plans.scratch import scratch_path
 from ..schema import named
 from .gate import recommendation_gate
 from .reports import in_range
@@ -67,6 +68,47 @@ def cohort_channel_mix(
     )
 
 
+def cohort_summary(
+    transactions: DataFrame, category: str, start: date | str, end: date | str, n: int = 5
+) -> DataFrame:
+    """What :func:`cohort_stats`, :func:`cohort_top_fragrances` and :func:`cohort_channel_mix` say, as one
+    row: the numbers, ``top_fragrances`` and ``channel_mix`` (arrays of structs, in the same order).
+
+    The lines are read once: counts per guest, per fragrance and per channel come from one grouping
+    and are stored, and the three answers are read from that table.
+    """
+    lines = _cohort_lines(transactions, category, start, end)
+    counted = lines.groupBy("guest_id", "fragrance", "channel").agg(
+        F.count("*").alias("cnt"), F.count("price").alias("prices"), units_sum("price").alias("price")
+    ).groupingSets([["guest_id"], ["fragrance"], ["channel"]], "guest_id", "fragrance", "channel").agg(
+        F.when(F.grouping("guest_id") == 0, "guest").when(F.grouping("fragrance") == 0, "fragrance")
+        .otherwise("channel").alias("kind"),
+        *[F.sum(c).alias(c) for c in ("cnt", "prices", "price")],
+    ).withColumn("name", F.coalesce("guest_id", "fragrance", "channel")).select("kind", "name", "cnt", "prices", "price")
+    path = scratch_path(transactions.sparkSession, "cohort")
+    counted.write.partitionBy("kind").parquet(path)
+    kinds = transactions.sparkSession.read.schema(counted.schema).parquet(path)
+
+    def of(kind: str) -> DataFrame:
+        return kinds.where(F.col("kind") == kind)
+
+    def listed(kind: str, many: int | None) -> DataFrame:
+        rows = of(kind).orderBy(F.desc("cnt"), F.asc_nulls_last("name"))
+        entry = F.struct((-F.col("cnt")).alias("less"), F.col("name").isNull().alias("last"), "name", "cnt")
+        return (rows if many is None else rows.limit(many)).agg(F.array_sort(F.collect_list(entry)).alias("found")).select(
+            F.transform("found", lambda e: F.struct(e["name"].alias(kind), e["cnt"].alias("cnt"))).alias("found")
+        )
+
+    price = F.sum("price")
+    return of("guest").agg(
+        F.count("name").alias("unique_guests"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("total_purchases"),
+        round_to(from_units(price) / F.sum("prices"), 2).alias("avg_price"),
+        round_to(from_units(price), 2).alias("total_revenue"),
+    ).withColumns({
+        "top_fragrances": listed("fragrance", n).scalar(), "channel_mix": listed("channel", None).scalar(),
+    })
+
+
 def _asked_items(df: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row per row of ``df`` and item similar to its ``fragrance`` (itself excluded), with
     ``item`` and ``similarity`` added. The pairs stay long: no row holds an item's whole list."""

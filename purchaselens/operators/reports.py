@@ -169,36 +169,31 @@ def discount_impact(transactions: DataFrame, start: date | str, end: date | str)
 def channel_performance(transactions: DataFrame, start: date | str, end: date | str) -> DataFrame:
     """Reach and revenue by channel. "transactions" counts lines, as does the average.
 
-    Lines shrink to one row per channel and guest, and apart from that to one per channel and
-    type: no line is repeated for the two distinct counts, and nothing per guest is gathered.
+    One scan: lines shrink to one row per channel, guest and type, and those to one per channel and guest and
+    one per channel and type by one grouping. No line is repeated for the two distinct counts, and
+    nothing per guest is gathered.
     """
-    lines = transactions.filter(in_range(start, end))
-    guests = (
-        lines.groupBy("channel", "guest_id")
-        .agg(
-            F.count("*").alias("lines"), F.count("price").alias("prices"),
-            units_sum("price").alias("price"), units_sum("discount_amount").alias("discount"),
-        )
-    )
-    types = (
-        lines.select("channel", "product_type").distinct()
-        .groupBy(F.col("channel").alias("types_channel"))
-        .agg(F.count("product_type").alias("categories_sold"))
+    sums = ("lines", "prices", "price", "discount")
+    bought = transactions.filter(in_range(start, end)).groupBy("channel", "guest_id", "product_type").agg(
+        F.count("*").alias("lines"), F.count("price").alias("prices"),
+        units_sum("price").alias("price"), units_sum("discount_amount").alias("discount"),
     )
-    gross = from_units(F.sum("price"))
-    channels = (
-        guests.groupBy("channel")
+    both = bought.groupingSets(
+        [["channel", "guest_id"], ["channel", "product_type"]], "channel", "guest_id", "product_type"
+    ).agg(F.grouping("guest_id").alias("by_type"), *[F.sum(c).alias(c) for c in sums])
+    of_guest = F.col("by_type") == 0
+    once = {c: F.sum(F.when(of_guest, F.col(c))) for c in sums}
+    gross = from_units(once["price"])
+    return (
+        both.groupBy("channel")
         .agg(
-            F.count("guest_id").alias("unique_guests"),
-            F.sum("lines").alias("transactions"),
+            F.count(F.when(of_guest, F.col("guest_id"))).alias("unique_guests"),
+            once["lines"].alias("transactions"),
             round_to(gross, 2).alias("gross_revenue"),
-            round_to(gross / F.sum("prices"), 2).alias("avg_order_value"),
-            round_to(from_units(F.sum("discount")), 2).alias("total_discounts"),
+            round_to(gross / once["prices"], 2).alias("avg_order_value"),
+            round_to(from_units(once["discount"]), 2).alias("total_discounts"),
+            F.count(F.when(~of_guest, F.col("product_type"))).alias("categories_sold"),
         )
-    )
-    return (
-        channels.join(types, F.col("channel").eqNullSafe(F.col("types_channel")))
-        .drop("types_channel")
         .orderBy(F.desc_nulls_last("gross_revenue"), F.asc_nulls_last("channel"))
     )
 

@@ -300,10 +300,12 @@ def similar_set(index: ItemIndex, item: str, threshold: float = 0.6) -> DataFram
 
 
 def pair_similarity(pairs: DataFrame, index: ItemIndex, a: str = "a", b: str = "b") -> DataFrame:
-    """Add the cosine of two named items; 0.0 where a name is unknown."""
+    """Add the cosine of two named items; 0.0 where a name is unknown. Each row of ``pairs`` stays one
+    row: of a name's several vectors the smallest (by components, in order) counts."""
+    named = index.items.groupBy("name").agg(F.min("vector").alias("vector"))
 
     def vectors(name: str, vector: str) -> DataFrame:
-        return index.items.select(F.col("name").alias(name), F.col("vector").alias(vector))
+        return named.select(F.col("name").alias(name), F.col("vector").alias(vector))
 
     both = lookup_join(
         lookup_join(pairs, vectors(a, "__va"), [a], "left", size=index.size),
@@ -358,7 +360,7 @@ class TextEncoder:
 
     ``features`` fixes the dimension, so the fitted model is one weight per dimension
     however large the corpus. A sentence model takes its place as any function from a text
-    column to an ``array<double>`` column, for example ``predict_batch_udf``.
+    column to an ``array<double>`` column, for example one made by :func:`batch_encoder`.
     """
 
     model: object
@@ -388,20 +390,85 @@ class TextEncoder:
         )
 
 
+@dataclass(frozen=True)
+class VocabularyEncoder:
+    """Text to unit vector by TF-IDF over a fitted vocabulary: one dimension a term, no collisions.
+
+    The vocabulary is the ``size`` terms (runs of letters, lower case) that most texts have, ties by term,
+    so that its size bounds the model and the vectors however large the corpus.
+    """
+
+    model: object
+    terms: tuple[str, ...]
+
+    @staticmethod
+    def fit(df: DataFrame, text_col: str, size: int = 1024) -> VocabularyEncoder:
+        from pyspark.ml import PipelineModel
+        from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, RegexTokenizer
+
+        words = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"\p{L}+", gaps=False)
+        cut = words.transform(df.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text")))
+        held = cut.select(F.explode(F.array_distinct("__words")).alias("term")).groupBy("term").count()
+        top = held.orderBy(F.desc("count"), "term").limit(size).collect()
+        terms = tuple(r.term for r in top)
+        if not terms:
+            raise ValueError("no text has a word: there is no vocabulary to fit")
+        counts = CountVectorizerModel.from_vocabulary(list(terms), inputCol="__words", outputCol="__tf")
+        weights = IDF(inputCol="__tf", outputCol="__tfidf").fit(counts.transform(cut))
+        unit_ = Normalizer(inputCol="__tfidf", outputCol="__unit")
+        return VocabularyEncoder(PipelineModel([words, counts, weights, unit_]), terms)
+
+    def _unit(self, df: DataFrame, text_col: str) -> DataFrame:
+        ready = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+        return self.model.transform(ready).drop("__text", "__words", "__tf", "__tfidf")
+
+    def embed(self, df: DataFrame, text_col: str, vector_col: str = "vector") -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        return self._unit(df, text_col).withColumn(vector_col, vector_to_array("__unit")).drop("__unit")
+
+    def weights(self, df: DataFrame, text_col: str, out: str = "weights") -> DataFrame:
+        """Add the vector as an array of (term, weight), most common terms first, zeros left out."""
+        names = F.array(*[F.lit(t) for t in self.terms])
+        sparse = F.unwrap_udt("__unit")
+        entries = F.zip_with(
+            sparse["indices"], sparse["values"],
+            lambda i, w: F.struct(F.get(F.col("__terms"), i).alias("term"), w.alias("weight")),
+        )
+        both = self._unit(df, text_col).withColumn("__terms", names)
+        return both.withColumn(out, F.filter(entries, lambda e: e["weight"] != 0)).drop("__unit", "__terms")
+
+
+def batch_encoder(
+    make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 256
+) -> Callable[[Column], Column]:
+    """An encoder that runs a model on batches of texts.
+
+    ``make_model`` is called once per Python worker and loads the model; what it returns takes an array of
+    texts and returns one row of numbers for each. NULL is the empty text.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql import types as T
+
+    udf = predict_batch_udf(make_model, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+    return lambda text: udf(F.coalesce(text, F.lit("")))
+
+
 def embed_profiles(
     df: DataFrame,
     text_col: str,
-    encoder: TextEncoder | Callable[[Column], Column] | None = None,
+    encoder: TextEncoder | VocabularyEncoder | Callable[[Column], Column] | None = None,
     vector_col: str = "vector",
 ) -> DataFrame:
     """Add the vector of a profile text. Profiles are embedded, never the item names."""
     if encoder is None:
         encoder = TextEncoder.fit(df, text_col)
-    if isinstance(encoder, TextEncoder):
+    if isinstance(encoder, (TextEncoder, VocabularyEncoder)):
         return encoder.embed(df, text_col, vector_col)
-    return df.withColumn(vector_col, unit(encoder(F.col(text_col))))
+    # Two steps: a Python encoder may not stand inside the functions that normalise.
+    return df.withColumn(vector_col, encoder(F.col(text_col))).withColumn(vector_col, unit(F.col(vector_col)))
 
 
-def embed_custom(df: DataFrame, text_col: str, encoder: TextEncoder) -> DataFrame:
+def embed_custom(df: DataFrame, text_col: str, encoder: TextEncoder | VocabularyEncoder) -> DataFrame:
     """Vectors of texts outside the index, in the index's own space."""
     return embed_profiles(df, text_col, encoder)

@@ -45,6 +45,29 @@ SELECT channel, COUNT(*) AS cnt FROM transactions WHERE product_type = '{A}' AND
 GROUP BY channel""")
 
 
+def cohort_summary(spark, sf_dir):
+    """All three answers about a cohort from one reading of the lines; each list as one text."""
+    out = c.cohort_summary(transactions(spark, sf_dir), A, *QUARTER, n=7)
+
+    def shown(name, key):
+        return F.array_join(F.transform(name, lambda e: F.concat_ws(":", F.coalesce(e[key], F.lit("-")), e["cnt"])), "|")
+
+    return out.withColumns({
+        "top_fragrances": shown("top_fragrances", "fragrance"), "channel_mix": shown("channel_mix", "channel"),
+    })
+
+
+COHORT_SUMMARY = sql(TRANSACTIONS, f"""cohort AS (
+  SELECT * FROM transactions WHERE product_type = '{A}' AND {WHEN})""", select=f"""
+SELECT COUNT(DISTINCT guest_id) AS unique_guests, COUNT(*) AS total_purchases,
+       ROUND({average('price')}, 2) AS avg_price, ROUND({money('price')}, 2) AS total_revenue,
+       (SELECT string_agg(f || ':' || n, '|' ORDER BY n DESC, f) FROM (
+          SELECT fragrance AS f, COUNT(*) AS n FROM cohort GROUP BY 1 ORDER BY n DESC, f LIMIT 7)) AS top_fragrances,
+       (SELECT string_agg(f || ':' || n, '|' ORDER BY n DESC, f) FROM (
+          SELECT channel AS f, COUNT(*) AS n FROM cohort GROUP BY 1)) AS channel_mix
+FROM cohort""")
+
+
 def _similar(threshold):
     def run(spark, sf_dir):
         pairs = stored_pairs(spark, sf_dir, threshold)
@@ -195,6 +218,7 @@ QUERIES = {
     "cross_sell_similar_default": (_similar(0.6), _similar_sql(0.6)),
     "cross_sell_matches": (cross_sell_matches, CROSS_SELL_MATCHES),
     "cohort_stats": (cohort_stats, COHORT_STATS),
+    "cohort_summary": (cohort_summary, COHORT_SUMMARY),
     "cohort_top_fragrances": (cohort_top_fragrances, COHORT_TOP),
     "cohort_channel_mix": (cohort_channel_mix, COHORT_CHANNELS),
     "cross_sell_recommendations": (cross_sell_recommendations, RECOMMENDATIONS),

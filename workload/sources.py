@@ -5,15 +5,19 @@ A sink is written to the scratch folder and read back; the result is what was re
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from purchaselens.operators import meta, similarity
+from purchaselens.operators import reports as operators
 from purchaselens.plans.scratch import scratch_path
 from purchaselens.schema import TRANSACTIONS as SCHEMA
 from purchaselens.functions.money import money_sum, round_to
 from purchaselens.sources import files, intake, lines, sinks, synth
 
-from . import catalog
+from . import catalog, reports
 from .reports import END, RANGE, START
 from .tables import INDEX, TABLES, TRANSACTIONS, index, money, read, sql, transactions
 from .similarity import NEAREST
@@ -87,6 +91,60 @@ SELECT reasons, COUNT(*) AS lines,
 FROM judged GROUP BY reasons""")
 
 
+def import_bad_lines(spark, sf_dir):
+    """JSON lines of which some are cut off: what can be read, and the raw text of the rest."""
+    order = F.substring("transaction_id", 4, 20).cast("bigint")
+    whole = F.to_json(F.struct("transaction_id", "guest_id", "product_type"))
+    text = F.when(order % 19 == 0, F.substring(whole, F.lit(1), F.length(whole) - 3)).otherwise(whole)
+    path = _path(spark, "lines", ".json")
+    transactions(spark, sf_dir).select(text.alias("value")).write.text(path)
+    read_ = files.import_file(spark, path, PARTS, corrupt="raw")
+    return read_.groupBy("guest_id", F.coalesce("product_type", F.concat(F.lit("raw "), F.length("raw").cast("string")))
+                         .alias("type")).agg(F.count("*").alias("lines"))
+
+
+PARTS = T.StructType([T.StructField(n, T.StringType()) for n in ("transaction_id", "guest_id", "product_type")])
+IMPORT_BAD_LINES = sql(TRANSACTIONS, """written AS (
+  SELECT *, CAST(substr(transaction_id, 4) AS BIGINT) % 19 = 0 AS bad,
+         length('{"transaction_id":"","guest_id":"","product_type":""}') + length(transaction_id) + length(guest_id)
+           + length(product_type) - 3 AS n FROM transactions)""", select="""
+SELECT CASE WHEN NOT bad THEN guest_id END AS guest_id,
+       CASE WHEN bad THEN 'raw ' || n ELSE product_type END AS type, COUNT(*) AS lines
+FROM written GROUP BY 1, 2""")
+
+
+def import_counted(spark, sf_dir):
+    """The report of an import, counted while it is stored."""
+    table = files.import_parquet(spark, f"{sf_dir}/lineitem.parquet")
+    path = scratch_path(spark, "lineitem")
+    return meta.save_with_report(table, lambda df: df.write.parquet(path)).select(
+        "row_count", "column_count", "ordinal", "column_name"
+    )
+
+
+def replace_table(spark, sf_dir):
+    """A table replaced twice, the second time by a job that fails: it keeps what the first put there."""
+    name, place = f"replaced_{uuid.uuid4().hex}", scratch_path(spark, "replaced")
+    df = transactions(spark, sf_dir)
+    files.save_table(df.limit(1), name, place)
+    files.save_table(df, name, place)
+    lost = F.when(F.col("price") > 0, F.raise_error(F.lit("stopped on purpose"))).otherwise("")
+    try:
+        files.save_table(df.withColumn("channel", lost), name, place)
+    except Exception as stopped:
+        if "stopped on purpose" not in str(stopped):
+            raise
+    return _shown(spark.table(name))
+
+
+def cross_sell_stored(spark, sf_dir):
+    """The exact cross-sell over lines that are stored by guest."""
+    name = f"guest_lines_{uuid.uuid4().hex}"
+    stored = lines.save_guest_lines(transactions(spark, sf_dir), name, scratch_path(spark, "guests"), 16)
+    found = operators.cross_sell_exact(stored, reports.A, reports.B, *reports.QUARTER)
+    return reports.texts(found, "first_purchase_date", "cross_sell_date")
+
+
 def import_tsv(spark, sf_dir):
     """Without a schema: names and types come from the file."""
     path = _path(spark, "lines", ".tsv")
@@ -278,6 +336,10 @@ QUERIES = {
     "import_csv": (import_csv, sql(TRANSACTIONS, select=ALL)),
     "import_csv_reordered": (import_csv_reordered, sql(TRANSACTIONS, select=ALL)),
     "import_validated": (import_validated, IMPORT_VALIDATED),
+    "import_bad_lines": (import_bad_lines, IMPORT_BAD_LINES),
+    "import_counted": (import_counted, IMPORT_REPORT),
+    "replace_table": (replace_table, sql(TRANSACTIONS, select=ALL)),
+    "cross_sell_stored": (cross_sell_stored, reports.CROSS_SELL_EXACT),
     "import_tsv": (import_tsv, sql(TRANSACTIONS, select=ALL)),
     "import_json": (import_json, sql(TRANSACTIONS, select=ALL)),
     "import_parquet": (import_parquet, sql(TRANSACTIONS, select=ALL)),
