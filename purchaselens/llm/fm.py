@@ -15,14 +15,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from purchaselens.llm.common import map_texts
 from purchaselens.llm.minhash import word_hashes
 
 WORD_BITS = 14
 FACTORS = 8
-#: Labelled rows per label that the machine is fitted on (expected number; the draw is by a hash
-#: of the row's id).
+#: Labelled rows per label that the machine is fitted on, at most; the draw is by a hash of the id.
 SAMPLE = 4000
 EPOCHS = 6
 RATE, SHRINK = 0.1, 1e-5
@@ -130,19 +130,31 @@ def train(
     label: str = "quality", sample: int = SAMPLE,
 ) -> Machine:
     """Fit on labelled documents. Labels of one doc_id that disagree are left out, as are NULLs
-    and labels without a document. The sample, about ``sample`` rows a label, is what the driver sees."""
+    and labels without a document. The driver sees the sample: at most ``sample`` rows a label, the smallest
+    draws among distinct (doc_id, text), so an id on many rows counts once for each of its texts and
+    nothing depends on the order of rows."""
     given = (
         labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id")
         .agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     )
     sizes = {r.y: r["count"] for r in given.groupBy("y").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
-    share = F.when(F.col("y") == 1, min(1.0, sample / max(1, sizes.get(1, 0)))).otherwise(
-        min(1.0, sample / max(1, sizes.get(0, 0)))
-    )
+    # Twice the sample of ids, since some may have no document; exactly bounded, so they are broadcast.
+    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
+    share = [min(1.0, (4 * sample + 100) / max(1, sizes.get(y, 0))) for y in (0, 1)]
+    drawn = given.where(place < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    ids = drawn.withColumn(
+        "at", F.row_number().over(Window.partitionBy("y").orderBy(place, "doc_id"))
+    ).where(F.col("at") <= 2 * sample).select("doc_id", "y")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text")).join(F.broadcast(ids), "doc_id")
+    once = rows.groupBy(
+        "y", "doc_id", F.xxhash64("text").alias("text_1"), F.xxhash64(F.lit(1), "text").alias("text_2")
+    ).agg(F.first("text").alias("text"))
+    order = Window.partitionBy("y").orderBy(place, "doc_id", "text_1", "text_2")
+    picked = once.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).select("y", "at", "text")
     # Packed, 6 bytes a feature, on their way to the driver.
-    fields = [T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType())]
+    fields = [T.StructField("features", T.BinaryType()), T.StructField("x", T.BinaryType())]
 
     def make():
         def work(texts: list[str | None]) -> list[list]:
@@ -151,12 +163,11 @@ def train(
 
         return work
 
-    # At most 2 * sample ids, so the join is a broadcast.
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
-        F.broadcast(given.where(draw < share)), "doc_id"
-    )
-    rows = map_texts(picked, "text", fields, make, keep_text=False).orderBy("doc_id").collect()
-    packed = [(np.frombuffer(r.at, "<u2"), np.frombuffer(r.x, "<f4"), r.y) for r in rows]
+    found = map_texts(picked, "text", fields, make, keep_text=False).collect()
+    packed = [
+        (np.frombuffer(r.features, "<u2"), np.frombuffer(r.x, "<f4"), r.y)
+        for r in sorted(found, key=lambda r: (r["at"], r.y))
+    ]
     return fit(packed, sizes)
 
 
