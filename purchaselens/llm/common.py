@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from purchaselens.plans.joins import BROADCAST_BYTES, measured_bytes
+from purchaselens.plans.joins import lookup_join
 from purchaselens.plans.scratch import scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,12 +36,26 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def counted_join(big: DataFrame, counted: DataFrame, on: str) -> DataFrame:
+    """Inner join with a stored table that has each key once and in ``n`` the rows of ``big`` with that key.
+
+    Rows of a key that holds over twice an even partition's share are not shuffled: there are fewer such
+    keys than partitions, and their rows of ``counted`` are broadcast.
+    """
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = counted.where(F.col("n") > 2 * max(1, total // parts)).collect()
+    if not hot:
+        return big.join(counted, on)
+    few = F.broadcast(big.sparkSession.createDataFrame(hot, counted.schema))
+    rest = big.join(few, on, "left_anti").join(counted, on)
+    return big.join(few, on).unionByName(rest)
+
+
 def checked_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """``small`` has each key once. It is broadcast if its measured bytes allow; else both
-    sides are shuffled, and a hot key of ``big`` is split by adaptive execution."""
-    if measured_bytes(small) <= BROADCAST_BYTES:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    sides are shuffled, but for the rows of hot keys."""
+    return lookup_join(big, small, [on], how)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

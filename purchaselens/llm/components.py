@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star.
 
 Both steps only move edges towards the smallest node known nearby; no node's neighbours are
-ever gathered in one row: the smallest neighbour comes from a combined aggregate and reaches the
-edges by a join, whose hot keys adaptive execution splits.
+ever gathered in one row or task: the smallest neighbour comes from a combined aggregate and reaches
+the edges by a join that does not shuffle the edges of nodes with very many.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purchaselens.llm.common import stored
+from purchaselens.llm.common import counted_join, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -21,8 +21,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """
     arcs = edges.union(edges.select("v", "u")) if large else edges
     arcs = arcs.toDF("node", "near")
-    least = arcs.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("low"))
-    joined = arcs.join(least, "node")
+    least = stored(
+        arcs.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("low"), F.count("*").alias("n")), "least"
+    )
+    joined = counted_join(arcs, least, "node")
     if large:
         moved = joined.where("near > node").select(F.col("near").alias("u"), F.col("low").alias("v"))
     else:

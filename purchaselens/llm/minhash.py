@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from purchaselens.llm.common import checked_join, map_texts, stored
+from purchaselens.llm.common import checked_join, counted_join, map_texts, stored
 from purchaselens.llm.components import components
 
 SHINGLE = 5
@@ -247,18 +247,21 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
     keys = classes.select(F.explode("bands").alias("band"), "doc_id")
-    shared = keys.groupBy("band").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")
+    shared = stored(
+        keys.groupBy("band").agg(
+            F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")
+        ).where("first < last").select("band", "n"),
+        "shared-bands",
     )
-    buckets = stored(keys.join(shared.where("first < last").select("band", "n"), "band"), "buckets")
+    buckets = stored(counted_join(keys, shared, "band"), "buckets")
     weights = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     hubs = stored(
         buckets.select("band", "doc_id").join(weights, "doc_id").groupBy("band")
-        .agg(F.max_by("doc_id", "weight").alias("hub")),
+        .agg(F.max_by("doc_id", "weight").alias("hub"), F.count("*").alias("n")),
         "hubs",
     )
     tried = stored(
-        buckets.select("band", "doc_id").join(hubs, "band").where("doc_id <> hub")
+        counted_join(buckets.select("band", "doc_id"), hubs, "band").where("doc_id <> hub")
         .select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct(),
         "hub-pairs",
     )
@@ -269,10 +272,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     labelled = buckets.select("band", "doc_id").join(
         found.toDF("doc_id", "component"), "doc_id", "left"
     ).withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("band").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low < high").select("band")
-    left = stored(labelled.join(mixed, "band"), "open-buckets")
+    labelled = stored(labelled, "labelled-buckets")
+    mixed = stored(
+        labelled.groupBy("band").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
+        ).where("low < high").select("band", "n"),
+        "mixed-bands",
+    )
+    left = stored(counted_join(labelled, mixed, "band").drop("n"), "open-buckets")
     known = _profiles(texts, left.select("doc_id").distinct())
     left = stored(left.join(known, "doc_id"), "open-profiles")
     # What the two can share at most, class by class, must be enough for a link. That says

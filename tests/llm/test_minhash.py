@@ -154,3 +154,19 @@ def test_components_against_union_find(spark, seed):
             low[y] = x
     got = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r.node: r.component for r in got} == {x: find(x) for x in low} and len(got) == len(low)
+
+
+def test_components_with_a_node_that_most_edges_have(spark):
+    from purchaselens.llm.components import _star, components
+
+    edges = [(0, k) for k in range(1, 1500)] + [(k, k + 1) for k in range(2000, 2300)] + [(9000, 9001), (5, 5), (None, 1)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = {r.node: r.component for r in components(df).collect()}
+    want = {k: 0 for k in range(1500)} | {k: 2000 for k in range(2000, 2301)} | {9000: 9000, 9001: 9000}
+    assert got == want
+    star = _star(spark.createDataFrame([(k, 0) for k in range(1, 1500)] + [(9, 8)], "u bigint, v bigint"), True)
+    star.collect()
+    plan = star._jdf.queryExecution().executedPlan().toString()
+    # Edges of the hot node meet a broadcast row; only the others are shuffled to the join.
+    assert "BroadcastHashJoin [node" in plan and "LeftAnti" in plan
+    assert components(df.limit(0)).count() == 0
