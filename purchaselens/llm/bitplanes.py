@@ -23,14 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from purchaselens.llm import bpe
 from purchaselens.llm.common import MOST_BLOCKS, chunks, stored
-from purchaselens.llm.pretokens import Specials, word_level, word_level_pieces
+from purchaselens.llm.pretokens import Specials, is_plain, word_level, word_level_pieces
+from purchaselens.llm.wordids import REMEMBERED, WordIds
 
 BLOCK = 65_536
 BITS = 32
 #: Documents per range of doc_id that a task sorts, encodes and writes.
 FILE_ROWS = 10_000
-REMEMBERED = 200_000
+#: Bytes of text that such a range holds on average, at most.
+FILE_BYTES = 64 << 20
 
 CHUNKS = (
     "file int, block int, first bigint, n_ids int, plane_ends array<int>, planes binary, "
@@ -52,76 +55,82 @@ def pack_block(ids: np.ndarray, compressor) -> tuple[list[int], bytes]:
     return ends, b"".join(out)
 
 
-def unpack_block(n_ids: int, ends: list[int], planes: bytes, decompressor) -> np.ndarray:
-    columns = np.zeros((n_ids, 4), np.uint8)
+def unpack_block(
+    n_ids: int, ends: list[int], planes: bytes, decompressor, first: int = 0, last: int | None = None
+) -> np.ndarray:
+    """Ids of a block, or those of places ``first`` up to ``last`` only."""
+    last = n_ids if last is None else last
+    skipped, bytes_ = first % 8, slice(first // 8, -(-last // 8))
+    columns = np.zeros((last - first, 4), np.uint8)
     start = 0
-    for k, end in enumerate(ends):
-        if end > start:
-            raw = np.frombuffer(decompressor.decompress(planes[start:end]), np.uint8)
-            columns[:, k // 8] |= np.unpackbits(raw, count=n_ids, bitorder="little") << k % 8
-        start = end
+    for byte in range(4):
+        column = np.zeros(last - first, np.uint8)
+        for k in range(8):
+            end = ends[8 * byte + k]
+            if end > start:
+                raw = np.frombuffer(decompressor.decompress(planes[start:end]), np.uint8)[bytes_]
+                column |= np.unpackbits(raw, count=skipped + last - first, bitorder="little")[skipped:] << k
+            start = end
+        columns[:, byte] = column
     return columns.view("<u4").ravel()
 
 
 class WordEncoder:
     """Ids of a word-level tokenizers file, as the library gives them for a whole text.
 
-    Where lower-casing is all its normaliser does, parts between white space are encoded once
-    by the library's model and remembered; any other text goes to the library whole.
+    Where lower-casing is all its normaliser does, a text is split at white space, distinct pieces are
+    cut to words here, and distinct words merged many at a time; any other text goes to the library whole.
     """
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            self.specials = Specials(json.load(f)["added_tokens"])
+        arrays, more = bpe.vocabulary(path)
+        self.specials, self.merger = Specials(more["added"]), bpe.Merger(arrays, more["size"])
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        from purchaselens.llm.bpe import _byte_letters
-
-        self.letters = str.maketrans(dict(enumerate(_byte_letters())))
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.memo) + len(pieces) > REMEMBERED:
-            self.memo.clear()
-        tokenize = self.tokenizer.model.tokenize
+        self.whole: set[str] = set()
+        self.pieces = WordIds(self._learn, self.specials.ids)
+        self.words = WordIds(lambda words: self.merger.ids([w.encode() for w in words]), {}, REMEMBERED // 2)
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Parts of texts that are not plain are no pieces; they are for the library."""
+        words: list[str] = []
+        counts = []
         for piece in pieces:
-            if piece not in self.memo:
-                ids = [
-                    t.id for w in word_level(piece)
-                    for t in tokenize(w.encode().decode("latin-1").translate(self.letters))
-                ]
-                self.memo[piece] = np.array(ids, "<u4").tobytes()
+            before = len(words)
+            if piece not in self.whole:
+                words += word_level(piece)
+            counts.append(len(words) - before)
+        out = self.words.encode(words, counts)
+        for i, piece in enumerate(pieces) if self.whole else ():
+            if piece in self.whole:
+                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+                out[i] = np.array(ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plan, seen = [], set()
+        pieces: list[str] = []
+        counts = []
+        self.whole.clear()
         for text in texts:
-            steps: list = []
+            before = len(pieces)
             for k, part in enumerate(self.specials.parts(text)):
                 if k % 2:
-                    steps.append(int(self.specials.ids[part]).to_bytes(4, "little"))
-                elif (pieces := word_level_pieces(part)) is not None:
-                    seen.update(pieces)
-                    steps.append(pieces)
+                    pieces.append(part)
+                elif is_plain(part):
+                    pieces += word_level_pieces(part)
                 else:
-                    ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-                    steps.append(np.array(ids, "<u4").tobytes())
-            plan.append(steps)
-        self._learn(seen)
-        get = self.memo.__getitem__
-        return [
-            b"".join([s if isinstance(s, bytes) else b"".join(map(get, s)) for s in steps])
-            for steps in plan
-        ]
+                    self.whole.add(part)
+                    pieces.append(part)
+            counts.append(len(pieces) - before)
+        return self.pieces.encode(pieces, counts)
 
 
 def write(
     docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1,
-    block: int = BLOCK, file_rows: int = FILE_ROWS,
+    block: int = BLOCK, file_rows: int = FILE_ROWS, file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
     """Encode, order by doc_id and write; the chunk table as read back.
 
@@ -131,8 +140,10 @@ def write(
     the sample that sets the ranges then costs a read, not an encoding.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    count = docs.select(F.count(F.lit(1))).first()[0]
-    files = max(1, min(MOST_BLOCKS, -(-count // file_rows)))
+    count, size = rows.select(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))
+    ).first()
+    files = max(1, min(MOST_BLOCKS, max(-(-count // file_rows), -(-size // file_bytes))))
     ranged = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,14 +212,16 @@ def documents(chunk_table: DataFrame) -> DataFrame:
         decompressor = zstandard.ZstdDecompressor()
         for batch in batches:
             for r in batch.to_pylist():
-                ids = unpack_block(r["n_ids"], r["plane_ends"], r["planes"], decompressor)
-                raw, first, last = ids.tobytes(), r["first"], r["first"] + r["n_ids"]
+                first, last = r["first"], r["first"] + r["n_ids"]
+                spans = [(d, max(d["first"], first), min(d["first"] + d["n_tokens"], last)) for d in r["docs"]]
+                spans = [(d, a, b) for d, a, b in spans if whole == (b - a == d["n_tokens"])]
+                unpack = partial(unpack_block, r["n_ids"], r["plane_ends"], r["planes"], decompressor)
+                # Documents cut by the block's ends are a small part of it: only that is unpacked.
+                raw = unpack().tobytes() if whole and spans else b""
                 rows = []
-                for d in r["docs"]:
-                    a, b = max(d["first"], first), min(d["first"] + d["n_tokens"], last)
-                    if whole == (b - a == d["n_tokens"]):
-                        part = raw[(a - first) * 4 : (b - first) * 4]
-                        rows.append((d["doc_id"], d["first"], d["n_tokens"], a, part))
+                for d, a, b in spans:
+                    part = raw[(a - first) * 4 : (b - first) * 4] if whole else unpack(a - first, b - first).tobytes()
+                    rows.append((d["doc_id"], d["first"], d["n_tokens"], a, part))
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     arrays = [pa.array(c, pa.int64()) for c in columns[:4]]

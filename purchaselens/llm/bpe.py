@@ -10,11 +10,11 @@ at a time.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import mmap
 import tempfile
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,17 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from purchaselens.llm.common import map_texts, stored
-from purchaselens.llm.pretokens import Specials, byte_level, byte_level_pieces
+from purchaselens.llm.common import chunks, map_texts, stored
+from purchaselens.llm.pretokens import Specials, byte_level
+from purchaselens.llm.wordids import WordIds, ragged
 
 #: Words in the lexicon; its image stays near 100 bytes for each.
 LEXICON_WORDS = 100_000
 #: Longer words are left to merging.
 LONGEST = 48
-#: Pieces that a worker remembers; the oldest go all at once.
-REMEMBERED = 200_000
-#: Distinct pieces a task counts before it passes the counts on.
-COUNTED = 200_000
+#: Words whose counts a task adds up before it passes them on.
+COUNTED = 400_000
 
 
 # -- the image: named arrays in one block of bytes ------------------------------------------
@@ -78,7 +77,8 @@ def _byte_letters() -> list[str]:
 
 
 def vocabulary(path: str) -> tuple[dict[str, np.ndarray], dict]:
-    """Merges, bytes of each token and ids of single bytes from a tokenizers JSON file."""
+    """Merges, bytes of each token and ids of single bytes, inside a word and at its end, from
+    a tokenizers JSON file."""
     with open(path, encoding="utf-8") as f:
         given = json.load(f)
     model, added = given["model"], given["added_tokens"]
@@ -99,6 +99,7 @@ def vocabulary(path: str) -> tuple[dict[str, np.ndarray], dict]:
     return {
         "pair_keys": keys[order], "pair_ranks": order.astype(np.int32), "made": made,
         "byte_ids": np.array([vocab[c] for c in letters], np.int32),
+        "end_ids": np.array([vocab[c + (model["end_of_word_suffix"] or "")] for c in letters], np.int32),
         "token_ends": np.cumsum([len(t) for t in token]).astype(np.int64),
         "token_bytes": np.frombuffer(b"".join(token), np.uint8),
     }, {"size": size, "added": added}
@@ -112,28 +113,56 @@ class Merger:
 
     def __init__(self, arrays: dict[str, np.ndarray], size: int):
         self.keys, self.ranks, self.made = (arrays[k] for k in ("pair_keys", "pair_ranks", "made"))
-        self.byte_ids, self.size = arrays["byte_ids"], size
-        first = np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)
-        self.byte_pairs = self._rank(*first)
+        self._hash()
+        self.byte_ids, self.end_ids, self.size = arrays["byte_ids"], arrays["end_ids"], size
+        first = np.repeat(self.byte_ids, 256)
+        # Ranks of two bytes, the second inside the word or at its end.
+        self.byte_pairs = self._rank(first, np.tile(self.byte_ids, 256))
+        self.end_pairs = self._rank(first, np.tile(self.end_ids, 256))
+
+    def _hash(self) -> None:
+        """Pairs in a table four times their number or more, each in the first free slot from its own on."""
+        bits = max(4, int(4 * len(self.keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        # One table's length more at the end, so that a row of full slots does not run out of it.
+        self.slot_keys = np.full(2 << bits, -1, np.int64)
+        self.slot_ranks = np.full(2 << bits, self.NONE, np.int32)
+        slot, left = self._slot(self.keys), np.arange(len(self.keys))
+        while len(left):
+            first = np.unique(slot[left], return_index=True)[1]
+            taken = left[first[self.slot_keys[slot[left[first]]] < 0]]
+            self.slot_keys[slot[taken]], self.slot_ranks[slot[taken]] = self.keys[taken], self.ranks[taken]
+            left = np.setdiff1d(left, taken)
+            slot[left] += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], self.NONE)
+        slot = self._slot(key)
+        held = self.slot_keys[slot]
+        rank = np.where(held == key, self.slot_ranks[slot], self.NONE)
+        open_ = np.flatnonzero((held != key) & (held >= 0))
+        while len(open_):
+            slot[open_] += 1
+            held = self.slot_keys[slot[open_]]
+            hit = held == key[open_]
+            rank[open_[hit]] = self.slot_ranks[slot[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return rank
 
     def ids(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
         out: list[bytes] = [b""] * len(words)
-        groups: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            groups.setdefault(next((x for x in self.WIDTHS if len(w) <= x), 0), []).append(i)
-        for width, group in groups.items():
+        # By width, each width in order; what is longer than all of them comes last.
+        widths = np.searchsorted(self.WIDTHS, np.fromiter(map(len, words), np.int64, len(words)))
+        order = np.argsort(widths, kind="stable")
+        for k, group in enumerate(np.split(order, np.searchsorted(widths[order], range(1, len(self.WIDTHS) + 1)))):
             for start in range(0, len(group), 20_000):
-                part = group[start : start + 20_000]
-                found = (
-                    self._together([words[i] for i in part], width) if width
-                    else map(self._long, [words[i] for i in part])
-                )
+                part = group[start : start + 20_000].tolist()
+                chosen = [words[i] for i in part]
+                found = self._together(chosen, self.WIDTHS[k]) if k < len(self.WIDTHS) else map(self._long, chosen)
                 for i, ids in zip(part, found, strict=True):
                     out[i] = ids
         return out
@@ -144,43 +173,50 @@ class Merger:
         raw = np.zeros((n, width), np.int32)
         inside = np.arange(width) < lengths[:, None]
         raw[inside] = np.frombuffer(b"".join(words), np.uint8)
-        tokens = np.where(inside, self.byte_ids[raw], -1)
+        tokens = np.where(inside, self.byte_ids[raw], np.int32(-1))
         ranks = np.full((n, width), self.NONE, np.int32)
         both = inside[:, 1:]
-        ranks[:, :-1][both] = self.byte_pairs[(raw[:, :-1] * 256 + raw[:, 1:])[both]]
-        todo, columns = np.arange(n), np.arange(width)
-        done = np.full((n, width), -1, np.int32)
+        pairs = raw[:, :-1] * 256 + raw[:, 1:]
+        ranks[:, :-1][both] = self.byte_pairs[pairs[both]]
+        some, last = np.flatnonzero(lengths), lengths[lengths > 0] - 1
+        tokens[some, last] = self.end_ids[raw[some, last]]
+        some, last = np.flatnonzero(lengths > 1), lengths[lengths > 1] - 1
+        ranks[some, last - 1] = self.end_pairs[pairs[some, last - 1]]
+        # Tokens stay in place; each knows the columns of those beside it, past the ends -1 and ``width``.
+        column = np.arange(width)
+        after = np.where(column + 1 < lengths[:, None], column + 1, width).ravel()
+        before = np.tile(column - 1, n)
+        flat_tokens, flat_ranks, todo = tokens.reshape(-1), ranks.reshape(-1), np.arange(n)
         while len(todo):
-            at = ranks.argmin(axis=1)
-            row = np.arange(len(todo))
-            best = ranks[row, at]
+            open_ = ranks[todo]
+            at = open_.argmin(axis=1)
+            best = open_[np.arange(len(todo)), at]
             live = best != self.NONE
-            if not live.all():
-                done[todo[~live]] = tokens[~live]
-                todo, tokens, ranks = todo[live], tokens[live], ranks[live]
-                at, best, row = at[live], best[live], np.arange(int(live.sum()))
-                if not len(todo):
-                    break
-            # The pair becomes one token at ``at``; what stood right of it moves up.
-            source = np.minimum(columns + (columns > at[:, None]), width - 1)
-            tokens, ranks = np.take_along_axis(tokens, source, 1), np.take_along_axis(ranks, source, 1)
-            tokens[:, -1], ranks[:, -1] = -1, self.NONE
-            merged = self.made[best]
-            tokens[row, at] = merged
-            right = tokens[row, np.minimum(at + 1, width - 1)]
-            ranks[row, at] = np.where(at + 1 < width, self._rank(merged, right), self.NONE)
-            left = np.maximum(at - 1, 0)
-            before = self._rank(tokens[row, left], merged)
-            has = at > 0
-            ranks[row[has], left[has]] = before[has]
-        kept = done >= 0
-        flat = done[kept].astype("<u4").tobytes()
+            todo, at, best = todo[live], at[live], best[live]
+            row = todo * width
+            place, merged = row + at, self.made[best]
+            # The pair becomes one token at ``place``; its right half goes.
+            gone = row + after[place]
+            flat_tokens[place], flat_tokens[gone], flat_ranks[gone] = merged, -1, self.NONE
+            right = after[gone]
+            after[place], flat_ranks[place] = right, self.NONE
+            some = np.flatnonzero(right < width)
+            beside = row[some] + right[some]
+            before[beside] = at[some]
+            flat_ranks[place[some]] = self._rank(merged[some], flat_tokens[beside])
+            left = before[place]
+            some = np.flatnonzero(left >= 0)
+            beside = row[some] + left[some]
+            flat_ranks[beside] = self._rank(flat_tokens[beside], merged[some])
+        kept = tokens >= 0
+        flat = tokens[kept].astype("<u4").tobytes()
         ends = np.cumsum(kept.sum(axis=1)) * 4
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _long(self, word: bytes) -> bytes:
         """One long word: a heap of pairs over a linked list."""
         token = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        token[-1:] = [int(self.end_ids[b]) for b in word[-1:]]
         n = len(token)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap: list[tuple[int, int, int, int]] = []
@@ -295,20 +331,15 @@ def find_words(lexicon: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray
 # -- encoding ----------------------------------------------------------------------------------
 
 class Codec:
-    """Encoder and decoder over an image; made once per task."""
+    """Encoder and decoder over an image."""
 
     def __init__(self, image):
         self.arrays, more = unpack(image)
         self.specials = Specials(more["added"])
         self.merger = Merger(self.arrays, more["size"])
-        self.special_ids = {k: int(v).to_bytes(4, "little") for k, v in self.specials.ids.items()}
-        # Ids of first pieces, of pieces after a blank, and of single words.
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.single: dict[str, bytes] = {}
-        ends = self.arrays["token_ends"].tolist()
-        raw = self.arrays["token_bytes"].tobytes()
-        self.tokens = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        self.word_ids = WordIds(lambda words: self.words([w.encode() for w in words]), self.specials.ids)
+        self.token_ends = self.arrays["token_ends"]
+        self.token_sizes = np.diff(self.token_ends, prepend=0)
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of words: looked up in the lexicon, merged where it has none."""
@@ -323,83 +354,53 @@ class Codec:
             out[i] = merged
         return out
 
-    def _learn(self, memo: dict[str, bytes], pieces: set[str], cut: Callable) -> None:
-        if len(memo) + len(pieces) > REMEMBERED:
-            memo.clear()
-        new = [p for p in pieces if p not in memo]
-        words_of = [cut(p) for p in new]
-        distinct = list({w for words in words_of for w in words})
-        ids = dict(zip(distinct, self.words([w.encode() for w in distinct]), strict=True))
-        for p, words in zip(new, words_of, strict=True):
-            memo[p] = b"".join([ids[w] for w in words])
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; NULL is empty."""
-        plan: list[list[tuple]] = []  # per text: (memo, piece), (memo, pieces) or ids
-        first, later, single = set(), set(), set()
+        words: list[str] = []
+        counts = []
         for text in texts:
-            steps: list[tuple] = []
+            before = len(words)
             for k, part in enumerate(self.specials.parts(text or "")):
-                if k % 2:
-                    steps.append((None, part))
-                elif pieces := byte_level_pieces(part):
-                    first.add(pieces[0])
-                    rest = pieces[1:]
-                    later.update(rest)
-                    steps += [(self.first, pieces[:1]), (self.later, rest)]
-                else:
-                    words = byte_level(part)
-                    single.update(words)
-                    steps.append((self.single, words))
-            plan.append(steps)
-        self._learn(self.first, first, byte_level)
-        self._learn(self.later, later, lambda p: byte_level(" " + p))
-        self._learn(self.single, single, lambda w: [w])
-        return [
-            b"".join([
-                self.special_ids[pieces] if memo is None
-                else b"".join(map(memo.__getitem__, pieces))
-                for memo, pieces in steps
-            ])
-            for steps in plan
-        ]
-
-    def decode(self, ids: bytes) -> str:
-        """Text of ids, special tokens as their strings; broken UTF-8 becomes U+FFFD."""
-        found = np.frombuffer(ids, "<u4").tolist()
-        return b"".join(map(self.tokens.__getitem__, found)).decode("utf-8", "replace")
+                # No pattern gives a special token as a word, so as a word it stands for itself.
+                words += [part] if k % 2 else byte_level(part)
+            counts.append(len(words) - before)
+        return self.word_ids.encode(words, counts)
+
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """Texts of ids, special tokens as their strings; broken UTF-8 becomes U+FFFD."""
+        token = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+        sizes = self.token_sizes[token]
+        places, ends = ragged(self.token_ends[token] - sizes, sizes)
+        raw = self.arrays["token_bytes"][places].tobytes()
+        cuts = np.append(0, ends)[np.cumsum([0, *(len(i) // 4 for i in ids)])].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all documents; distinct pieces are counted and only then cut to words."""
+    """(word, n) over all documents; a task adds up the counts of its blocks of texts first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, first, later = Counter(), Counter(), Counter()
-
-        def passed_on() -> pa.RecordBatch:
-            for counter, blank in ((first, ""), (later, " ")):
-                for piece, n in counter.items():
-                    for word in byte_level(blank + piece):
-                        words[word] += n
-                counter.clear()
-            out = [list(words.keys()), list(words.values())]
-            words.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64())], ["word", "n"]
-            )
+        held: list[pa.Table] = []
+
+        def added() -> pa.Table:
+            summed = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            return pa.table([summed["word"], summed["n_sum"]], ["word", "n"])
 
         for batch in batches:
-            for value in batch.column(0):
-                text = value.as_py() or ""
-                pieces = byte_level_pieces(text)
-                if pieces is None:
-                    words.update(byte_level(text))
-                else:
-                    first.update(pieces[:1])
-                    later.update(pieces[1:])
-                if len(first) + len(later) + len(words) > COUNTED:
-                    yield passed_on()
-        yield passed_on()
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for start, end in chunks(texts):
+                words: list[str] = []
+                for one in texts[start:end]:
+                    words += byte_level(one)
+                counted = pa.array(words, pa.string()).value_counts()
+                held.append(pa.table([counted.field("values"), counted.field("counts")], ["word", "n"]))
+                if sum(map(len, held)) > COUNTED:
+                    held = [added()]
+                    if len(held[0]) > COUNTED // 2:
+                        yield from held[0].to_batches()
+                        held = []
+        if held:
+            yield from added().to_batches()
 
     return (
         docs.select(text).mapInArrow(work, "word string, n bigint")
@@ -437,11 +438,22 @@ def build_image(docs: DataFrame, path: str, *, text: str = "text", words: int =
     )
 
 
+_HELD: dict[str, Codec] = {}
+
+
+def held_codec(shared, name: str) -> Codec:
+    """The codec of a broadcast image, mapped once per worker process."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Codec(mapped(shared.value))
+    return _HELD[name]
+
+
 def _codec(docs: DataFrame, image: bytes) -> Callable[[], Codec]:
-    """A per-task codec; the image reaches the workers as a broadcast, its size is bounded by
-    the lexicon's and the vocabulary's."""
-    shared = docs.sparkSession.sparkContext.broadcast(image)
-    return lambda: Codec(mapped(shared.value))
+    """What gives a task its codec; the image reaches the workers as a broadcast, its size is
+    bounded by the lexicon's and the vocabulary's."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(image), hashlib.sha256(image).hexdigest()
+    return lambda: held_codec(shared, name)
 
 
 def encode(
@@ -462,7 +474,7 @@ def encode(
 
         def work(texts: list[str | None]) -> list[list]:
             ids = own.encode(texts)
-            return [ids, [own.decode(i) for i in ids]] if decoded else [ids]
+            return [ids, own.decode(ids)] if decoded else [ids]
 
         return work
 

@@ -1,4 +1,4 @@
-"""Cutting text as the public tokenizers do, with most of the work on distinct pieces.
+"""Cutting text as the public tokenizers do.
 
 The tokenizers' patterns speak of Unicode letters (``\\p{L}``) and numbers (``\\p{N}``), whose
 extent depends on a Unicode version. Below U+0500 all versions in use agree; there the classes
@@ -30,12 +30,12 @@ _L, _N, _S = _ranges("L"), _ranges("N"), "\\t-\\r \\x85\\xa0"
 _SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"  # fixed value of the public patterns
 
 _FAR = re.compile("[^\\x00-\\u04ff]")
+# Letters are tried first: no suffix begins with one, and most words do.
 _BYTE_LEVEL = re.compile(
-    f"{_SUFFIXES}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+    f" ?[{_L}]+|{_SUFFIXES}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 )
-_WORD_LEVEL = re.compile(f"{_SUFFIXES}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-#: White space next to a blank: a run that may reach over a cut at a blank.
-_RUNS = re.compile(f" [{_S}]|[{_S}] ")
+
+_WORD_LEVEL = re.compile(f"[{_L}]+|{_SUFFIXES}|[{_N}]|[^{_S}{_L}{_N}]+")
 #: Code points from U+0250 on may change under NFC; FS, GS, RS and US are blanks to ``str.split``
 #: alone.
 _NOT_PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\u024f]")
@@ -51,20 +51,20 @@ def byte_level(text: str) -> list[str]:
     return [text[a:b] for _, (a, b) in cut]
 
 
-def byte_level_pieces(text: str) -> list[str] | None:
-    """``text.split(" ")`` if the first piece, and a blank before each later one, can be cut by
-    themselves without changing the result; else None. No alternative of the pattern joins
-    a character to a blank after it, so only runs of white space stand in the way."""
-    return None if _RUNS.search(text) else text.split(" ")
+def is_plain(text: str) -> bool:
+    """Whether lower-casing is all that the word-level tokenizer's normalising does to a text."""
+    return not _NOT_PLAIN.search(text)
 
 
-def word_level_pieces(text: str) -> list[str] | None:
-    """Lower-cased parts between white space, if lower-casing is all that normalising does."""
-    return None if _NOT_PLAIN.search(text) else text.lower().split()
+def word_level_pieces(text: str) -> list[str]:
+    """Lower-cased parts of a plain text between white space."""
+    return text.lower().split()
 
 
 def word_level(piece: str) -> list[str]:
-    """Cut one of ``word_level_pieces``."""
+    """The words of one of ``word_level_pieces``."""
+    if piece.isalpha() and piece.isascii():
+        return [piece]
     return _WORD_LEVEL.findall(piece)
 
 

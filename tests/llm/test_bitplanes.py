@@ -34,12 +34,16 @@ def test_planes_round_trip(n):
         ends, planes = bitplanes.pack_block(ids, zstandard.ZstdCompressor())
         back = bitplanes.unpack_block(n, ends, planes, zstandard.ZstdDecompressor())
         assert (back == ids).all() and len(ends) == 32
+        for a, b in ((0, n), (n // 3, n // 2 + 1), (n - 1, n)):
+            part = bitplanes.unpack_block(n, ends, planes, zstandard.ZstdDecompressor(), a, b)
+            assert (part == ids[a:b]).all()
 
 
 @pytest.mark.parametrize("block,file_rows", [(64, 50), (100_000, 7)])
 def test_equal_to_the_library(spark, library, block, file_rows):
     rows = [(i * 3 % 1001, t) for i, t in enumerate(TEXTS)]
     rows += [(None, "none"), (5, None), (5, "five"), (5, "five"), (-2, "x " * 500)]
+    rows += [(2000, "Long words, é and 12 of them. " * 70_000), (2001, "w" * 100_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'a' AS IDS", "1 AS first")
     files = bitplanes.write(docs, PATH, block=block, file_rows=file_rows)
     sizes = files.selectExpr("max(n_ids) AS n").first().n

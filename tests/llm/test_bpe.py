@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from purchaselens.llm import bpe
-from purchaselens.llm.pretokens import byte_level, byte_level_pieces
+from purchaselens.llm.pretokens import byte_level
 from odd_texts import TEXTS
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,14 +24,6 @@ def test_pretokens_below_the_limit(library):
         assert byte_level(text) == want, hex(c)
 
 
-def test_pieces_are_cut_alike():
-    for text in TEXTS:
-        pieces = byte_level_pieces(text)
-        if pieces is not None:
-            made = byte_level(pieces[0]) + [w for p in pieces[1:] for w in byte_level(" " + p)]
-            assert made == byte_level(text), text
-
-
 def test_automaton_is_minimal_and_finds_exactly_its_words():
     words = sorted({b"tap", b"taps", b"top", b"tops", b"t", b"stop", b"stops"})
     lexicon = bpe.compile_lexicon(words)
@@ -53,6 +45,7 @@ def test_automaton_is_minimal_and_finds_exactly_its_words():
 
 def test_equal_to_the_library(spark, library):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(-1, None), (None, "the end"), (5, "the end")]
+    rows += [(-2, "Long words, é and 12 of them.\n" * 70_000), (-3, "w" * 100_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS IDS")
     for words in (0, 50):
         out = bpe.encode(docs, PATH, decoded=True, words=words).collect()
