@@ -74,16 +74,29 @@ def _window_text(words_: Column, place: Column, size: int | Column) -> Column:
 
 
 def _hit_windows(size: int) -> Column:
-    """The windows of a size whose fingerprint is among ``marks``: place, size and text."""
+    """The windows of a size whose fingerprint is among the marks: place, size and text."""
     at = F.col(f"at_{size}")
-    places = F.filter(
-        _places(F.size("words") - (size - 1)), lambda i: F.array_contains("marks", F.get(at, i))
-    )
+
+    def hit(mark: Column) -> Column:
+        return F.array_contains(F.get("marks_by", mark.bitwiseAND(F.col("mask")).cast("int")), mark)
+
+    places = F.filter(_places(F.size("words") - (size - 1)), lambda i: hit(F.get(at, i)))
     return F.transform(places, lambda i: F.struct(
         i.alias("place"), F.lit(size).alias("size"), _window_text(F.col("words"), i, size).alias("window")
     ))
 
 
+def _by_last_bits(df: DataFrame) -> DataFrame:
+    """Split ``marks`` by their last bits into about as many lists as the root of the words' number, so
+    that looking up every place of a long text does not go through all of its marks."""
+    bits = F.floor((F.log2(F.size("words") + 1) + 1) / 2).cast("int")
+    df = df.withColumn("mask", F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1)
+    parts = F.sequence(F.lit(0).cast("bigint"), F.col("mask"))
+    return df.withColumn(
+        "marks_by", F.transform(parts, lambda b: F.filter("marks", lambda m: m.bitwiseAND(F.col("mask")) == b))
+    )
+
+
 def benchmark_windows(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(window, size, mark, items): each distinct window of the items, its fingerprint, and the
     ids of the items that hold it."""
@@ -149,7 +162,7 @@ def decontaminate(
         seen.where("n_words IS NULL").groupBy("key").agg(F.collect_set("mark").alias("marks")), "hit-documents"
     )
     # The texts of documents with hits only, once each, extended at the hits.
-    found = _fingerprints(checked_join(own.drop("doc_id"), hits, "key"), sizes)
+    found = _by_last_bits(_fingerprints(checked_join(own.drop("doc_id"), hits, "key"), sizes))
     spans = [_hit_windows(z) for z in sizes]
     none = F.array().cast("array<struct<place: int, size: int, window: string>>")
     looked = found.select("key", F.explode(F.concat(none, *spans)).alias("s")).select("key", "s.*")

@@ -74,3 +74,16 @@ def test_plan_is_built_in(spark):
     b = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     plan = winnow.decontaminate(d, b)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("PythonUDF", "ArrowEval", "MapInPandas", "MapInArrow"))
+
+
+def test_long_texts_that_hold_a_whole_benchmark(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(300))) for i in range(40)]
+    filler = " ".join(f"v{k}" for k in range(150_000))
+    docs = [(1, " ".join(t for _, t in items) + " " + filler), (2, filler), (3, "w" * 100_000 + " " + items[3][1]), (4, "é, " * 700_000)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: r for r in winnow.decontaminate(d, b).collect()}
+    assert (got[1].n_hit, len(got[1]["items"])) == (12_000, 40)
+    assert (got[3].n_hit, got[3]["items"]) == (300, ["3"])
+    assert [got[i].n_hit for i in (2, 4)] == [0, 0] and got[4].n_words == 700_000
