@@ -20,8 +20,12 @@ expectation, with 1e-9; above the threshold both fall fast.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,14 +159,20 @@ def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((left == right).sum(axis=1).astype(np.int32))
 
 
-@F.pandas_udf(T.BooleanType())
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: str, y: str) -> bool:
-        left, right = shingles(x), shingles(y)
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, text_a, text_b) the pairs whose full sets make a link; one pair of texts at a
+    time, and the sets of the last few texts are kept: a hub stands in many pairs."""
+    sets = lru_cache(maxsize=8)(shingles)
+
+    def one(x: str | None, y: str | None) -> bool:
+        left, right = sets(x), sets(y)
         common = len(np.intersect1d(left, right, assume_unique=True))
         return 100 * common >= PERCENT * (len(left) + len(right) - common)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+    for batch in batches:
+        a, b = batch.column("text_a"), batch.column("text_b")
+        linked = pa.array([one(a[i].as_py(), b[i].as_py()) for i in range(len(batch))], pa.bool_())
+        yield batch.select(["a", "b"]).filter(linked)
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -181,7 +191,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     needed = checked_join(texts, ids, "doc_id", "left_semi")
     both = likely.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b")
-    return stored(both.where(_linked("text_a", "text_b")).select("a", "b"), "links")
+    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a bigint, b bigint"), "links")
 
 
 #: Ends of the classes of shingles, by how many open documents hold one; one document's own

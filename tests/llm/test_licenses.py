@@ -140,3 +140,13 @@ def test_plain_places():
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_long_texts_and_repeated_rows(spark):
+    long = "Some words, all rights reserved. " * 65_000 + "MIT License"
+    rows = [(1, long), (2, "w" * 100_000), (3, "cc by"), (3, "cc by"), (None, None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = {r.doc_id: r for r in got}
+    assert len(got) == 5 and found[1].n_words == 5 * 65_000 + 2 and found[1].n_base == 1
+    assert len([n for n in found[1].notices if n["label"] == "all-rights-reserved"]) == 65_000
+    assert (found[2].n_words, found[2].labels, found[3].base_labels) == (1, [], ["cc-by"])

@@ -87,3 +87,9 @@ def test_few_or_no_rows(spark):
     same = [(1, "one row again")] * 50
     check_shards(same, shards.shard(spark.createDataFrame(same, "doc_id bigint, text string"), 4).collect(), 4)
     assert docs.select(F.lit(1)).count() == 1
+
+
+def test_shards_of_long_texts_and_equal_rows(spark):
+    rows = [(1, "long é " * 300_000), (2, "w" * 100_000)] + [(k, "t" * k) for k in range(3, 300)] + [(7, "t" * 7)] * 40
+    got = shards.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), 4).collect()
+    check_shards(rows, got, 4)

@@ -170,3 +170,11 @@ def test_components_with_a_node_that_most_edges_have(spark):
     # Edges of the hot node meet a broadcast row; only the others are shuffled to the join.
     assert "BroadcastHashJoin [node" in plan and "LeftAnti" in plan
     assert components(df.limit(0)).count() == 0
+
+
+def test_long_texts(spark):
+    words = [f"w{k}" for k in range(350_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1000])), (3, "w" * 100_000), (4, "W" * 100_000), (5, " ".join(words[:200_000]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {1: (349_996, 1, True), 2: (348_996, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (199_996, 5, True)}

@@ -67,3 +67,35 @@ def test_encoding_and_run(spark, stages):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     own = corpus_pipeline.run(spark, SF).select("doc_id", "ids_sha256")
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, stages[5].select("doc_id", "ids_sha256").where(F.col("doc_id") < 9000).collect()))
+
+
+def chained(docs, spark, folder):
+    outs = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(folder / f"stage-{k}")
+        stage(spark, outs[-1], SF).write.parquet(path)
+        outs.append(spark.read.parquet(path))
+    return outs
+
+
+def test_repeated_rows_nulls_long_texts_and_clashing_columns(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    some = docs.where("doc_id IN (3, 4)")
+    text = some.orderBy("doc_id").first().text
+    odd = spark.createDataFrame(
+        [(None, text, "en", None, None), (9002, "", "en", "src0", 0), (9003, None, None, None, None),
+         (9004, (text + "\n") * (2_000_000 // len(text) + 1), "en", "src1", 0), (9005, text + " " + "w" * 100_000, None, "src1", 1)],
+        docs.schema)
+    given = docs.unionByName(some).unionByName(some).unionByName(odd).selectExpr(
+        "*", "1 AS IDS", "2 AS key", "3 AS __key", "4 AS kept", "5 AS lang_pred", "6 AS n_dropped", "7 AS band")
+    outs = chained(given, spark, tmp_path)
+    assert all(df.columns == COLUMNS for df in outs[1:-1])
+    ids = [[r.doc_id for r in df.select("doc_id").collect()] for df in outs]
+    assert ids[0].count(3) == ids[1].count(3) == ids[2].count(3) == 3 and ids[3].count(3) == 1
+    assert {9002, 9003}.isdisjoint(ids[1]) and None in ids[-1] and 9005 in ids[2]
+    assert all(r.round_trip for r in outs[-1].collect())
+
+
+def test_empty_table(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    assert [df.count() for df in chained(docs, spark, tmp_path)] == [0] * 6
