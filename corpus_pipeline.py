@@ -2,6 +2,12 @@
 
 Every stage takes all rows the one before kept; all but the last return the columns of
 ``documents``, the last one the ids of every document that is left and the round trip of its text.
+The input needs those five columns; further ones, whatever their names, are not carried on.
+
+A NULL in any column stops nothing. A NULL text has no language and goes in the first stage; a NULL
+doc_id is in no group of near duplicates; a NULL source is a source of its own. Rows that repeat id and
+text are one document from the third stage on. Texts of any length are taken whole. An empty table gives an
+empty one in every stage.
 """
 
 from __future__ import annotations
@@ -17,29 +23,32 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those that language ID rejects go."""
+    """Documents whose language is recognised; those that language ID rejects go, texts that are NULL or
+    have no letter among them."""
     model = langid.learned(docs)
     return langid.identify(docs, model).where(~F.col("rejected")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; no document goes."""
+    """Texts without the boilerplate lines of their source; no document goes. A text all of whose lines
+    go becomes empty; ``n_chars`` is counted anew."""
     cleaned = lines.drop_boilerplate(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest doc_id."""
+    """One document of each group of near duplicates: the one of the smallest doc_id. Empty texts are in no
+    group; of rows that repeat id and text one stays."""
     return minhash.without_copies(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window; an empty text has none."""
     return winnow.clean(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, and whether they decode to its text; an empty text has none and does."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoded = bpe.encode(docs.select("doc_id", "text"), path, decoded=True)
     return encoded.select(
