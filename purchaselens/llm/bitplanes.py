@@ -168,7 +168,7 @@ def write(
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks([len(t) for t in texts]):
                 for id_, ids in zip(doc_ids[a:b], encoder.encode(texts[a:b]), strict=True):
                     n = len(ids) // 4 + 1
                     starts.append({"doc_id": id_, "first": position, "n_tokens": n})

@@ -10,6 +10,7 @@ at a time.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import heapq
 import json
@@ -337,10 +338,19 @@ class Codec:
         self.arrays, more = unpack(image)
         self.specials = Specials(more["added"])
         self.merger = Merger(self.arrays, more["size"])
-        self.word_ids = WordIds(lambda words: self.words([w.encode() for w in words]), self.specials.ids)
+        self.word_ids = WordIds(self._learn, self.specials.ids)
         self.token_ends = self.arrays["token_ends"]
         self.token_sizes = np.diff(self.token_ends, prepend=0)
 
+    def fresh(self) -> Codec:
+        """The same codec with nothing remembered."""
+        other = copy.copy(self)
+        other.word_ids = WordIds(other._learn, self.specials.ids)
+        return other
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        return self.words([w.encode() for w in words])
+
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of words: looked up in the lexicon, merged where it has none."""
         place = find_words(self.arrays, words).tolist()
@@ -388,7 +398,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            for start, end in chunks(texts):
+            for start, end in chunks([len(t) for t in texts]):
                 words: list[str] = []
                 for one in texts[start:end]:
                     words += byte_level(one)
@@ -442,11 +452,12 @@ _HELD: dict[str, Codec] = {}
 
 
 def held_codec(shared, name: str) -> Codec:
-    """The codec of a broadcast image, mapped once per worker process."""
+    """The codec of a broadcast image, mapped once per worker process. What a task remembers goes with it:
+    the process lives on through stages that need its memory."""
     if name not in _HELD:
         _HELD.clear()
         _HELD[name] = Codec(mapped(shared.value))
-    return _HELD[name]
+    return _HELD[name].fresh()
 
 
 def _codec(docs: DataFrame, image: bytes) -> Callable[[], Codec]:

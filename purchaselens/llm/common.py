@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,15 +65,16 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > CHUNK_CHARS:
+def chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts, given by size, that are worked on together."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > CHUNK_CHARS:
             yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def map_texts(
@@ -99,9 +101,10 @@ def map_texts(
         function = make()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            texts = column.to_pylist()
-            for start, end in chunks([t or "" for t in texts]):
-                made = function(texts[start:end])
+            # Texts become Python strings chunk by chunk, not all of a batch at once.
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+            for start, end in chunks(sizes):
+                made = function(column.slice(start, end - start).to_pylist())
                 old = [batch.column(batch.schema.get_field_index(f.name)) for f in given]
                 arrays = [c.slice(start, end - start) for c in old]
                 arrays += [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]

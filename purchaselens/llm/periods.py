@@ -158,7 +158,7 @@ def collapse(
             column = batch.column(batch.schema.get_field_index(text))
             texts = [t or b"" for t in column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
             old = [batch.column(batch.schema.get_field_index(f.name)) for f in given]
-            for start, end in chunks(texts):
+            for start, end in chunks([len(t) for t in texts]):
                 sizes, runs, collapsed = _find_all(texts[start:end], least, times)
                 made = [
                     pa.array(sizes, pa.int64()), pa.array(runs, run),
