@@ -248,3 +248,28 @@ def test_visits_are_few_where_items_are_close(spark, monkeypatch):
     assert plan.n_tiles.max() > 1 or plan.total < len(plan.pivots)
     sizes = np.bincount(plan.homes(names, plan.cells(v, to)), minlength=plan.total)
     assert sizes.sum() == len(v)
+
+
+def test_pairs_among_named_items(spark):
+    names, v = vectors()
+    ix, some = index(spark, names, v), set(names[::3])
+    asked = spark.createDataFrame([(n,) for n in [*some, *some, "unknown", None]], "item string")
+    want = {(x.a, x.b, x.similarity) for x in s.similarity_pairs(ix, 0.1).collect() if {x.a, x.b} <= some}
+    assert {(x.a, x.b, x.similarity) for x in s.similarity_pairs(ix, 0.1, asked).collect()} == want and want
+    # Items that nobody names are still refused where they are faulty.
+    for bad, why in ((None, "no whole vector for item x"), ([1.0], "differ in length")):
+        more = spark.createDataFrame([("x", "f", bad)], ix.items.schema)
+        with pytest.raises(Exception, match=why):
+            s.similarity_pairs(s.ItemIndex.of(ix.items.unionByName(more)), 0.1, asked).count()
+
+
+@pytest.mark.parametrize("query", ["cross_sell_matches"])
+def test_cross_selling_stores_pairs_of_offered_items_only(spark, monkeypatch, query):
+    from workload import cohort, tables
+
+    folder, kept = "/root/testdata/sf0.001", []
+    original = tables.stored_pairs
+    monkeypatch.setattr(cohort, "stored_pairs", lambda *a: kept.append(original(*a)) or kept[-1])
+    cohort.QUERIES[query][0](spark, folder)
+    offered = {r[0] for r in spark.read.parquet(f"{folder}/part.parquet").select("p_brand").collect()}
+    assert {x for r in kept[0].collect() for x in (r.a, r.b)} <= offered

@@ -8,7 +8,7 @@ from purchaselens.operators import cohort as c
 from purchaselens.operators.gate import recommendation_gate
 
 from .reports import A, B, QUARTER
-from .tables import INDEX, TRANSACTIONS, average, money, pairs_sql, read, sql, stored_pairs
+from .tables import INDEX, TRANSACTIONS, average, money, offered, pairs_sql, read, sql, stored_pairs
 from .tables import transactions
 
 # The vectors of the supplied tables are far apart, so the similar half of the question
@@ -107,7 +107,7 @@ BEST = f"""best AS (
 
 
 def cross_sell_matches(spark, sf_dir):
-    pairs = stored_pairs(spark, sf_dir, THRESHOLD)
+    pairs = stored_pairs(spark, sf_dir, THRESHOLD, offered(spark, sf_dir))
     out = c.cross_sell_matches(transactions(spark, sf_dir), pairs, A, B, *QUARTER)
     return out.withColumn("similarity", F.round("similarity", 6))
 
