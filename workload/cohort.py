@@ -70,7 +70,7 @@ FROM cohort""")
 
 def _similar(threshold):
     def run(spark, sf_dir):
-        pairs = stored_pairs(spark, sf_dir, threshold)
+        pairs = stored_pairs(spark, sf_dir, threshold, offered(spark, sf_dir))
         return c.cross_sell_similar(transactions(spark, sf_dir), pairs, A, B, *QUARTER)
 
     return run
