@@ -263,7 +263,9 @@ def test_pairs_among_named_items(spark):
             s.similarity_pairs(s.ItemIndex.of(ix.items.unionByName(more)), 0.1, asked).count()
 
 
-@pytest.mark.parametrize("query", ["cross_sell_matches", "cross_sell_similar", "cross_sell_similar_default"])
+@pytest.mark.parametrize("query", [
+    "cross_sell_matches", "cross_sell_similar", "cross_sell_similar_default", "cross_sell_recommendations",
+])
 def test_cross_selling_stores_pairs_of_offered_items_only(spark, monkeypatch, query):
     from workload import cohort, tables
 
