@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import name_key
 from ..plans import joins
 from ..plans.joins import lookup_join, measured_bytes
+from ..plans.scratch import kept
 
 
 def _resolved(df: DataFrame, items: DataFrame, col: str, out: str, size: int) -> DataFrame:
     exact = items.select(F.col("name").alias(col), F.col("name").alias("__exact")).distinct()
     by_key = items.groupBy(F.lower("name").alias("__key")).agg(F.min("name").alias("__near"))
-    keyed = df.withColumn("__key", name_key(F.col(col)))
-    found = lookup_join(
-        lookup_join(keyed, exact, [col], "left", size=size), by_key, ["__key"], "left", size=size
-    )
-    return found.select(*df.columns, F.coalesce("__exact", "__near").alias(out))
+    near = lookup_join(df.withColumn("__key", name_key(F.col(col))), by_key, ["__key"], "left", size=size)
+    # Where the items are too many to broadcast, the names of ``df`` are distinct: none is hot.
+    exact = F.broadcast(exact) if size <= joins.BROADCAST_BYTES else exact.hint("merge")
+    return near.join(exact, [col], "left").select(*df.columns, F.coalesce("__exact", "__near").alias(out))
 
 
-def _per_name(df: DataFrame, col: str, resolve: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Resolve each distinct name once and join the answers back."""
-    names = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return lookup_join(df, resolve(names), [col], "left")
+def _per_name(df: DataFrame, items: DataFrame, col: str, out: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``out``, and the table it comes from: each distinct name once, resolved, with ``__n``,
+    the number of its rows.
+
+    Rows are read twice, to count the names and to join the answers back; all else works on the
+    two tables of names, which are kept. So the hot names are known without another reading.
+    """
+    names = kept(df.groupBy(col).agg(F.count(F.lit(1)).alias("__n")), "names")
+    found = kept(_resolved(names, items, col, out, size), "resolved")
+    return lookup_join(df, found.drop("__n"), [col], "left", counts=found.select(col, "__n")), found
 
 
 def resolve_item(
@@ -43,35 +47,41 @@ def resolve_item(
     size = 2 * measured_bytes(items.select("name"))
     if size <= joins.BROADCAST_BYTES:
         return _resolved(df, items, col, out, size)
-    found = _per_name(df, col, lambda names: _resolved(names, items, col, out, size))
-    return found.select(*df.columns, out)
+    return _per_name(df, items, col, out, size)[0].select(*df.columns, out)
 
 
-def item_attributes(
-    df: DataFrame, items: DataFrame, col: str = "fragrance"
-) -> DataFrame:
-    """Add ``notes`` (NULL if unknown) and ``family`` ("Unknown" if unknown)."""
+def _described(df: DataFrame, items: DataFrame, col: str, wanted: list[str]) -> DataFrame:
+    """Notes and family are shuffled once, by item, however many spellings an item has."""
     # One row per name, so that a repeated item does not multiply the rows of ``df``.
     first = F.min(F.struct("notes", "family"))
     attributes = items.groupBy(F.col("name").alias("__canonical")).agg(first.alias("a")).select(
-        "__canonical", "a.notes", "a.family"
+        "__canonical", *[F.col(f"a.{c}").alias(c) for c in wanted]
     )
+    size = measured_bytes(items.select("name", "notes", "family"))
+    if size <= joins.BROADCAST_BYTES:
+        found, counts = resolve_item(df, items, col, "__canonical"), None
+    else:
+        names = 2 * measured_bytes(items.select("name"))
+        found, by_name = _per_name(df, items, col, "__canonical", names)
+        counts = by_name.groupBy("__canonical").agg(F.sum("__n").alias("__n"))
+    found = lookup_join(found, attributes, ["__canonical"], "left", size=size, counts=counts)
+    unknown = {"family": F.coalesce("family", F.lit("Unknown")).alias("family")}
+    return found.select(*df.columns, *[unknown.get(c, F.col(c)) for c in wanted])
 
-    def described(names: DataFrame) -> DataFrame:
-        found = resolve_item(names, items, col, "__canonical")
-        return lookup_join(found, attributes, ["__canonical"], "left", size=size).drop("__canonical")
 
-    size = measured_bytes(attributes)
-    found = described(df) if size <= joins.BROADCAST_BYTES else _per_name(df, col, described)
-    return found.select(*df.columns, "notes", F.coalesce("family", F.lit("Unknown")).alias("family"))
+def item_attributes(
+    df: DataFrame, items: DataFrame, col: str = "fragrance"
+) -> DataFrame:
+    """Add ``notes`` (NULL if unknown) and ``family`` ("Unknown" if unknown)."""
+    return _described(df, items, col, ["notes", "family"])
 
 
 def item_notes(df: DataFrame, items: DataFrame, col: str = "fragrance") -> DataFrame:
-    return item_attributes(df, items, col).drop("family")
+    return _described(df, items, col, ["notes"])
 
 
 def item_family(df: DataFrame, items: DataFrame, col: str = "fragrance") -> DataFrame:
-    return item_attributes(df, items, col).drop("notes")
+    return _described(df, items, col, ["family"])
 
 
 def family_members(items: DataFrame, family: str) -> DataFrame:

@@ -32,15 +32,19 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
-def hot_keys(df: DataFrame, on: list[str]) -> DataFrame | None:
+def hot_keys(df: DataFrame, on: list[str], counts: DataFrame | None = None) -> DataFrame | None:
     """Keys that hold more rows than one of the shuffle's partitions should, as a broadcast table, or None.
 
     A key is hot if it has over twice an even partition's share, so there are fewer hot keys than
-    partitions. Counts are combined before they are shuffled. A NULL in a key counts as a value.
+    partitions. Counts are combined before they are shuffled; with ``counts``, a table of the keys and
+    ``__n``, ``df`` is not read. A NULL in a key counts as a value.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.select(F.count(F.lit(1))).first()[0]
+    if counts is None:
+        counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+        total = df.select(F.count(F.lit(1))).first()[0]
+    else:
+        total = counts.agg(F.sum("__n")).first()[0] or 0
     rows = counts.where(F.col("__n") > 2 * max(1, total // parts)).select(*on).collect()
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.select(*on).schema)) if rows else None
 
@@ -49,14 +53,16 @@ def _same_key(a: DataFrame, b: DataFrame, on: list[str]) -> Column:
     return reduce(lambda all_, c: all_ & a[c].eqNullSafe(b[c]), on, F.lit(True))
 
 
-def shuffled_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def shuffled_join(
+    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None
+) -> DataFrame:
     """Join by a shuffle of both sides in which no key of ``big`` goes to one task alone.
 
     The rows of hot keys stay where they are: the few rows of ``small`` that belong to them are
     broadcast if they measure below ``BROADCAST_BYTES_HOT``. All others are shuffled. Rows of ``big`` with
     a NULL in a key match nothing and are not shuffled if they are many.
     """
-    hot = hot_keys(big, on)
+    hot = hot_keys(big, on, counts)
     if hot is None:
         return big.join(small.hint("merge"), on, how)
     matches = small.join(hot, _same_key(small, hot, on), "left_semi")
@@ -74,10 +80,12 @@ def lookup_join(
     how: str = "inner",
     *,
     size: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``big`` to a lookup table.
 
-    ``size`` is an upper bound on the bytes of ``small``; without it they are measured.
+    ``size`` is an upper bound on the bytes of ``small``; without it they are measured. ``counts`` may
+    give the rows of each key of ``big``, which are counted otherwise.
     Within ``BROADCAST_BYTES`` the table is broadcast and ``big`` is not shuffled. Beyond
     it both sides are shuffled by the key, but for the rows of hot keys: see :func:`shuffled_join`.
     Only join types that keep the rows of ``big`` apart are accepted.
@@ -88,4 +96,4 @@ def lookup_join(
         size = measured_bytes(small)
     if size <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on, how)
-    return shuffled_join(big, small, on, how)
+    return shuffled_join(big, small, on, how, counts)

@@ -149,3 +149,21 @@ def test_a_category_that_half_of_the_rows_have(spark, monkeypatch):
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     got = validate.mark_known(df, allowed)
     assert sorted(map(str, got.collect())) == want and "BroadcastHashJoin" in _plan(got)
+
+
+@pytest.mark.parametrize("ask", ["resolve_item", "item_notes", "item_family"])
+def test_lines_are_read_twice_where_items_are_many(spark, monkeypatch, ask):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    items = spark.createDataFrame(
+        [(f"Scent {i}", f"notes {i}", f"f{i % 3}", ["t"]) for i in range(100)],
+        "name string, notes string, family string, tags array<string>")
+    df = spark.createDataFrame([(f"scent {i % 100} Plus", i) for i in range(3000)], "fragrance string, i int")
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    got = getattr(dimension, ask)(df.mapInArrow(counted, df.schema), items)
+    assert len(got.collect()) == 3000 and read.value <= 2 * 3000
