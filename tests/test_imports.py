@@ -167,3 +167,9 @@ def test_lines_are_read_twice_where_items_are_many(spark, monkeypatch, ask):
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     got = getattr(dimension, ask)(df.mapInArrow(counted, df.schema), items)
     assert len(got.collect()) == 3000 and read.value <= 2 * 3000
+
+
+def test_json_lines_are_written_packed(spark):
+    from workload import sources
+
+    assert all(f.endswith(".json.gz") for f in sources.import_json(spark, "/root/testdata/sf0.001").inputFiles())
