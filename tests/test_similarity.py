@@ -275,3 +275,43 @@ def test_cross_selling_stores_pairs_of_offered_items_only(spark, monkeypatch, qu
     cohort.QUERIES[query][0](spark, folder)
     offered = {r[0] for r in spark.read.parquet(f"{folder}/part.parquet").select("p_brand").collect()}
     assert {x for r in kept[0].collect() for x in (r.a, r.b)} <= offered
+
+
+@pytest.mark.parametrize("later", [True, False])
+def test_rows_of_a_task_do_not_grow_with_the_index(spark, monkeypatch, later):
+    names, v = vectors(400, 16)
+    ix = index(spark, names, v)
+    want = sorted(map(tuple, (s.similarity_pairs(ix, -0.2) if later else s.nearest_neighbours(ix, 5)).collect()))
+    monkeypatch.setattr(s, "BLOCK_MIN", 40)
+    monkeypatch.setattr(tiles, "SLICE", 50)
+    against = tiles.against_tiles
+
+    def counted(items, plan, visitors, within, later_only, score, schema):
+        def size(names, here, home, visiting, there):
+            yield from score(names, here, home, visiting, there)
+            assert len(there) <= 130, len(there)
+
+        return against(items, plan, visitors, within, later_only, size, schema)
+
+    monkeypatch.setattr(tiles, "against_tiles", counted)
+    got = sorted(map(tuple, (s.similarity_pairs(ix, -0.2) if later else s.nearest_neighbours(ix, 5)).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
+
+
+def test_best_breaks_ties_by_name_only():
+    scores = np.array([[0.5, 0.5 + 4e-13, 0.9, 0.5, 0.1], [0.1, 0.2, 0.3, 0.4, 0.5], [1.0, 1.0, 1.0, 1.0, 1.0]])
+    same = np.zeros(scores.shape, bool)
+    same[2, 0] = same[1, 1:] = True
+    i, j = s._best(scores, same, 2)
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 0), (0, 2), (1, 0), (2, 1), (2, 2)]
+
+
+def test_best_equals_sorting():
+    rng = np.random.default_rng(3)
+    for rows, wide, k in ((7, 500, 10), (5, 11, 10), (6, 40, 1), (4, 330, 33)):
+        scores = np.round(rng.normal(size=(rows, wide)), 1)  # many ties
+        same = rng.random((rows, wide)) < 0.3
+        same[0], same[1, k // 2 :] = True, True
+        want = [(i, j) for i in range(rows)
+                for j in sorted(sorted(np.flatnonzero(~same[i]), key=lambda j: (-scores[i, j], j))[:k])]
+        assert sorted(zip(*(x.tolist() for x in s._best(scores, same, k)), strict=True)) == want
