@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,10 @@ from purchaselens.llm.wordids import WordIds, ragged
 LEXICON_WORDS = 100_000
 #: Longer words are left to merging.
 LONGEST = 48
+#: Bytes of text that a task counts or encodes at a time; a longer text is one chunk.
+CHUNK = 250_000
+#: Words that a task remembers beside the lexicon's.
+REMEMBERED = 100_000
 #: Words whose counts a task adds up before it passes them on.
 COUNTED = 400_000
 
@@ -338,14 +343,14 @@ class Codec:
         self.arrays, more = unpack(image)
         self.specials = Specials(more["added"])
         self.merger = Merger(self.arrays, more["size"])
-        self.word_ids = WordIds(self._learn, self.specials.ids)
+        self.word_ids = WordIds(self._learn, self.specials.ids, REMEMBERED)
         self.token_ends = self.arrays["token_ends"]
         self.token_sizes = np.diff(self.token_ends, prepend=0)
 
     def fresh(self) -> Codec:
         """The same codec with nothing remembered."""
         other = copy.copy(self)
-        other.word_ids = WordIds(other._learn, self.specials.ids)
+        other.word_ids = WordIds(other._learn, self.specials.ids, REMEMBERED)
         return other
 
     def _learn(self, words: list[str]) -> list[bytes]:
@@ -397,11 +402,12 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.table([summed["word"], summed["n_sum"]], ["word", "n"])
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for start, end in chunks([len(t) for t in texts]):
+            column = batch.column(0)
+            # Texts become Python strings chunk by chunk, not all of a batch at once.
+            for start, end in chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), CHUNK):
                 words: list[str] = []
-                for one in texts[start:end]:
-                    words += byte_level(one)
+                for one in column.slice(start, end - start).to_pylist():
+                    words += byte_level(one or "")
                 counted = pa.array(words, pa.string()).value_counts()
                 held.append(pa.table([counted.field("values"), counted.field("counts")], ["word", "n"]))
                 if sum(map(len, held)) > COUNTED:
@@ -491,4 +497,4 @@ def encode(
 
     fields = [T.StructField("ids", T.BinaryType())]
     fields += [T.StructField("decoded", T.StringType())] * decoded
-    return map_texts(docs, text, fields, make, keep_text)
+    return map_texts(docs, text, fields, make, keep_text, CHUNK)

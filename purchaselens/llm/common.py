@@ -65,11 +65,11 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+def chunks(sizes: list[int], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """(start, end) of runs of texts, given by size, that are worked on together."""
     start = total = 0
     for i, size in enumerate(sizes):
-        if total and total + size > CHUNK_CHARS:
+        if total and total + size > most:
             yield start, i
             start, total = i, 0
         total += size
@@ -83,10 +83,12 @@ def map_texts(
     fields: list[T.StructField],
     make: Callable[[], Callable[[list[str | None]], list[list]]],
     keep_text: bool = True,
+    most: int = CHUNK_CHARS,
 ) -> DataFrame:
     """Add columns worked out from a text column in Python, Arrow batch by Arrow batch.
 
-    ``make`` runs once per task and returns a function from texts to one list per field.
+    ``make`` runs once per task and returns a function from texts to one list per field; it gets
+    texts of ``most`` bytes at a time, or one that is longer.
     Columns of ``docs`` with the names of the new ones are replaced. ``keep_text=False``
     leaves the text out of what comes back from Python.
     """
@@ -103,7 +105,7 @@ def map_texts(
             column = batch.column(batch.schema.get_field_index(text))
             # Texts become Python strings chunk by chunk, not all of a batch at once.
             sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-            for start, end in chunks(sizes):
+            for start, end in chunks(sizes, most):
                 made = function(column.slice(start, end - start).to_pylist())
                 old = [batch.column(batch.schema.get_field_index(f.name)) for f in given]
                 arrays = [c.slice(start, end - start) for c in old]

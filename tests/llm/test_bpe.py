@@ -3,9 +3,11 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from purchaselens.llm import bpe
+from purchaselens.llm.common import map_texts
 from purchaselens.llm.pretokens import byte_level
 from odd_texts import TEXTS
 
@@ -86,3 +88,19 @@ def test_frequent_words_are_all_words_from_a_count_on(spark):
             least = min(usable[w] for w in found)
             assert set(found) == {w for w, n in usable.items() if n >= least}
     assert len(bpe.frequent_words(counts, 1000)) == 67
+
+
+def test_texts_are_counted_and_encoded_in_small_blocks(spark):
+    """Blocks of CHUNK bytes or one text each, whatever the batch; their counts add up."""
+    texts = ["some words " * 100] * 1000 + ["long " * 100_000, None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    counts = {r.word: r.n for r in bpe.word_counts(docs).collect()}
+    assert counts[" words"] == 100_000 and counts[" long"] == 99_999
+
+    def make():
+        return lambda block: [[sum(len(t or "") for t in block)] * len(block)]
+
+    kept = [T.StructField("block", T.LongType())]
+    got = {r.doc_id: r.block for r in map_texts(docs, "text", kept, make, most=bpe.CHUNK).collect()}
+    assert len(got) == len(texts) and got[1000] == 500_000
+    assert max(n for i, n in got.items() if i != 1000) <= bpe.CHUNK < 1_000_000

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,21 @@ def test_repeated_rows_nulls_long_texts_and_clashing_columns(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert [df.count() for df in chained(docs, spark, tmp_path)] == [0] * 6
+
+
+def test_batches_are_bounded_in_bytes_and_the_session_is_left_as_it_was(spark, monkeypatch):
+    def encode(docs, path, decoded):
+        def sizes(batches):
+            for b in batches:
+                size = pa.array([b.nbytes.to_bytes(8, "little")] * len(b))
+                yield pa.RecordBatch.from_arrays([*b.columns, size, b.column(1)], ["doc_id", "text", "ids", "decoded"])
+
+        return docs.mapInArrow(sizes, "doc_id long, text string, ids binary, decoded string")
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(corpus_pipeline.bpe, "encode", encode)
+    docs = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat('many words ', 500) AS text")
+    got = corpus_pipeline.encoding(spark, docs, SF).collect()
+    assert len(got) == 3000 and max(int.from_bytes(r.ids, "little") for r in got) < 2_200_000
+    assert spark.conf.get(key) == before
