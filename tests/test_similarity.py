@@ -315,3 +315,63 @@ def test_best_equals_sorting():
         want = [(i, j) for i in range(rows)
                 for j in sorted(sorted(np.flatnonzero(~same[i]), key=lambda j: (-scores[i, j], j))[:k])]
         assert sorted(zip(*(x.tolist() for x in s._best(scores, same, k)), strict=True)) == want
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of a query wrote, each exchange once."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        elif name != "ReusedExchange":
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_items_are_shuffled_once_whatever_they_visit(spark, monkeypatch):
+    names, v = vectors(400, 16)
+    monkeypatch.setattr(s, "BLOCK_MIN", 40)
+    ix = index(spark, names, v)
+    tiles_ = s._tiling(ix).total
+    assert tiles_ > 8
+    # The index's own repartition, every item to its tile, every tile in a few pieces; neighbours of a task once more.
+    most = 2 * 400 + 3 * tiles_
+    assert 800 < shuffled_rows(s.similarity_pairs(ix, -0.2)) <= most
+    assert 800 < shuffled_rows(s.nearest_neighbours(ix, 5)) <= most + 5 * 420
+
+
+@pytest.mark.parametrize("pieces", [1, 7, 1000])
+def test_pieces_hold_every_row_once(pieces):
+    import pyarrow as pa
+
+    tile = [0] * 5 + [2] * 20 + [3] + [7] * 14
+    rows = [(t, None if i == 6 else f"n{i:02d}", [float(i), 1.0]) for i, t in enumerate(tile)]
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.float64())]
+    columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
+    whole = pa.RecordBatch.from_arrays(columns, ["tile", "name", "vector"])
+    cut = [whole.slice(0, 0), whole.slice(0, 9), whole.slice(9, 0), whole.slice(9, 17), whole.slice(26)]
+    found = []
+    for t, n, x in tiles._pieces(iter(cut), pieces):
+        assert 0 < len(n) <= pieces
+        back, matrix = tiles._unpacked(pa.scalar(tiles._packed(n, x)))
+        found += [(t, a, b) for a, b in zip(back.to_pylist(), matrix.tolist(), strict=True)]
+    assert found == rows
+    assert list(tiles._pieces(iter([whole.slice(0, 0)]), pieces)) == []
+
+
+def test_best_of_found_keeps_ties_of_the_last():
+    import pyarrow as pa
+
+    a = ["x", "y", "x", None, "x", "x", None, "y"]
+    score = [0.5, 0.1, 0.9, 0.2, 0.5 + 1e-13, 0.4, 0.3, 0.2]
+    table = pa.table({"a": a, "b": list("abcdefgh"), "similarity": score})
+    assert s._best_of_found(table, 2).column("b").to_pylist() == ["a", "b", "c", "d", "e", "g", "h"]
+    assert s._best_of_found(table, 1).column("b").to_pylist() == ["c", "g", "h"]
+    assert s._best_of_found(table.slice(0, 0), 2).num_rows == 0
