@@ -375,3 +375,22 @@ def test_best_of_found_keeps_ties_of_the_last():
     assert s._best_of_found(table, 2).column("b").to_pylist() == ["a", "b", "c", "d", "e", "g", "h"]
     assert s._best_of_found(table, 1).column("b").to_pylist() == ["c", "g", "h"]
     assert s._best_of_found(table.slice(0, 0), 2).num_rows == 0
+
+
+def test_neighbours_are_found_once_for_lists_of_large_indexes(spark, monkeypatch):
+    names, v = vectors()
+    want = sorted(map(str, s.neighbour_lists(index(spark, names, v), 3).collect()))
+    scored, against = spark.sparkContext.accumulator(0), tiles.against_tiles
+
+    def counted(items, plan, kept, within, later_only, score, schema):
+        def counting(names, here, home, visiting, there):
+            scored.add(len(there))
+            yield from score(names, here, home, visiting, there)
+
+        return against(items, plan, kept, within, later_only, counting, schema)
+
+    monkeypatch.setattr(tiles, "against_tiles", counted)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    got = s.neighbour_lists(index(spark, names, v), 3)
+    assert sorted(map(str, got.collect())) == want
+    assert scored.value == len(names)
