@@ -394,3 +394,20 @@ def test_neighbours_are_found_once_for_lists_of_large_indexes(spark, monkeypatch
     got = s.neighbour_lists(index(spark, names, v), 3)
     assert sorted(map(str, got.collect())) == want
     assert scored.value == len(names)
+
+
+def test_faulty_items_are_shuffled_once_too(spark, monkeypatch):
+    """Missing vectors and names on several rows, one of them on more rows than a piece takes."""
+    names, v = vectors(400, 16)
+    rows = [(n, "f", None if i % 7 == 0 else x.tolist()) for i, (n, x) in enumerate(zip(names, v, strict=True))]
+    rows += [(names[i], "f", v[i][::-1].tolist()) for i in range(0, 400, 11)]
+    rows += [(names[5], "f", v[5].tolist())] * 90
+    df = spark.createDataFrame(rows, "name string, family string, vector array<double>")
+    whole = [(n, np.array(x)) for n, _, x in rows if x]
+    scores = np.round(np.array([x for _, x in whole]) @ np.array([x for _, x in whole]).T, 12)
+    want = sorted((whole[i][0], whole[j][0]) for i, j in np.argwhere(scores >= 0.2) if whole[i][0] != whole[j][0])
+    monkeypatch.setattr(s, "BLOCK_MIN", 40)
+    monkeypatch.setattr(tiles, "SLICE", 150)
+    pairs = s.similarity_pairs(s.ItemIndex.of(df.repartition(4), missing="drop"), 0.2)
+    assert sorted((x.a, x.b) for x in pairs.collect()) == want
+    assert shuffled_rows(pairs) <= len(rows) + len(whole) + 60
